@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import bpe, jaccard, licences, mixing, neighbours, sharding, toxicity, webp
 from .common import read
 
 
@@ -18,8 +19,38 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(read(spark, sf_dir, "documents"), 3, 90)
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
+def op9_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_report(read(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_mix_sources": op2_mix_sources,
+    "op3_bpe": op3_bpe,
+    "op5_licence_scan": op5_licence_scan,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_webp_media": op9_webp_media,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
