@@ -186,6 +186,42 @@ def _join_blocks(percent: int) -> Callable:
     return run
 
 
+def _with_partner(percent: int) -> Callable:
+    """Of rows sorted by token, those with a row of the same token that the length and position bounds let pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            token, place = t.column("token").to_numpy(), t.column("place").to_numpy()
+            size, at, keep = place >> 32, place & ((1 << 32) - 1), np.zeros(len(token), bool)
+            first, far = np.flatnonzero(token[1:] == token[:-1]), 1
+            while len(first):
+                # rows of one token that stand `far` rows apart
+                a, b = size[first], size[first + far]
+                ok = first[np.minimum(a - at[first], b - at[first + far]) >= least_overlap(a, b, percent)]
+                keep[ok] = keep[ok + far] = True
+                far += 1
+                first = first[first + far < len(token)]
+                first = first[token[first + far] == token[first]]
+            yield from t.filter(pa.array(keep)).to_batches()
+
+        # rows of one token may reach over batches, so the last ones wait
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            t = pa.Table.from_batches(held)
+            start = int(np.searchsorted(t.column("token").to_numpy(), t.column("token")[t.num_rows - 1].as_py()))
+            if start:
+                yield from flush(t.slice(0, start))
+            held = t.slice(start).to_batches()
+        if held:
+            yield from flush(pa.Table.from_batches(held))
+
+    return run
+
+
 def _pairs(percent: int) -> Callable:
     """Pairs of different components in one pair of blocks of one token that pass the length and position bounds."""
 
@@ -221,6 +257,8 @@ def _pairs(percent: int) -> Callable:
 
         # rows come sorted by group; a group may reach over batches, so its last rows wait for the next one
         for b in batches:
+            if not b.num_rows:
+                continue
             held.append(b)
             t = pa.Table.from_batches(held)
             last = [t.column(n)[t.num_rows - 1].as_py() for n in ("token", "lo", "hi")]
@@ -260,17 +298,27 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _row_sets(common.value, n)
+        for rows, data, offsets in slices(batches):
+            found = [v for _, v in sets(data, offsets)]
+            digests = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in found]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(v) for v in found], pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "size", "class"])
+
+    def rich(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As light, with two smallest hashes and the prefix, for sets that are not empty."""
         sets = _row_sets(common.value, n)
         for rows, data, offsets in slices(batches):
             found = sets(data, offsets)
-            sizes = [len(v) for _, v in found]
+            at = [i for i, (_, v) in enumerate(found) if len(v)]
+            found = [found[i] for i in at]
             prefix = [v[: len(v) - least_overlap(len(v), -(-percent * len(v) // 100), percent) + 1].tobytes() for _, v in found]
-            keys = [[int(h.min()), int(mix(h).min() >> np.uint64(1))] if len(h) else [] for h, _ in found]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for _, v in found], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary())], ["doc_id", "size", "class", "keys", "prefix"])
+            keys = [[int(h.min()), int(mix(h).min() >> np.uint64(1))] for h, _ in found]
+            digests = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for _, v in found]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), pa.array([len(v) for _, v in found], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary())], ["doc_id", "size", "class", "keys", "prefix"])
 
-    known = cut(docs.mapInArrow(light, "doc_id long, size long, class binary, keys array<long>, prefix binary"))
     # one node a class: its smallest document
-    nodes = cut(known.where("size > 0 and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "size", "keys", "prefix")).alias("r")).select(F.col("r.doc_id").alias("node"), "class", "r.size", "r.keys", "r.prefix"))
+    classed = docs.where("doc_id is not null").mapInArrow(rich, "doc_id long, size long, class binary, keys array<long>, prefix binary")
+    nodes = cut(classed.groupBy("class").agg(F.min(F.struct("doc_id", "size", "keys", "prefix")).alias("r")).select(F.col("r.doc_id").alias("node"), "class", "r.size", "r.keys", "r.prefix"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,13 +326,18 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 part = b.slice(at, 512)
                 tokens = [np.frombuffer(p, np.int64) for p in part.column("prefix").to_pylist()]
                 many = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(part.column("node").to_numpy(), many)), pa.array(np.repeat(part.column("size").to_numpy(), many)), pa.array(np.concatenate([np.arange(m) for m in many]))], ["token", "node", "size", "at"])
-
-    listed = nodes.select("node", "size", "prefix").mapInArrow(postings, "token long, node long, size long, at long")
-    often = listed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"), F.max("node").alias("most")).where("m > 1 and least < most")
-    shared = cut(listed.join(often.select("token"), "token"))
-
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
+                place = np.repeat(part.column("size").to_numpy(), many) << 32 | np.concatenate([np.arange(m) for m in many])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(part.column("node").to_numpy(), many)), pa.array(place)], ["token", "node", "place"])
+
+    listed = nodes.select("node", "size", "prefix").mapInArrow(postings, "token long, node long, place long")
+    # the top bit marks the frequent tokens: only those can have many nodes
+    seldom = listed.where("token >= 0").repartition("token").sortWithinPartitions("token", "place").mapInArrow(_with_partner(percent), listed.schema)
+    frequents = listed.where("token < 0")
+    often = frequents.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    shared = cut(seldom.union(frequents.join(often.select("token"), "token").select(*listed.columns)).select("token", "node", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND((1 << 32) - 1).alias("at")))
+
+    active = shared.select("node").distinct()
+    keyed = nodes.join(active, "node").select("node", "size", F.explode("keys").alias("key"))
     pivot = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == k, F.col("node"))).alias(f"p{k}") for k in range(PIVOTS)]
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("tokens"), *pivot).where("m > 1")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
@@ -292,14 +345,14 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     own = keyed.join(met, "key").select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
     # some nodes stand in every block of a large group, so that blocks are linked with each other
     pivots = met.where("blocks > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "pivots").select("key", "block", F.explode("pivots").alias("node"))
-    placed = cut(own.union(pivots).distinct())
+    placed = own.union(pivots).distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _row_sets(common.value, n)
         for rows, data, offsets in slices(batches):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([v.tobytes() for _, v in sets(data, offsets)], pa.binary())], ["node", "tokens"])
 
-    needed = placed.select("node").union(shared.select("node")).distinct().withColumnRenamed("node", "doc_id")
+    needed = active.withColumnRenamed("node", "doc_id")
     sets = cut(docs.join(needed, "doc_id").mapInArrow(whole, "node long, tokens binary"))
     met_rows = placed.join(sets, "node").repartition("key", "block").sortWithinPartitions("key", "block", "node")
     first = cut(met_rows.select("key", "block", "node", "tokens").mapInArrow(_join_blocks(percent), "a long, b long"))
@@ -318,7 +371,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     final = components(first.union(late))
 
     classes = nodes.select("class", "node").join(final, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    result = known.select("doc_id", "size", "class").join(classes, "class", "left")
+    result = docs.mapInArrow(light, "doc_id long, size long, class binary").join(classes, "class", "left")
     return result.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
