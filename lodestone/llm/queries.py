@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licences, mixing, neighbours, sharding, toxicity, webp
+from . import bpe, jaccard, licences, mixing, neighbours, quality, repeats, sharding, toxicity, webp
 from .common import read
 
 
@@ -23,10 +23,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(read(spark, sf_dir, "documents"))
+
+
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(read(spark, sf_dir, "documents"), 3, 90)
 
@@ -47,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_mix_sources": op2_mix_sources,
     "op3_bpe": op3_bpe,
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op5_licence_scan": op5_licence_scan,
+    "op6_kneser_ney_quality": op6_kneser_ney_quality,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_webp_media": op9_webp_media,
