@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
+from .marks import keep, marked
 from .textbytes import LOWER, SPACE, mix, running_sum, slices, span_hashes, words
 
 FREQUENT = 1 << 17
@@ -352,8 +353,8 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         for rows, data, offsets in slices(batches):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([v.tobytes() for _, v in sets(data, offsets)], pa.binary())], ["node", "tokens"])
 
-    needed = active.withColumnRenamed("node", "doc_id")
-    sets = cut(docs.join(needed, "doc_id").mapInArrow(whole, "node long, tokens binary"))
+    marks = marked(active)
+    sets = cut(docs.mapInArrow(keep(marks, "doc_id"), docs.schema).mapInArrow(whole, "node long, tokens binary"))
     met_rows = placed.join(sets, "node").repartition("key", "block").sortWithinPartitions("key", "block", "node")
     first = cut(met_rows.select("key", "block", "node", "tokens").mapInArrow(_join_blocks(percent), "a long, b long"))
 
