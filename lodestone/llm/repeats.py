@@ -8,8 +8,8 @@ one anchor, and only pieces of one anchor can have a string in common.
 1. A piece that equals an earlier one is covered whole; tasks settle what they see before the shuffle.
 2. Distinct pieces of one anchor are spread over shards. Each shard's transform is made by sorting its own
    suffixes. The transforms are then merged by refining their interleave: each round sorts, stably, by
-   the symbol before, so that after k rounds rows are in order of their first k bytes. A bound that is new
-   in round k is a common prefix of k - 1; after LENGTH rounds what no bound parts is a repeated interval.
+   the symbol before, so that after k rounds rows are in order of their first k bytes. Bounds that are new
+   in round k end a common prefix of k - 1; after LENGTH rounds what no bound parts is a repeated interval.
 3. The covered strings of a document are joined to spans and taken out of its bytes.
 
 Anchors that very many distinct pieces share (at most FREQUENT of them, found by counting all) are not
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .marks import keep, marked
 from .textbytes import mix, running_sum, slices, span_hashes
 
 LENGTH, GRAM = 100, 24
@@ -126,10 +127,11 @@ def _order(text: np.ndarray) -> np.ndarray:
 
 
 def merge_transforms(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Place (in the joined shards) of each suffix in merged order, and the common prefix with the one before, at most depth.
+    """Places (in the joined shards), in merged order, and intervals of the suffixes that share `depth` bytes with another.
 
     No suffix of the joined text is sorted: the interleave starts with the shards one after the other, and
-    each round moves every row to where its previous symbol puts it.
+    each round moves every row to where its previous symbol puts it. A row between two bounds has its common
+    prefix and is left out of further rounds, as then is what stands before it; so is one that meets an end.
     """
     base = np.cumsum([0, *[len(s) for s in shards]])
     suffix, before, jump = [], [], []
@@ -144,18 +146,18 @@ def merge_transforms(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.
     suffix, before, jump = np.concatenate(suffix), np.concatenate(before), np.concatenate(jump).astype(np.int32)
     rows = np.arange(len(suffix), dtype=np.int32)
     block = np.zeros(len(rows), np.int32)
-    common = np.full(len(rows), -1, np.int16)
-    for k in range(depth):
+    for k in range(1, depth + 1):
         symbol = before[rows]
         order = np.argsort(symbol, kind="stable")
         symbol, was = symbol[order], block[order]
         rows = jump[rows[order]]
-        bound = np.ones(len(rows), bool)
-        bound[1:] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
-        common[bound & (common < 0)] = k
-        block = np.cumsum(bound, dtype=np.int32)
-    common[common < 0] = depth
-    return suffix[rows], common
+        bound = np.ones(len(rows) + 1, bool)
+        bound[1:-1] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
+        block = np.cumsum(bound[:-1], dtype=np.int32)
+        if k % 4 == 0 or k == depth:
+            stay = (symbol != END) & ~(bound[:-1] & bound[1:])
+            rows, block = rows[stay], block[stay]
+    return suffix[rows], block
 
 
 def repeated(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -170,13 +172,12 @@ def repeated(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
             own, size = [], 0
     if own:
         shards.append(np.frombuffer(b"".join(own), np.uint8))
-    place, common = merge_transforms(shards)
+    place, interval = merge_transforms(shards)
     begin = np.cumsum(lengths) - lengths
     text = np.searchsorted(begin, place, "right") - 1
     start = place - begin[text]
     valid = start + LENGTH < lengths[text]
-    interval = np.cumsum(common < LENGTH)[valid]
-    text, start = text[valid], start[valid]
+    text, start, interval = text[valid], start[valid], interval[valid]
     order = np.lexsort([at[text] + start, doc[text], interval])
     text, start, interval = text[order], start[order], interval[order]
     new = np.ones(len(text), bool)
@@ -325,7 +326,8 @@ def spans(docs: DataFrame) -> DataFrame:
     settled = cut(rows.mapInArrow(_settle, ROW).select("key", "doc", "at", "n", "covered"))
     # a document has at most one piece for each of its bytes
     open_ = settled.where("not covered").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "n")).alias("open"))
-    fetched = docs.join(open_, docs["doc_id"] == open_["doc"]).select("doc_id", "text", "open").mapInArrow(_fetch, "key long, doc long, at long, bytes binary")
+    some = docs.mapInArrow(keep(marked(settled.where("not covered").select("doc")), "doc_id"), docs.schema)
+    fetched = some.join(open_, some["doc_id"] == open_["doc"]).select("doc_id", "text", "open").mapInArrow(_fetch, "key long, doc long, at long, bytes binary")
     merged = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, at long, n int")
     covered = settled.where("covered").select("doc", "at", "n").union(merged)
     return covered.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
@@ -343,9 +345,14 @@ def _runs(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, columns: list[str]) -> DataFrame:
-    found = spans(docs)
-    return docs.join(found, docs["doc_id"] == found["doc"], "left").select(*[docs[c] for c in columns], "spans")
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """docs and their spans; only texts that may have some are shuffled."""
+    found = cut(spans(docs))
+    marks = marked(found.select("doc"))
+    clean = docs.mapInArrow(keep(marks, "doc_id", False), docs.schema)
+    rest = docs.mapInArrow(keep(marks, "doc_id"), docs.schema)
+    joined = rest.join(found, rest["doc_id"] == found["doc"], "left").select(*[rest[c] for c in docs.columns], "spans")
+    return clean.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)).union(joined)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -365,7 +372,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
                     out[c].append(v)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()]], ["doc_id", *out])
 
-    return _with_spans(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -390,6 +397,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("rest"), pa.array(texts, pa.string())], ["rest", "text"])
 
     schema = packed.select("rest", "text").schema
-    joined = _with_spans(packed, ["doc_id", "text", "rest"])
+    joined = _with_spans(packed.select("doc_id", "text", "rest"))
     out = joined.mapInArrow(run, schema)
     return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns])
