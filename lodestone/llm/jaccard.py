@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 from .components import components
 from .marks import keep, marked
 from .textbytes import LOWER, SPACE, mix, running_sum, slices, span_hashes, words
@@ -46,7 +46,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     left = np.repeat(first[1:], count) - np.arange(len(hashes))  # words from here to the row's end
     for k in range(n):
         moved = np.zeros(len(hashes), np.uint64)
-        moved[: len(hashes) - k] = hashes[k:]
+        moved[: max(0, len(hashes) - k)] = hashes[k:]
         value += np.where(left > k, mix(moved + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (1 << 64) - 1)), 0)
     short = np.repeat(count < n, count) & (np.arange(len(hashes)) == np.repeat(first[:-1], count))
     keep = (left >= n) | short
@@ -378,5 +378,6 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the first of their group, with all their columns; rows without an id stay."""
-    groups = similar_groups(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["kept_id"], "left").where(F.col("kept_id").isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns])
+    name = free_name(docs, "kept_id")
+    groups = similar_groups(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(groups, docs["doc_id"] == groups[name], "left").where(F.col(name).isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns])

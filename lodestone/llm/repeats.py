@@ -151,11 +151,13 @@ def merge_transforms(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.
         order = np.argsort(symbol, kind="stable")
         symbol, was = symbol[order], block[order]
         rows = jump[rows[order]]
+        live = int(np.searchsorted(symbol, END))  # ends are the last symbols
+        symbol, was, rows = symbol[:live], was[:live], rows[:live]
         bound = np.ones(len(rows) + 1, bool)
         bound[1:-1] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
         block = np.cumsum(bound[:-1], dtype=np.int32)
         if k % 4 == 0 or k == depth:
-            stay = (symbol != END) & ~(bound[:-1] & bound[1:])
+            stay = ~(bound[:-1] & bound[1:])
             rows, block = rows[stay], block[stay]
     return suffix[rows], block
 
