@@ -199,11 +199,13 @@ def _first_of(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[
     return order, np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else order
 
 
-ROW = "key long, own long, doc long, at long, n int, covered boolean"
+ROW = "key long, own long, doc long, place long"
 
 
 def _batch(key, own, doc, at, n, covered) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(own.astype(np.int64)), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(covered)], ["key", "own", "doc", "at", "n", "covered"])
+    """Start and number of strings in one value, inverted where the piece is covered: rows are many, and this keeps them short."""
+    place = at << 8 | n
+    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(own.astype(np.int64)), pa.array(doc), pa.array(np.where(covered, ~place, place))], ["key", "own", "doc", "place"])
 
 
 def _cut_up(frequent) -> callable:
@@ -247,7 +249,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def flush(t: pa.Table) -> pa.RecordBatch:
-        key, own, doc, at, n, done = (t.column(c).to_numpy() for c in ("key", "own", "doc", "at", "n", "covered"))
+        key, own, doc, place = (t.column(c).to_numpy() for c in ("key", "own", "doc", "place"))
+        done = place < 0
+        place = np.where(done, ~place, place)
+        at, n = place >> 8, place & 255
         settled = _batch(key[done], own[done], doc[done], at[done], n[done], done[done])
         key, own, doc, at, n = (c[~done] for c in (key, own, doc, at, n))
         order, first = _first_of([key, own], doc, at)
@@ -325,7 +330,9 @@ def spans(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs))
     rows = docs.mapInArrow(_cut_up(frequent), ROW).repartition("key").sortWithinPartitions("key")
-    settled = cut(rows.mapInArrow(_settle, ROW).select("key", "doc", "at", "n", "covered"))
+    place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place"))
+    kept = cut(rows.mapInArrow(_settle, ROW).select("key", "doc", "place"))
+    settled = kept.select("key", "doc", F.shiftright(place, 8).alias("at"), place.bitwiseAND(255).cast("int").alias("n"), (F.col("place") < 0).alias("covered"))
     # a document has at most one piece for each of its bytes
     open_ = settled.where("not covered").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "n")).alias("open"))
     some = docs.mapInArrow(keep(marked(settled.where("not covered").select("doc")), "doc_id"), docs.schema)
