@@ -274,6 +274,23 @@ def _pairs(percent: int) -> Callable:
     return run
 
 
+def _plausible(percent: int) -> Callable:
+    """Pairs whose prefixes leave room for a link: what one has below the other's last prefix token, it must have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for p, q, m, n in zip(*[b.column(c).to_pylist() for c in ("p", "q", "m", "n")], strict=True):
+                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                missing = int(np.searchsorted(p, q[-1], "right")) - both, int(np.searchsorted(q, p[-1], "right")) - both
+                ok.append(min(m - missing[0], n - missing[1]) >= least_overlap(m, n, percent))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("x").filter(ok), b.column("y").filter(ok)], ["x", "y"])
+
+    return run
+
+
 def _verify(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -366,7 +383,9 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     spread = rest.select("token", "node", "label", "size", "at", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "at", "mine")
     sorted_ = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    pairs = cut(sorted_.mapInArrow(_pairs(percent), "x long, y long").distinct())
+    found = sorted_.mapInArrow(_pairs(percent), "x long, y long").distinct()
+    heads = found.join(nodes.select(F.col("node").alias("x"), F.col("prefix").alias("p"), F.col("size").alias("m")), "x").join(nodes.select(F.col("node").alias("y"), F.col("prefix").alias("q"), F.col("size").alias("n")), "y")
+    pairs = cut(heads.select("x", "y", "p", "q", "m", "n").mapInArrow(_plausible(percent), "x long, y long").distinct())
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("t")), "y")
     late = both.select("x", "y", "s", "t").mapInArrow(_verify(percent), "a long, b long")
     final = components(first.union(late))
