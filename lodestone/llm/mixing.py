@@ -74,10 +74,11 @@ def mix(
     max_epochs: Fraction = Fraction(2),
     seed: int = 20240601,
     max_sources: int = 1_000_000,
+    size: Column | None = None,
 ) -> DataFrame:
     """All columns of docs, plus mix_size, mix_source_size, mix_target and mix_copies.
 
-    Sizes are words. The list of sources is configuration: one weight each, held by the driver
+    Sizes are words of the text, or `size`, a whole number, where docs hold it already. The list of sources is configuration: one weight each, held by the driver
     (`max_sources` guards that). Null sources count as one source, the last; null texts have size 0.
     Documents of size 0 are repeated as often as their source as a whole. Rows that repeat share one
     place in the seeded order and are taken one by one. An empty table gives no rows; a source whose
@@ -89,7 +90,7 @@ def mix(
         F.struct(*docs.columns).alias("doc"),
         F.col("source"),
         F.col("doc_id"),
-        word_count(F.col("text")).alias("size"),
+        (word_count(F.col("text")) if size is None else size).alias("size"),
         F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(LEAVES)).alias("leaf"),
     )
     leaves = cut(sized.groupBy("source", "leaf").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")))
@@ -130,5 +131,6 @@ def mix(
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    mixed = mix(docs.select("doc_id", "text", "source"))
+    # texts are read for their sizes only, and don't travel
+    mixed = mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), size=F.col("words"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
