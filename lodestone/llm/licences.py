@@ -1,11 +1,11 @@
 """Licence scans with a positional index over the rare words of licence templates.
 
 Templates are short licence texts and phrases. Their words make a vocabulary of a few hundred words,
-whose document frequencies are counted over all documents. In each file, the occurrences of the
-vocabulary's words are found; the highest-IDF ones are looked up in the templates' postings, each hit
-votes for (template, place where it would start), and alignments with enough votes are verified: a
-key phrase must stand whole at its place, a text must match in most of its words there and have its
-mandatory phrases. A phrase is keyed by its own highest-IDF word, so no place of it can be missed.
+whose document frequencies are counted over all documents. A template is keyed by its highest-IDF words,
+one more of them than a match may lack, so that every match holds a key at its place. In each file, all
+places of keys give alignments of their templates, and each alignment is verified: a key phrase must
+stand whole at its place, a text must match in most of its words there and have its mandatory phrases.
+No place of a phrase and no matching alignment of a text can be missed, whatever else is in the file.
 """
 
 from __future__ import annotations
@@ -61,9 +61,9 @@ OWN = (
 
 
 class Index:
-    """Vocabulary, template word ids and postings. `weights` are the vocabulary's IDFs, by word."""
+    """Vocabulary, template word ids and postings. `weights` are the vocabulary's IDFs, by word; `cover` is the share of words that matches."""
 
-    def __init__(self, templates: Sequence[Template], idf: dict[str, float] | None = None):
+    def __init__(self, templates: Sequence[Template], idf: dict[str, float] | None = None, cover: float = 0.8):
         self.templates = list(templates)
         self.vocabulary = sorted({w for t in templates for w in t.text.split()} | {w for t in templates for m in t.mandatory for w in m.split()})
         self.number = {w: i for i, w in enumerate(self.vocabulary)}
@@ -73,12 +73,14 @@ class Index:
         self.idf = np.array([(idf or {}).get(w, 1.0) for w in self.vocabulary])
         self.ids = [np.array([self.number[w] for w in t.text.split()]) for t in templates]
         self.mandatory = [[np.array([self.number[w] for w in m.split()]) for m in t.mandatory] for t in templates]
+        # fewest of a template's words that must stand at their places
+        self.needed = [len(ids) if t.base else next(m for m in range(len(ids) + 1) if m / len(ids) >= cover) for t, ids in zip(templates, self.ids, strict=True)]
         self.postings: list[list[tuple[int, int]]] = [[] for _ in self.vocabulary]
         for t, ids in enumerate(self.ids):
-            # a phrase has its highest-IDF word as key; a longer text all its words
-            places = [int(np.argmax(self.idf[ids]))] if templates[t].base else range(len(ids))
-            for k in places:
+            # a match misses too few words to miss all keys: one more highest-IDF word than may be missed
+            for k in np.argsort(-self.idf[ids], kind="stable")[: len(ids) - self.needed[t] + 1].tolist():
                 self.postings[ids[k]].append((t, k))
+        self.keyed = np.array([bool(p) for p in self.postings])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary ids of words given by their hashes; -1 for other words."""
@@ -86,32 +88,38 @@ class Index:
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
 
-def scan_words(index: Index, ids: np.ndarray, n_words: int, rare: int = 6, cover: float = 0.8) -> dict:
+def scan_words(index: Index, ids: np.ndarray, n_words: int) -> dict:
     """Matches in one file. `ids` has the vocabulary id of each of its words, -1 for other words."""
     at = np.flatnonzero(ids >= 0)
-    here = sorted(set(ids[at].tolist()), key=lambda v: (-index.idf[v], v))
-    top = set(here[:rare])
-    votes: dict[tuple[int, int], int] = {}
-    for p in at.tolist():
-        for t, k in index.postings[ids[p]]:
-            if index.templates[t].base or ids[p] in top:
-                votes[t, p - k] = votes.get((t, p - k), 0) + 1
+    at = at[index.keyed[ids[at]]]
+    hits: dict[int, list[np.ndarray]] = {}
+    for v in np.unique(ids[at]).tolist():
+        own = at[ids[at] == v]
+        for t, k in index.postings[v]:
+            hits.setdefault(t, []).append(own - k)
     places: list[int] = []
     base, labels, score = set(), set(), 0.0
-    for (t, start), n in votes.items():
+    for t, found in hits.items():
         template, want = index.templates[t], index.ids[t]
-        lo, hi = max(0, start), min(n_words, start + len(want))
-        same = ids[lo:hi] == want[lo - start : hi - start]
+        starts = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+        same = np.zeros(len(starts), np.int64)
+        for k, v in enumerate(want.tolist()):
+            p = starts + k
+            same += (ids[np.clip(p, 0, n_words - 1)] == v) & (p >= 0) & (p < n_words)
+        enough = np.flatnonzero(same >= index.needed[t])
         if template.base:
-            if same.sum() == len(want):
-                places.append(start)
+            if len(enough):
+                places.extend(starts[enough].tolist())
                 base.add(template.label)
                 score = 1.0
-        elif n >= 2 or len(want) < 4:
-            share = float(same.sum()) / len(want)
-            if share >= cover and all(_stands(ids[lo:hi], phrase) for phrase in index.mandatory[t]):
+            continue
+        # the best alignment comes first, so the first one with its phrases gives the template's score
+        for i in enough[np.argsort(-same[enough], kind="stable")].tolist():
+            start = int(starts[i])
+            if all(_stands(ids[max(0, start) : start + len(want)], phrase) for phrase in index.mandatory[t]):
                 labels.add(template.label)
-                score = max(score, share)
+                score = max(score, int(same[i]) / len(want))
+                break
     return {"places": places, "base": base, "labels": labels | base, "score": score}
 
 

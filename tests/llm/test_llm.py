@@ -162,6 +162,39 @@ def test_licence_scan_equals_brute_force(docs, odd):
             assert (g.first_word, g.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
 
 
+def licence_labels(text, cover=0.8):
+    """Labels and score by trying every template at every place."""
+    words, labels, score = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER)), set(), 0.0
+    for t in licences.BASE + licences.OWN:
+        want = t.text.split()
+        for start in range(1 - len(want), len(words)):
+            part = words[max(0, start) : start + len(want)]
+            share = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(want)) / len(want)
+            held = all(any(part[k : k + len(m.split())] == m.split() for k in range(len(part))) for m in t.mandatory)
+            if share == 1 if t.base else share >= cover and held:
+                labels.add(t.label)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_licence_labels_equal_brute_force(spark, docs, odd):
+    rng = random.Random(7)
+    own = [t.text for t in licences.OWN]
+
+    def torn(text):
+        words = text.split()
+        for _ in range(rng.randint(0, len(words) // 4)):
+            words[rng.randrange(len(words))] = rng.choice(["other", "fee", "license"])
+        return " ".join(words[rng.choice([0, 0, 1]) :])
+
+    made = ["\n".join(own), "A fee hereby granted for any purpose, copy or modify it, for that person. " * 400 + "Released under the MIT License."]
+    made += [" filler ".join(torn(t) for t in rng.choices(own, k=rng.randint(1, 8))) for _ in range(40)]
+    for frame in (spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), odd, docs.limit(60)):
+        got = {r.doc_id: (r.labels, r.score) for r in licences.scan(frame).collect()}
+        assert got == {r.doc_id: licence_labels(r.text or "") for r in frame.collect()}
+    assert "mit" in licence_labels(made[1])[0] and len(licence_labels(made[0])[0].split(",")) > 10
+
+
 def test_kneser_ney_sums_to_one(spark, docs):
     tables = quality.model(docs.limit(20).select("text"))
     for context in (b"tion", b"zzzz"):
