@@ -2,7 +2,7 @@
 
 Vectors are cut into two halves, each quantised with its own codebook; a pair of codes is a cell. For a
 query, the pairs are taken from a heap in order of their summed inner products with the query's halves,
-until the cells taken hold `visit` of all entries. The entries of those cells are ranked by their true
+until the cells taken hold `visit` of all entries and `k` entries of other ids. The entries of those cells are ranked by their true
 inner products. Codebooks are fitted on a bounded sample (`sample` rows in hash order); every row is indexed.
 
 Entries and queries travel in packs of bounded rows. Entry packs are keyed by their slab (a first code,
@@ -26,12 +26,13 @@ PACK, QUERY_PACK = 1024, 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part: no null, zero, null or non-finite component, and the smallest id's dimension."""
+    """vec_id and embedding of the rows that take part: no null, zero, null or non-finite component, and the most frequent dimension (of equally frequent ones, the one with the smallest id)."""
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0))
-    first = rows.agg(F.min(F.struct("vec_id", F.size("embedding").alias("n")))["n"].alias("n")).first()["n"]
-    return rows.where(F.size("embedding") == (first or 0))
+    sizes = rows.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.min("vec_id").alias("id"))
+    first = sizes.orderBy(F.desc("rows"), "id", "n").first()
+    return rows.where(F.size("embedding") == (first["n"] if first else 0))
 
 
 def k_means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 20240601) -> np.ndarray:
@@ -59,7 +60,7 @@ def fit(rows: DataFrame, codes: int, sample: int) -> tuple[np.ndarray, np.ndarra
 
 
 def visited(scores: tuple[np.ndarray, np.ndarray], sizes: np.ndarray, wanted: float) -> list[tuple[int, int]]:
-    """Pairs of codes in order of the sum of their scores, until their cells hold `wanted` entries."""
+    """Pairs of codes in order of the sum of their scores, until their cells hold `wanted` entries or all are taken."""
     order = [np.argsort(-s, kind="stable") for s in scores]
     best = [s[o].tolist() for s, o in zip(scores, order, strict=True)]
     heap, seen, out, held = [(-best[0][0] - best[1][0], 0, 0)], {(0, 0)}, [], 0
@@ -82,9 +83,10 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 def search(vectors: DataFrame, every: int = 20, k: int = 20, visit: float = 0.6, codes: int = 32, sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k entries of largest inner product found for each query.
 
-    Queries are the rows whose vec_id is divisible by `every`; an entry with the query's vec_id is no
-    candidate. Ties go to the smaller vec_id. Rows that repeat an id are entries of their own. Rows that
-    `usable` leaves out take no part, and an empty table gives no rows.
+    Queries are the rows whose vec_id is divisible by `every`, and rows of equal id and embedding are one
+    query; an entry with the query's vec_id is no candidate. A query has k rows, or all candidates if there
+    are fewer, at every `visit`. Ties go to the smaller vec_id. Rows that repeat an id are entries of their
+    own. Rows that `usable` leaves out take no part, and an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -135,18 +137,20 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, visit: float = 0.6,
         for whole in batches:
             for at in range(0, whole.num_rows, QUERY_PACK):
                 b = whole.slice(at, QUERY_PACK)
-                x, ids = _vectors(b.column("embedding"), dim), b.column("vec_id").to_numpy()
+                x, ids, own_rows = _vectors(b.column("embedding"), dim), b.column("vec_id").to_numpy(), b.column("own").to_numpy()
                 mask = np.zeros((len(ids), *shape), bool)
                 scores = x[:, :half] @ books[0].T, x[:, half:] @ books[1].T
                 for q in range(len(ids)):
-                    for i, j in visited((scores[0][q], scores[1][q]), sizes, visit * total):
+                    for i, j in visited((scores[0][q], scores[1][q]), sizes, max(visit * total, k + int(own_rows[q]))):
                         mask[q, i, j] = True
                 # one row for each slab of which a query of the pack visits a cell
                 for a in np.flatnonzero(mask.any((0, 2))):
                     own = np.flatnonzero(mask[:, a].any(1))
                     yield pa.RecordBatch.from_pydict({"slab": [int(a)], "q_ids": [ids[own].tobytes()], "q_masks": [mask[own, a].tobytes()], "q_vectors": [x[own].tobytes()]}, pa.schema([("slab", pa.int32()), ("q_ids", pa.binary()), ("q_masks", pa.binary()), ("q_vectors", pa.binary())]))
 
-    queries = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").repartition(F.xxhash64("vec_id"))
+    # entries of the query's own id are in the cells too, and don't count towards its k
+    own = F.count(F.lit(1)).over(Window.partitionBy("vec_id"))
+    queries = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", own.alias("own")).dropDuplicates(["vec_id", "embedding"])
     probes = queries.mapInArrow(probe, "slab int, q_ids binary, q_masks binary, q_vectors binary")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -258,6 +258,25 @@ def test_neighbours_leave_out_unusable_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2), (0, 20), (20, 0), (20, 1), (20, 2)]
 
 
+def test_neighbours_fill_k_at_the_default_visit(spark):
+    rng = np.random.default_rng(11)
+    # a repeated id, whose rows fill the query's best cell, and few others: all of them are found
+    few = [(0, [9.0, 9.0])] * 30 + [(v, (-rng.random(2)).tolist()) for v in (1, 2, 3)]
+    # 30 vectors, of which 60 % are fewer than 20 others; the smallest id has a length of its own
+    more = [(-1, [1.0, 2.0, 3.0]), *[(v, rng.normal(size=4).tolist()) for v in range(30)]]
+    for rows, dim in ((few, 2), (more, 4)):
+        got = collections.defaultdict(list)
+        for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        usable = [(v, np.array(e, np.float32).astype(float)) for v, e in rows if len(e) == dim]
+        asked = {v: e for v, e in usable if v % 20 == 0}
+        for q, e in asked.items():
+            others = [v for _, v in sorted((-(x @ e), v) for v, x in usable if v != q)]
+            assert len(got[q]) == len(set(got[q])) == min(20, len(others)) and set(got[q]) <= set(others)
+            assert len(others) > 20 or got[q] == others
+        assert set(got) == set(asked)
+
+
 def test_webp_round_trip_and_features(odd):
     for units in (1, 2, 16385):
         payload = np.random.default_rng(units).integers(0, 256, 576 * units, dtype=np.uint8)
