@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, jaccard, mixing, repeats, toxicity
-from lodestone.llm.common import checkpoint_dir, read
+from lodestone.llm.common import checkpoint_dir, free_name, read
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,10 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that stand earlier too; n_chars follows. Documents left without text go."""
-    kept = repeats.without_repeats(docs).where("text is null or text <> ''")
+    """Texts without the byte strings that stand earlier too; n_chars follows. Documents left without text go; those that came without stay."""
+    had = free_name(docs, "had_text")
+    kept = repeats.without_repeats(docs.withColumn(had, F.coalesce(F.col("text") != "", F.lit(False))))
+    kept = kept.where(~F.col(had) | (F.col("text") != ""))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -350,6 +350,57 @@ def test_extra_columns_that_clash(spark, docs, toxic_labels):
     assert mixing.mix(named).count() == 5
 
 
+def plain_pipeline(spark, rows, toxic):
+    """(doc_id, token ids) of every copy, by plain Python; texts are ASCII and a source has under 1000 rows."""
+    rows = sorted((i, text, source) for i, text, _, source, _ in rows if i not in toxic)
+    root = groups([r[:2] for r in rows], 5, 80)
+    seen, kept = set(), []
+    for i, text, source in rows:
+        if root[i][1] == i:
+            covered = bytearray(len(text or ""))
+            for p in range(len(covered) - 99):
+                if text[p : p + 100] in seen:
+                    covered[p : p + 100] = b"\1" * 100
+                seen.add(text[p : p + 100])
+            left = "".join(x for x, c in zip(text or "", covered, strict=True) if not c)
+            if left or not text:
+                kept.append((i, left, source))
+    words = collections.Counter()
+    for _, text, source in kept:
+        words[source] += len(text.split())
+    names = sorted(words)
+    shares = mixing.water_fill([Fraction((5, 2, 1)[k % 3]) for k in range(len(names))], [Fraction(2 * words[n]) for n in names], Fraction(3 * sum(words.values()), 2))
+    hashes = {r.i: r.h for r in spark.createDataFrame([(i,) for i, _, _ in kept], "i long").selectExpr("i", "xxhash64(20240602, i) AS h").collect()}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    out = []
+    for name, share in zip(names, shares, strict=True):
+        whole = int(share // words[name])
+        gap = share - whole * words[name]
+        some = gap > 0
+        for _, i, text in sorted((hashes[i], i, text) for i, text, source in kept if source == name):
+            extra = some and len(text.split()) <= gap
+            gap -= len(text.split()) * extra
+            out += [(i, tuple(library.encode_ordinary(text)))] * (whole + extra)
+    return sorted(out)
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    fair, foul = ([a + b for a in first for b in last] for first, last in ((("gar", "riv", "lum", "ten"), ("den", "er", "en", "dril", "sol")), (("zak", "vox", "qux", "kro"), ("ox", "uzz", "ikk", "azz", "uxx"))))
+    rows = [(i, " ".join(rng.choice(foul if i % 2 else fair) for _ in range(60)), "en", "cd"[i % 4 // 2], 0) for i in range(60)]
+    text = [" ".join(rng.choice(fair) for _ in range(80)) for _ in range(5)]
+    planted = [" ".join(rng.choice(foul) for _ in range(60)), text[0], text[0] + " garden", text[1], text[2] + " " + text[1], text[1][20:300], "", None, text[3]]
+    rows += [(100 + k, t, "en", "a", 0) for k, t in enumerate(planted)] + [(120, "", "en", "c", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    found = {i for i, _ in got}
+    assert {106, 107} <= found and not {100, 102, 105} & found
+    assert got == plain_pipeline(spark, rows, {i for i in range(60) if i % 2} | {100})
+
+
 def test_arrow_slices_cover_all_rows():
     from lodestone.llm.textbytes import slices
 
