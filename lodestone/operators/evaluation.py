@@ -30,6 +30,27 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_ranks(spark, sf_dir).agg(F.count(F.lit(1)).alias("questions"), *[c.alias(n) for n, c in within.items()], F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
+_SCORES_SQL = "round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS recall_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall_5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr"
+_WORDS_SQL = "unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w"
+_BENCHMARK_SQL = f"""q AS (SELECT item_id, {_WORDS_SQL} FROM benchmark), d AS (SELECT doc_id, {_WORDS_SQL} FROM documents),
+ s AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS r FROM q JOIN d USING (w) GROUP BY item_id, doc_id),
+ f AS (SELECT b.item_id, min(r) FILTER (WHERE contains(d.text, b.text)) AS rank FROM benchmark b LEFT JOIN s ON s.item_id = b.item_id AND r <= 5 LEFT JOIN documents d ON d.doc_id = s.doc_id GROUP BY b.item_id)"""
+
+
+@query("benchmark_recall", f"WITH {_BENCHMARK_SQL} SELECT count(*) AS questions, {_SCORES_SQL} FROM f")
+def benchmark_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of `benchmark` is a question, ranked by shared words; documents that hold its passage are relevant. One without a passage is a miss."""
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("w")
+    shared = items.select("item_id", words).join(docs.select("doc_id", words), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    ranked = shared.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))).where("r <= 5").drop("n")
+    # only what is ranked can hit, so passages are looked for in the first 5 documents of each item
+    found = ranked.join(docs.select("doc_id", F.col("text").alias("content")), "doc_id").join(items, "item_id").where(F.contains("content", "text"))
+    first = found.groupBy("item_id").agg(F.min("r").alias("rank"))
+    within = {f"recall_{k}": F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 6) for k in (1, 3, 5)}
+    return items.select("item_id").join(first, "item_id", "left").agg(F.count(F.lit(1)).alias("questions"), *[c.alias(n) for n, c in within.items()], F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
 @query("accuracy", "SELECT lang AS kind, count(*) AS n, round(avg(CASE WHEN (n_chars > 200) = (quality = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of right answers by kind; the answer judged here is a rule on length."""

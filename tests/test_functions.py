@@ -88,3 +88,15 @@ def test_ingest_is_idempotent(spark, tmp_path):
     for run in range(2):
         ingest(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint{run}").awaitTermination()
     assert sorted((r["tenant"], r["source_path"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, "a.md"), (0, "c.md"), (1, "a.md")]
+
+
+def test_benchmark_recall_asks_every_item(spark, tmp_path):
+    from lodestone.operators import evaluation
+
+    passages = [(k, f"alpha{k} beta{k} gamma{k} delta") for k in range(40)] + [(40, "nowhere else"), (41, None)]
+    texts = [(k, f"intro {p} end") for k, p in passages[:40]] + [(50, "delta gamma7 beta7 alpha7"), (4, None)]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(100 - k, t) for k, t in texts], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = evaluation.benchmark_recall(spark, str(tmp_path)).first()
+    # item 7 has a document of equal words and smaller id before its own
+    assert tuple(got) == (42, round(39 / 42, 6), round(40 / 42, 6), round(40 / 42, 6), round(39.5 / 42, 6))
