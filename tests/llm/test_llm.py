@@ -287,6 +287,14 @@ def test_webp_round_trip_and_features(odd):
         assert raw[r.n_bytes :] == b"\xff" * (len(raw) - r.n_bytes) and zlib.crc32(raw[-32:]) == r.tail_crc32
 
 
+def test_webp_feature_sums_are_exact():
+    samples = np.random.default_rng(4).integers(0, 256, 576 * 500, dtype=np.uint8)
+    sides, sums, squares, changes = webp.feature_of(samples, 1).split(";")
+    values = samples.tolist()
+    assert (sides, sums) == ("144x500/1", ",".join(str(sum(values[c::4])) for c in range(4)))
+    assert (int(squares), int(changes)) == (sum(v * v for v in values), sum(a != b for a, b in zip(values, values[1:], strict=False)))
+
+
 class Writer:
     """Bits of a hand-made stream."""
 
