@@ -8,9 +8,10 @@ The order decides only how much work there is, never which links are found. Equa
    block's sets make a prefix tree; each set walks it, sharing the overlap of common prefixes, and leaves
    out subtrees whose lengths, or remaining tokens, cannot reach the overlap that the threshold asks for.
 2. Completion. Two sets over the threshold share a token among the first ones of each (the prefix). Tokens
-   whose classes are already in one component need no work. In the others, pairs of different components
-   that pass the length and position bounds are verified on their whole sets. So no link between components
-   is lost, and copies are never expanded into pairs.
+   whose classes are already in one component need no work. For each other token the prefixes of its sets
+   make a tree, walked once with the overlaps of all sets and pruned by what both sides lack; pairs of
+   different components that it leaves are verified on their whole sets. So no link between components is
+   lost, and copies are never expanded into pairs.
 
 Hot tokens are cut into blocks, and a task sees one pair of blocks.
 """
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_name
+from .commonest import commonest
 from .components import components
-from .marks import keep, marked
+from .marks import keep, marked, test
 from .textbytes import LOWER, SPACE, mix, running_sum, slices, span_hashes, words
 
 FREQUENT = 1 << 17
 BLOCK, BLOCK_TOKENS, PIVOTS = 512, 1 << 22, 4
 TOP = np.uint64(1 << 63)
+SLICE = 1 << 18
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,23 +63,24 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            token, times = np.unique(np.concatenate(held), return_counts=True)
+            tokens = np.sort(np.concatenate(held))
+            new = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
+            times = np.diff(np.append(new, len(tokens)))
             often = times >= 3
-            return pa.RecordBatch.from_arrays([pa.array(token[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], ["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(tokens[new[often]].astype(np.int64)), pa.array(times[often])], ["token", "n"])
 
-        for _, data, offsets in slices(batches):
-            row, h = shingles(data, offsets, n)
-            held.append(h)
-            size += len(h)
+        for _, data, offsets in slices(batches, most=SLICE):
+            held.append(shingles(data, offsets, n)[1])
+            size += len(held[-1])
             if size > 3 << 20:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
-    return np.array([r["token"] for r in top][::-1], np.uint64)
+    counts = cut(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    token, times = commonest(counts, {"token": "int64", "n": "int64"}, FREQUENT)
+    return token[np.lexsort([token, times])].astype(np.uint64)
 
 
 def ordered(h: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -188,15 +192,18 @@ def _join_blocks(percent: int) -> Callable:
 
 
 def _with_partner(percent: int) -> Callable:
-    """Of rows sorted by token, those with a row of the same token that the length and position bounds let pass."""
+    """Of rows sorted by token, those with a row of the same token that the length and position bounds let pass. Rows of a token that has many all pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        passing = None
 
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
             token, place = t.column("token").to_numpy(), t.column("place").to_numpy()
-            size, at, keep = place >> 32, place & ((1 << 32) - 1), np.zeros(len(token), bool)
-            first, far = np.flatnonzero(token[1:] == token[:-1]), 1
+            size, at = place >> 32, place & ((1 << 32) - 1)
+            new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[: len(token)])
+            keep = np.repeat(np.diff(np.append(new, len(token))) > BLOCK, np.diff(np.append(new, len(token))))
+            first, far = np.flatnonzero((token[1:] == token[:-1]) & ~keep[1:]), 1
             while len(first):
                 # rows of one token that stand `far` rows apart
                 a, b = size[first], size[first + far]
@@ -207,54 +214,92 @@ def _with_partner(percent: int) -> Callable:
                 first = first[token[first + far] == token[first]]
             yield from t.filter(pa.array(keep)).to_batches()
 
-        # rows of one token may reach over batches, so the last ones wait
+        # rows of one token may reach over batches, so the last ones wait, unless they are many already
         for b in batches:
+            if passing is not None:
+                more = int(np.searchsorted(b.column("token").to_numpy(), passing, "right"))
+                yield b.slice(0, more)
+                b = b.slice(more)
+                passing = passing if not b.num_rows else None
             if not b.num_rows:
                 continue
             held.append(b)
             t = pa.Table.from_batches(held)
-            start = int(np.searchsorted(t.column("token").to_numpy(), t.column("token")[t.num_rows - 1].as_py()))
+            last = t.column("token")[t.num_rows - 1].as_py()
+            start = int(np.searchsorted(t.column("token").to_numpy(), last))
             if start:
                 yield from flush(t.slice(0, start))
             held = t.slice(start).to_batches()
+            if t.num_rows - start > BLOCK:
+                yield from held
+                held, passing = [], last
         if held:
             yield from flush(pa.Table.from_batches(held))
 
     return run
 
 
+def prefix_pairs(prefixes: list[np.ndarray], size: np.ndarray, label: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets of different labels (and sides, if given) whose prefixes leave room for a link.
+
+    The prefixes make a tree. It is walked once for all sets: `overlap` holds, for each set that is still in,
+    how many tokens it shares with the path, so that a common path is compared once. Below the last token of
+    its prefix a set lacks what it does not share; a set leaves a subtree when what both sides lack leaves too
+    few tokens for its lengths, and the subtree is left when no set is in.
+    """
+    tree, out = Trie(prefixes, percent), []
+    order = np.array(tree.order)
+    n, label = size[order], label[order]
+    side = None if side is None else side[order]
+    count = np.array([len(p) for p in tree.sets])
+    flat, start = np.concatenate(tree.sets), np.cumsum(count) - count
+    last = flat[start + count - 1]
+    by = np.argsort(flat, kind="stable")
+    tokens, owner = flat[by], np.repeat(np.arange(len(n)), count)[by]
+    place = np.full((len(n), int(count.max())), np.iinfo(np.int64).max)
+    place[np.arange(int(count.max())) < count[:, None]] = np.searchsorted(tokens, flat)
+    none = np.zeros(len(n), np.int64)
+    # sets that are in; what each shares with the path; tokens of the path in its reach, and its own in the path's
+    stack = [(tree.root, np.arange(len(n)), none, none, none)]
+    while stack:
+        (lo, hi, edge, depth, _, _, children), in_, overlap, theirs, own = stack.pop()
+        if len(edge):
+            a, b = np.searchsorted(tokens, edge), np.searchsorted(tokens, edge, "right")
+            met = np.concatenate([owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            overlap = overlap + np.bincount(met, minlength=len(n))[in_]
+            theirs = theirs + np.searchsorted(edge, last[in_], "right")
+            own = (place[in_] <= int(a[-1])).sum(1)
+        short, long, size_in = int(n[lo:hi].min()), int(n[lo:hi].max()), n[in_]
+        room = np.minimum(size_in - (own - overlap), long - (theirs - overlap))
+        stay = (in_ < hi - 1) & (room >= least_overlap(size_in, short, percent)) & (100 * long >= percent * size_in) & (100 * size_in >= percent * short)
+        if not children:
+            stay &= label[in_] != label[lo]
+            if side is not None:
+                stay &= side[in_] != side[lo]
+            out += [(int(order[i]), int(order[lo])) for i in in_[stay]]
+        elif stay.any():
+            stack += [(c, in_[stay], overlap[stay], theirs[stay], own[stay]) for c in children]
+    return out
+
+
 def _pairs(percent: int) -> Callable:
-    """Pairs of different components in one pair of blocks of one token that pass the length and position bounds."""
-
-    def of(group: list[np.ndarray], one_block: bool) -> tuple[np.ndarray, np.ndarray]:
-        node, label, size, at, mine = group
-        left = np.flatnonzero(mine == mine.min())
-        right = left if one_block else np.flatnonzero(mine != mine.min())
-        a, b = size[left, None], size[right]
-        need = least_overlap(a, b, percent)
-        ok = (label[left, None] != label[right]) & (1 + np.minimum(a - at[left, None] - 1, b - at[right] - 1) >= need) & (np.minimum(a, b) >= need)
-        if one_block:
-            ok &= np.arange(len(left))[:, None] < np.arange(len(right))
-        i, j = np.nonzero(ok)
-        x, y = node[left[i]], node[right[j]]
-        return np.minimum(x, y), np.maximum(x, y)
+    """Pairs of different components in one pair of blocks of one token, by the tree of their prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            c = {n: t.column(n).to_numpy() for n in t.column_names}
+            c = {n: t.column(n).to_numpy() for n in ("token", "lo", "hi", "node", "label", "size", "mine")}
+            prefix = t.column("prefix").to_pylist()
             change = np.flatnonzero((np.diff(c["token"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)) + 1
-            xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, e in zip([0, *change], [*change, len(c["token"])], strict=True):
-                if e - s > 1:
-                    one = c["lo"][s] == c["hi"][s]
-                    if one or len(np.unique(c["mine"][s:e])) == 2:
-                        x, y = of([c[n][s:e] for n in ("node", "label", "size", "at", "mine")], one)
-                        xs.append(x)
-                        ys.append(y)
-            pair = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["x", "y"])
+            found: set[tuple[int, int]] = set()
+            for s, e in zip([0, *change.tolist()], [*change.tolist(), len(prefix)], strict=True):
+                label, mine, one = c["label"][s:e], c["mine"][s:e], c["lo"][s] == c["hi"][s]
+                if e - s > 1 and label.min() < label.max() and (one or mine.min() < mine.max()):
+                    node = c["node"][s:e].tolist()
+                    pairs = prefix_pairs([np.frombuffer(p, np.uint64) for p in prefix[s:e]], c["size"][s:e], label, None if one else mine, percent)
+                    found.update((min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["x", "y"])
 
         # rows come sorted by group; a group may reach over batches, so its last rows wait for the next one
         for b in batches:
@@ -274,23 +319,6 @@ def _pairs(percent: int) -> Callable:
     return run
 
 
-def _plausible(percent: int) -> Callable:
-    """Pairs whose prefixes leave room for a link: what one has below the other's last prefix token, it must have too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for p, q, m, n in zip(*[b.column(c).to_pylist() for c in ("p", "q", "m", "n")], strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                missing = int(np.searchsorted(p, q[-1], "right")) - both, int(np.searchsorted(q, p[-1], "right")) - both
-                ok.append(min(m - missing[0], n - missing[1]) >= least_overlap(m, n, percent))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("x").filter(ok), b.column("y").filter(ok)], ["x", "y"])
-
-    return run
-
-
 def _verify(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,7 +345,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _row_sets(common.value, n)
-        for rows, data, offsets in slices(batches):
+        for rows, data, offsets in slices(batches, most=SLICE):
             found = [v for _, v in sets(data, offsets)]
             digests = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in found]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(v) for v in found], pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "size", "class"])
@@ -325,7 +353,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     def rich(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """As light, with two smallest hashes and the prefix, for sets that are not empty."""
         sets = _row_sets(common.value, n)
-        for rows, data, offsets in slices(batches):
+        for rows, data, offsets in slices(batches, most=SLICE):
             found = sets(data, offsets)
             at = [i for i, (_, v) in enumerate(found) if len(v)]
             found = [found[i] for i in at]
@@ -352,7 +380,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     seldom = listed.where("token >= 0").repartition("token").sortWithinPartitions("token", "place").mapInArrow(_with_partner(percent), listed.schema)
     frequents = listed.where("token < 0")
     often = frequents.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    shared = cut(seldom.union(frequents.join(often.select("token"), "token").select(*listed.columns)).select("token", "node", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND((1 << 32) - 1).alias("at")))
+    shared = cut(seldom.union(frequents.join(often.select("token"), "token").select(*listed.columns)).select("token", "node"))
 
     active = shared.select("node").distinct()
     keyed = nodes.join(active, "node").select("node", "size", F.explode("keys").alias("key"))
@@ -367,7 +395,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _row_sets(common.value, n)
-        for rows, data, offsets in slices(batches):
+        for rows, data, offsets in slices(batches, most=SLICE):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([v.tobytes() for _, v in sets(data, offsets)], pa.binary())], ["node", "tokens"])
 
     marks = marked(active)
@@ -380,12 +408,11 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
     open_ = open_.select("token", F.ceil(F.col("m") / (2 * BLOCK)).cast("int").alias("blocks"))
     rest = labelled.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    spread = rest.select("token", "node", "label", "size", "at", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "at", "mine")
+    open_rows = rest.join(nodes.select("node", "size", "prefix"), "node")
+    spread = open_rows.select("token", "node", "label", "size", "prefix", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "prefix", "mine")
     sorted_ = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    found = sorted_.mapInArrow(_pairs(percent), "x long, y long").distinct()
-    heads = found.join(nodes.select(F.col("node").alias("x"), F.col("prefix").alias("p"), F.col("size").alias("m")), "x").join(nodes.select(F.col("node").alias("y"), F.col("prefix").alias("q"), F.col("size").alias("n")), "y")
-    pairs = cut(heads.select("x", "y", "p", "q", "m", "n").mapInArrow(_plausible(percent), "x long, y long").distinct())
+    pairs = cut(sorted_.mapInArrow(_pairs(percent), "x long, y long").distinct())
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("t")), "y")
     late = both.select("x", "y", "s", "t").mapInArrow(_verify(percent), "a long, b long")
     final = components(first.union(late))
@@ -395,8 +422,39 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return result.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+LARGE = 1 << 62
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the first of their group, with all their columns; rows without an id stay."""
-    name = free_name(docs, "kept_id")
-    groups = similar_groups(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(groups, docs["doc_id"] == groups[name], "left").where(F.col(name).isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns])
+    """One document of each group, the one of the smallest doc_id, with all its columns.
+
+    Rows of one id are documents of their own: where an id is null or stands in several rows, a hash of id and
+    text, larger than any id, names the row instead. Of rows equal in both, one stays if they have words.
+    """
+    name, hashed = free_name(docs, "row_key"), F.xxhash64("doc_id", "text")
+    shared = marked(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, h = b.column("doc_id"), b.column(name).to_numpy()
+            alone = ids.is_valid().to_numpy(zero_copy_only=False) & ~test(shared, ids)
+            own = np.where(alone, ids.fill_null(0).to_numpy(), h & (LARGE - 1) | LARGE)
+            yield b.set_column(b.schema.get_field_index(name), name, pa.array(own))
+
+    short = docs.select("doc_id", "text", hashed.alias(name))
+    found = cut(similar_groups(short.mapInArrow(key, short.schema).select(F.col(name).alias("doc_id"), "text"), n, percent))
+    rows = found.groupBy(F.col("doc_id").alias("own_")).agg(F.min("component_id").alias("first_"), F.min("n_shingles").alias("size_"), F.count(F.lit(1)).alias("rows_"))
+    odd = cut(rows.where("own_ != first_ or rows_ > 1"))
+    marks = marked(odd.select("own_"))
+    keyed = docs.withColumn(name, hashed)
+
+    def among(wanted: bool) -> Callable:
+        only = keep(marks, name, wanted)
+        return lambda batches: only(key(batches))
+
+    plain = keyed.mapInArrow(among(False), keyed.schema).select(*docs.columns)
+    rest = keyed.mapInArrow(among(True), keyed.schema)
+    rest = rest.join(odd, rest[name] == odd["own_"], "left").where("own_ is null or own_ = first_")
+    once = F.coalesce(F.col("rows_") > 1, F.lit(False)) & (F.col("size_") > 0)
+    single = rest.where(once).groupBy(name).agg(F.first(F.struct(*docs.columns)).alias("r")).select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
+    return plain.union(rest.where(~once).select(*docs.columns)).union(single)

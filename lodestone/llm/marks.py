@@ -51,3 +51,8 @@ def keep(marks: Broadcast, name: str, wanted: bool = True):
             yield b.filter(pa.array(test(marks, b.column(name)) == wanted))
 
     return run
+
+
+def own_hash(shared: Broadcast, b: pa.RecordBatch, name: str, hashed: str) -> np.ndarray:
+    """The hash column of rows whose id may be marked in `shared`, and 0 for all others."""
+    return np.where(test(shared, b.column(name)), b.column(hashed).to_numpy(), 0)

@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .commonest import commonest
 from .textbytes import LOWER, mix, slices
 
 ORDER = 5
 TABLE = 1 << 19
-_SLOTS = 22
+_SLOTS = 21
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,12 +47,12 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, data, offsets in slices(batches):
+        for _, data, offsets in slices(batches, most=1 << 18):
             own, n = np.unique(grams(data, offsets)[1], return_counts=True)
             both, total = np.concatenate([gram, own]), np.concatenate([times, n])
             gram, at = np.unique(both, return_inverse=True)
             times = np.bincount(at, total, len(gram)).astype(np.int64)
-            if len(gram) > 1 << 20:
+            if len(gram) > 1 << 19:
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(times)], ["gram", "n"])
                 gram, times = gram[:0], times[:0]
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(times)], ["gram", "n"])
@@ -110,31 +111,48 @@ def probabilities(wanted: DataFrame, tables: list[tuple[DataFrame, DataFrame]])
     return out.select("gram", "n", F.log(F.coalesce("p", F.col("weight") * empty)).alias("logp"))
 
 
+def slot_of(gram: np.ndarray, level: int) -> np.ndarray:
+    return (mix(gram.astype(np.uint64) + np.uint64(level)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
+def levels(keys: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hash tables of one key a slot; a key that finds its slot taken stands in the next table."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(keys) or not out:
+        table, value = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS, np.float32)
+        at, first = np.unique(slot_of(keys, len(out)), return_index=True)
+        table[at], value[at] = keys[first], values[first]
+        out.append((table, value))
+        left = np.ones(len(keys), bool)
+        left[first] = False
+        keys, values = keys[left], values[left]
+    return out
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, perplexity of every row with an id and ORDER bytes of text; rows of one id are one document."""
     logs = cut(probabilities(gram_counts(docs), model(trusted)))
-    top = logs.orderBy(F.desc("n"), "gram").limit(TABLE).select("gram", "logp").toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((top["gram"].to_numpy(np.int64), top["logp"].to_numpy(float)))
-
-    def slot_of(gram: np.ndarray) -> np.ndarray:
-        return (mix(gram.astype(np.uint64)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(commonest(logs, {"gram": "int64", "logp": "float32"}, TABLE))
+    empty = pa.array([], pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = shared.value
-        table, logp = np.full(1 << _SLOTS, -1, np.int64), np.zeros(1 << _SLOTS)
-        # the first of those that share a slot has it; the others are joined like any rare n-gram
-        at, first = np.unique(slot_of(keys), return_index=True)
-        table[at], logp[at] = keys[first], values[first]
-        for rows, data, offsets in slices(batches):
+        tables = levels(*shared.value)
+        for rows, data, offsets in slices(batches, most=1 << 18):
             row, gram = grams(data, offsets)
-            slot = slot_of(gram)
-            hit = table[slot] == gram
-            total = np.bincount(row[hit], logp[slot[hit]], rows.num_rows)
-            n = np.bincount(row[hit], minlength=rows.num_rows)
+            total, n = np.zeros(rows.num_rows), np.zeros(rows.num_rows, np.int64)
+            for level, (table, value) in enumerate(tables):
+                slot = slot_of(gram, level)
+                hit = table[slot] == gram
+                total += np.bincount(row[hit], value[slot[hit]], rows.num_rows)
+                n += np.bincount(row[hit], minlength=rows.num_rows)
+                row, gram = row[~hit], gram[~hit]
             ids = rows.column("doc_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(total), pa.array(n.astype(np.int64))], ["doc_id", "gram", "sum", "n"])
-            rare, times = np.unique(np.stack([row[~hit], gram[~hit]]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rare[0]]), pa.array(rare[1]), pa.array(np.zeros(len(times))), pa.array(times)], ["doc_id", "gram", "sum", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(total), pa.array(n)], ["doc_id", "gram", "sum", "n"])
+            order = np.lexsort([gram, row])
+            row, gram = row[order], gram[order]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])])[: len(row)])
+            times = np.diff(np.append(new, len(row)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row[new]]) if len(new) else empty, pa.array(gram[new]), pa.array(np.zeros(len(new))), pa.array(times)], ["doc_id", "gram", "sum", "n"])
 
     parts = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, gram long, sum double, n long"))
     joined = parts.where("gram is not null").select("doc_id", "gram", "n").join(logs.select("gram", "logp"), "gram").select("doc_id", (F.col("logp") * F.col("n")).alias("sum"), "n")

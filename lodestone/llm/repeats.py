@@ -19,15 +19,17 @@ brought to one task: their strings are pieces of their own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .marks import keep, marked
+from .commonest import commonest
+from .marks import keep, marked, own_hash
 from .textbytes import mix, running_sum, slices, span_hashes
 
 LENGTH, GRAM = 100, 24
@@ -93,9 +95,8 @@ def frequent_anchors(docs: DataFrame) -> np.ndarray:
         if held:
             yield flush()
 
-    counts = docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= MANY).orderBy(F.desc("n"), "anchor").limit(FREQUENT).collect()
-    return np.sort(np.array([r["anchor"] for r in top], np.int64).astype(np.uint64))
+    counts = cut(docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")))
+    return np.sort(commonest(counts, {"anchor": "int64"}, FREQUENT, MANY)[0].astype(np.uint64))
 
 
 def _order(text: np.ndarray) -> np.ndarray:
@@ -189,40 +190,42 @@ def repeated(texts: list[bytes], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([text[later], start[later]], 1)
 
 
-def _first_of(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of keys, doc, at; and for each the first row of its keys, as a place in that order."""
-    order = np.lexsort([at, doc, *reversed(keys)])
+ROW = ("key", "own", "doc", "text", "place")
+SCHEMA = ", ".join(f"{c} long" for c in ROW)
+
+
+def _first_of(key, own, doc, text, at, n) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns in order of key, own, doc, text, at; and for each row the first of its key and own, as a place in that order."""
+    order = np.lexsort([at, text, doc, own, key])
+    columns = [c[order] for c in (key, own, doc, text, at, n)]
     new = np.ones(len(order), bool)
-    for k in keys:
-        new[1:] &= k[order][1:] == k[order][:-1]
-    new[1:] = ~new[1:]
-    return order, np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else order
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    return columns, np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else order
 
 
-ROW = "key long, own long, doc long, place long"
+def _later(doc, text, at, first) -> np.ndarray:
+    return (doc != doc[first]) | (text != text[first]) | (at != at[first])
 
 
-def _batch(key, own, doc, at, n, covered) -> pa.RecordBatch:
+def _batch(key, own, doc, text, at, n, covered) -> pa.RecordBatch:
     """Start and number of strings in one value, inverted where the piece is covered: rows are many, and this keeps them short."""
     place = at << 8 | n
-    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(own.astype(np.int64)), pa.array(doc), pa.array(np.where(covered, ~place, place))], ["key", "own", "doc", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(own.astype(np.int64)), pa.array(doc), pa.array(text), pa.array(np.where(covered, ~place, place))], [*ROW])
 
 
-def _cut_up(frequent) -> callable:
+def _cut_up(frequent, shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, own, doc, at, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            order, first = _first_of([key, own], doc, at)
-            key, own, doc, at, n = (c[order] for c in (key, own, doc, at, n))
-            later = (doc != doc[first]) | (at != at[first])
+            (key, own, doc, text, at, n), first = _first_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            later = _later(doc, text, at, first)
             # what is settled goes anywhere, evenly
             key = np.where(later, mix(key + doc.astype(np.uint64) + at.astype(np.uint64)), key)
-            return _batch(key, own, doc, at, n, later)
+            return _batch(key, own, doc, text, at, n, later)
 
         for rows, data, offsets in slices(batches):
-            ids = rows.column("doc_id").to_numpy()
+            ids, texts = rows.column("doc_id").to_numpy(), own_hash(shared, rows, "doc_id", "hash")
             row, at, n, anchor, own, start, sums = pieces(data, offsets)
             spot = np.minimum(np.searchsorted(frequent.value, anchor), max(0, len(frequent.value) - 1))
             hot = frequent.value[spot] == anchor if len(frequent.value) else np.zeros(len(anchor), bool)
@@ -233,7 +236,7 @@ def _cut_up(frequent) -> callable:
                 single = span_hashes(sums, begin, begin + LENGTH)
                 row, at, n = (np.concatenate([c[~hot], m]) for c, m in ((row, np.repeat(row[hot], each)), (at, np.repeat(at[hot], each) + step), (n, np.ones(len(step), np.int64))))
                 anchor, own = np.concatenate([anchor[~hot], mix(single)]), np.concatenate([own[~hot], single])
-            held.append((anchor, own, ids[row], at, n))
+            held.append((anchor, own, ids[row], texts[row], at, n))
             size += len(row)
             if size > FLUSH:
                 yield flush()
@@ -248,21 +251,19 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: covered ones, and the distinct pieces of keys that have several."""
     held: list[pa.RecordBatch] = []
 
-    def flush(t: pa.Table) -> pa.RecordBatch:
-        key, own, doc, place = (t.column(c).to_numpy() for c in ("key", "own", "doc", "place"))
+    def flush(t: pa.Table) -> list[pa.RecordBatch]:
+        key, own, doc, text, place = (t.column(c).to_numpy() for c in ROW)
         done = place < 0
         place = np.where(done, ~place, place)
-        at, n = place >> 8, place & 255
-        settled = _batch(key[done], own[done], doc[done], at[done], n[done], done[done])
-        key, own, doc, at, n = (c[~done] for c in (key, own, doc, at, n))
-        order, first = _first_of([key, own], doc, at)
-        key, own, doc, at, n = (c[order] for c in (key, own, doc, at, n))
-        later = (doc != doc[first]) | (at != at[first])
+        columns = (key, own, doc, text, place >> 8, place & 255)
+        settled = _batch(*(c[done] for c in columns), done[done])
+        columns, first = _first_of(*(c[~done] for c in columns))
+        later = _later(*columns[2:5], first)
         lead = first == np.arange(len(first))
-        value, many = np.unique(key[lead], return_counts=True)
-        open_ = lead & (many[np.searchsorted(value, key)] > 1) if len(value) else lead
+        value, many = np.unique(columns[0][lead], return_counts=True)
+        open_ = lead & (many[np.searchsorted(value, columns[0])] > 1) if len(value) else lead
         keep = later | open_
-        merged = _batch(key[keep], own[keep], doc[keep], at[keep], n[keep], later[keep])
+        merged = _batch(*(c[keep] for c in columns), later[keep])
         return pa.Table.from_batches([settled, merged]).combine_chunks().to_batches(max_chunksize=1 << 30)
 
     for b in batches:
@@ -281,24 +282,22 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the open pieces of each document."""
     for rows, data, offsets in slices(batches):
-        out: dict[str, list] = {c: [] for c in ("key", "doc", "at", "bytes")}
-        for i, (doc, open_) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("open").to_pylist(), strict=True)):
-            text = data[offsets[i] : offsets[i + 1]].tobytes()
+        out: dict[str, list] = {c: [] for c in ("key", "doc", "text", "at", "bytes")}
+        for i, (doc, own, open_) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("hash").to_pylist(), rows.column("open").to_pylist(), strict=True)):
+            whole = data[offsets[i] : offsets[i + 1]].tobytes()
             for p in open_:
-                out["key"].append(p["key"])
-                out["doc"].append(doc)
-                out["at"].append(p["at"])
-                out["bytes"].append(text[p["at"] : p["at"] + p["n"] - 1 + LENGTH])
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())]))
+                for c, v in zip(out, (p["key"], doc, own, p["at"], whole[p["at"] : p["at"] + p["n"] - 1 + LENGTH]), strict=True):
+                    out[c].append(v)
+        yield pa.RecordBatch.from_pydict(out, pa.schema([*[(c, pa.int64()) for c in ("key", "doc", "text", "at")], ("bytes", pa.binary())]))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key. Whole keys are gathered up to MERGE bytes, and their repeated strings found."""
-    texts, doc, at, size, last = [], [], [], 0, None
+    texts, doc, own, at, size, last = [], [], [], [], 0, None
 
     def flush() -> pa.RecordBatch:
-        docs, places = np.array(doc, np.int64), np.array(at, np.int64)
-        hit = repeated(texts, docs, places)
+        docs, hashes, places = np.array(doc, np.int64), np.array(own, np.int64), np.array(at, np.int64)
+        hit = repeated(texts, np.unique(np.stack([docs, hashes]), axis=1, return_inverse=True)[1].reshape(-1), places)
         order = np.lexsort([hit[:, 1], hit[:, 0]])
         text, start = hit[order, 0], hit[order, 1]
         # neighbouring strings of one piece as one row
@@ -306,40 +305,58 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
         begin = np.flatnonzero(new)
         n = np.diff(np.append(begin, len(text)))
-        return pa.RecordBatch.from_arrays([pa.array(docs[text[begin]]), pa.array(places[text[begin]] + start[begin]), pa.array(n.astype(np.int32))], ["doc", "at", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(docs[text[begin]]), pa.array(hashes[text[begin]]), pa.array(places[text[begin]] + start[begin]), pa.array(n.astype(np.int32))], ["doc", "text", "at", "n"])
 
     for b in batches:
-        for k, d, a, t in zip(*[b.column(c).to_pylist() for c in ("key", "doc", "at", "bytes")], strict=True):
+        for k, d, h, a, t in zip(*[b.column(c).to_pylist() for c in ("key", "doc", "text", "at", "bytes")], strict=True):
             if k != last and size >= MERGE:
                 yield flush()
-                texts, doc, at, size = [], [], [], 0
+                texts, doc, own, at, size = [], [], [], [], 0
             last = k
             texts.append(t)
             doc.append(d)
+            own.append(h)
             at.append(a)
             size += len(t)
     if texts:
         yield flush()
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc long, spans array<struct<at: long, n: int>>: covered strings of each document that has some, as runs of starts.
+def shared_ids(docs: DataFrame) -> Broadcast:
+    """A bitmap of the ids under which stand different texts."""
+    hashes = docs.groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
+    return marked(hashes.where("least < most and doc_id is not null").select("doc_id"))
+
 
-    Rows with a null doc_id have no part in it. Rows that repeat an id count as one document.
+def spans(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """doc, text, spans array<struct<at: long, n: int>>: covered strings of each document that has some, as runs of starts.
+
+    docs: doc_id, text, hash (of the text). `text` of the result is that hash where the id is marked in `shared`, else 0.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    docs = docs.where("doc_id is not null")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs))
-    rows = docs.mapInArrow(_cut_up(frequent), ROW).repartition("key").sortWithinPartitions("key")
+    rows = docs.mapInArrow(_cut_up(frequent, shared), SCHEMA).repartition("key").sortWithinPartitions("key")
     place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place"))
-    kept = cut(rows.mapInArrow(_settle, ROW).select("key", "doc", "place"))
-    settled = kept.select("key", "doc", F.shiftright(place, 8).alias("at"), place.bitwiseAND(255).cast("int").alias("n"), (F.col("place") < 0).alias("covered"))
+    kept = cut(rows.mapInArrow(_settle, SCHEMA).select("key", "doc", "text", "place"))
+    settled = kept.select("key", "doc", "text", F.shiftright(place, 8).alias("at"), place.bitwiseAND(255).cast("int").alias("n"), (F.col("place") < 0).alias("covered"))
     # a document has at most one piece for each of its bytes
-    open_ = settled.where("not covered").groupBy("doc").agg(F.collect_list(F.struct("key", "at", "n")).alias("open"))
-    some = docs.mapInArrow(keep(marked(settled.where("not covered").select("doc")), "doc_id"), docs.schema)
-    fetched = some.join(open_, some["doc_id"] == open_["doc"]).select("doc_id", "text", "open").mapInArrow(_fetch, "key long, doc long, at long, bytes binary")
-    merged = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, at long, n int")
-    covered = settled.where("covered").select("doc", "at", "n").union(merged)
-    return covered.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    open_ = settled.where("not covered").groupBy("doc", F.col("text").alias("own")).agg(F.collect_list(F.struct("key", "at", "n")).alias("open"))
+    some = docs.mapInArrow(_marked_rows(marked(settled.where("not covered").select("doc")), shared), docs.schema)
+    fetched = some.join(open_, (some["doc_id"] == open_["doc"]) & (some["hash"] == open_["own"])).select("doc_id", "text", "hash", "open").mapInArrow(_fetch, "key long, doc long, text long, at long, bytes binary")
+    merged = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, text long, at long, n int")
+    covered = settled.where("covered").select("doc", "text", "at", "n").union(merged)
+    return covered.groupBy("doc", "text").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+
+
+def _marked_rows(marks: Broadcast, shared: Broadcast) -> Callable:
+    """Rows whose id may be marked, their hash 0 unless the id is shared."""
+    among = keep(marks, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in among(batches):
+            yield b.set_column(b.schema.get_field_index("hash"), "hash", pa.array(own_hash(shared, b, "doc_id", "hash")))
+
+    return run
 
 
 def _runs(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -355,17 +372,24 @@ def _runs(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs and their spans; only texts that may have some are shuffled."""
-    found = cut(spans(docs))
+    """docs (doc_id, text and others) and their spans; only texts that may have some are shuffled.
+
+    Rows are in order of doc_id, and rows that share an id in order of a hash of their text. Rows equal in both
+    are one document, whose strings do not cover each other. A null doc_id has no part in it.
+    """
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    shared = shared_ids(hashed)
+    found = cut(spans(hashed.select("doc_id", "text", "hash"), shared))
     marks = marked(found.select("doc"))
     clean = docs.mapInArrow(keep(marks, "doc_id", False), docs.schema)
-    rest = docs.mapInArrow(keep(marks, "doc_id"), docs.schema)
-    joined = rest.join(found, rest["doc_id"] == found["doc"], "left").select(*[rest[c] for c in docs.columns], "spans")
+    rest = hashed.mapInArrow(_marked_rows(marks, shared), hashed.schema)
+    own = found.select("doc", F.col("text").alias("own"), "spans")
+    joined = rest.join(own, (rest["doc_id"] == own["doc"]) & (rest["hash"] == own["own"]), "left").select(*[rest[c] for c in docs.columns], "spans")
     return clean.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)).union(joined)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; null texts are empty."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; null texts are empty, texts have under 2 ** 28 bytes."""
     docs = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
