@@ -36,6 +36,8 @@ FREQUENT = 1 << 17
 BLOCK, BLOCK_TOKENS, PIVOTS = 512, 1 << 22, 4
 TOP = np.uint64(1 << 63)
 SLICE = 1 << 18
+CELL_BITS, CELL_MOST = 7, 255
+LOOK = 128
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +121,7 @@ class Trie:
     """A compressed prefix tree over sets in global order; walked by set, largest index first excluded."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(sets[i].dtype.newbyteorder(">")).tobytes())
         self.percent, self.order, self.sets = percent, order, [sets[i] for i in order]
         self.size = np.array([len(s) for s in self.sets])
         self.shared = [0] * len(sets)
@@ -282,6 +284,36 @@ def prefix_pairs(prefixes: list[np.ndarray], size: np.ndarray, label: np.ndarray
     return out
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """How many of a set's tokens fall into each of 2 ** CELL_BITS cells; CELL_MOST stands for any larger number."""
+    return np.minimum(np.bincount((mix(h) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS), CELL_MOST).astype(np.uint8)
+
+
+def likely(pairs: list[tuple[int, int]], sketches: list[bytes], size: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The pairs whose cells leave room for a link: two sets share at most the smaller number of each cell."""
+    if not pairs:
+        return []
+    cells = np.stack([np.frombuffer(s, np.uint8) for s in sketches])
+    out: list[tuple[int, int]] = []
+    for at in range(0, len(pairs), 4096):
+        i, j = np.array(pairs[at : at + 4096]).T
+        least = np.minimum(cells[i], cells[j])
+        ok = (least.sum(1, dtype=np.int64) >= least_overlap(size[i], size[j], percent)) | (least == CELL_MOST).any(1)
+        out += zip(i[ok].tolist(), j[ok].tolist(), strict=True)
+    return out
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most LOOK tokens of each prefix in 32 bits, in the same order: fewer and coarser tokens leave more room, never less."""
+    for b in batches:
+        short = []
+        for p in b.column("prefix").to_pylist():
+            v = np.frombuffer(p, np.uint64)[:LOOK]
+            # rare tokens keep their upper bits; frequent ones are numbers under FREQUENT
+            short.append(np.unique(np.where(v & TOP, np.uint64(1 << 31) | v & ~TOP, v >> np.uint64(32)).astype(np.uint32)).tobytes())
+        yield b.set_column(b.schema.get_field_index("prefix"), "prefix", pa.array(short, pa.binary()))
+
+
 def _pairs(percent: int) -> Callable:
     """Pairs of different components in one pair of blocks of one token, by the tree of their prefixes."""
 
@@ -290,15 +322,16 @@ def _pairs(percent: int) -> Callable:
 
         def flush(t: pa.Table) -> pa.RecordBatch:
             c = {n: t.column(n).to_numpy() for n in ("token", "lo", "hi", "node", "label", "size", "mine")}
-            prefix = t.column("prefix").to_pylist()
+            prefix, sketches = t.column("prefix").to_pylist(), t.column("sketch").to_pylist()
             change = np.flatnonzero((np.diff(c["token"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)) + 1
             found: set[tuple[int, int]] = set()
             for s, e in zip([0, *change.tolist()], [*change.tolist(), len(prefix)], strict=True):
                 label, mine, one = c["label"][s:e], c["mine"][s:e], c["lo"][s] == c["hi"][s]
                 if e - s > 1 and label.min() < label.max() and (one or mine.min() < mine.max()):
                     node = c["node"][s:e].tolist()
-                    pairs = prefix_pairs([np.frombuffer(p, np.uint64) for p in prefix[s:e]], c["size"][s:e], label, None if one else mine, percent)
-                    found.update((min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs)
+                    # of two sets no path is shared
+                    pairs = [(0, 1)] if e - s == 2 else prefix_pairs([np.frombuffer(p, np.uint32) for p in prefix[s:e]], c["size"][s:e], label, None if one else mine, percent)
+                    found.update((min(node[i], node[j]), max(node[i], node[j])) for i, j in likely(pairs, sketches[s:e], c["size"][s:e], percent))
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["x", "y"])
 
         # rows come sorted by group; a group may reach over batches, so its last rows wait for the next one
@@ -360,11 +393,11 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             prefix = [v[: len(v) - least_overlap(len(v), -(-percent * len(v) // 100), percent) + 1].tobytes() for _, v in found]
             keys = [[int(h.min()), int(mix(h).min() >> np.uint64(1))] for h, _ in found]
             digests = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for _, v in found]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), pa.array([len(v) for _, v in found], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary())], ["doc_id", "size", "class", "keys", "prefix"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), pa.array([len(v) for _, v in found], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array([sketch(h).tobytes() for h, _ in found], pa.binary())], ["doc_id", "size", "class", "keys", "prefix", "sketch"])
 
     # one node a class: its smallest document
-    classed = docs.where("doc_id is not null").mapInArrow(rich, "doc_id long, size long, class binary, keys array<long>, prefix binary")
-    nodes = cut(classed.groupBy("class").agg(F.min(F.struct("doc_id", "size", "keys", "prefix")).alias("r")).select(F.col("r.doc_id").alias("node"), "class", "r.size", "r.keys", "r.prefix"))
+    classed = docs.where("doc_id is not null").mapInArrow(rich, "doc_id long, size long, class binary, keys array<long>, prefix binary, sketch binary")
+    nodes = cut(classed.groupBy("class").agg(F.min(F.struct("doc_id", "size", "keys", "prefix", "sketch")).alias("r")).select(F.col("r.doc_id").alias("node"), "class", "r.size", "r.keys", "r.prefix", "r.sketch"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -398,9 +431,12 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         for rows, data, offsets in slices(batches, most=SLICE):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([v.tobytes() for _, v in sets(data, offsets)], pa.binary())], ["node", "tokens"])
 
-    marks = marked(active)
-    sets = cut(docs.mapInArrow(keep(marks, "doc_id"), docs.schema).mapInArrow(whole, "node long, tokens binary"))
-    met_rows = placed.join(sets, "node").repartition("key", "block").sortWithinPartitions("key", "block", "node")
+    def sets_of(nodes_: DataFrame) -> DataFrame:
+        """Whole sets of the documents that nodes_ may hold."""
+        return docs.mapInArrow(keep(marked(nodes_), "doc_id"), docs.schema).mapInArrow(whole, "node long, tokens binary")
+
+    placed = cut(placed)
+    met_rows = placed.join(sets_of(placed.select("node")), "node").repartition("key", "block").sortWithinPartitions("key", "block", "node")
     first = cut(met_rows.select("key", "block", "node", "tokens").mapInArrow(_join_blocks(percent), "a long, b long"))
 
     early = components(first)
@@ -408,11 +444,13 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
     open_ = open_.select("token", F.ceil(F.col("m") / (2 * BLOCK)).cast("int").alias("blocks"))
     rest = labelled.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    open_rows = rest.join(nodes.select("node", "size", "prefix"), "node")
-    spread = open_rows.select("token", "node", "label", "size", "prefix", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "prefix", "mine")
+    heads = nodes.select("node", "size", "prefix", "sketch").join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_shortened, "node long, size long, prefix binary, sketch binary")
+    open_rows = rest.join(heads, "node")
+    spread = open_rows.select("token", "node", "label", "size", "prefix", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "prefix", "sketch", "mine")
     sorted_ = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
     pairs = cut(sorted_.mapInArrow(_pairs(percent), "x long, y long").distinct())
+    sets = cut(sets_of(pairs.select("x").union(pairs.select("y"))))
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("t")), "y")
     late = both.select("x", "y", "s", "t").mapInArrow(_verify(percent), "a long, b long")
     final = components(first.union(late))
