@@ -32,7 +32,7 @@ from .components import components
 from .marks import keep, marked, test
 from .textbytes import LOWER, SPACE, mix, running_sum, slices, span_hashes, words
 
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 BLOCK, BLOCK_TOKENS, PIVOTS = 512, 1 << 22, 4
 TOP = np.uint64(1 << 63)
 SLICE = 1 << 18
@@ -391,7 +391,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             at = [i for i, (_, v) in enumerate(found) if len(v)]
             found = [found[i] for i in at]
             prefix = [v[: len(v) - least_overlap(len(v), -(-percent * len(v) // 100), percent) + 1].tobytes() for _, v in found]
-            keys = [[int(h.min()), int(mix(h).min() >> np.uint64(1))] for h, _ in found]
+            keys = [[int(h.min())] for h, _ in found]
             digests = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for _, v in found]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), pa.array([len(v) for _, v in found], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array([sketch(h).tobytes() for h, _ in found], pa.binary())], ["doc_id", "size", "class", "keys", "prefix", "sketch"])
 
@@ -444,7 +444,9 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
     open_ = open_.select("token", F.ceil(F.col("m") / (2 * BLOCK)).cast("int").alias("blocks"))
     rest = labelled.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    heads = nodes.select("node", "size", "prefix", "sketch").join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_shortened, "node long, size long, prefix binary, sketch binary")
+    rest = cut(rest)
+    heads = nodes.select("node", "size", "prefix", "sketch")
+    heads = heads.mapInArrow(keep(marked(rest.select("node")), "node"), heads.schema).mapInArrow(_shortened, heads.schema)
     open_rows = rest.join(heads, "node")
     spread = open_rows.select("token", "node", "label", "size", "prefix", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "prefix", "sketch", "mine")
