@@ -66,3 +66,50 @@ def chunked(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int
     flat = F.flatten(F.transform(pieces, lambda s: F.transform(s["pieces"], lambda c: F.struct(s["heading"].alias("heading"), c.alias("content")))))
     others = [c for c in docs.columns if c != text]
     return found.select(*others, F.posexplode(flat).alias("ordinal", "chunk_")).select(*others, "ordinal", "chunk_.heading", "chunk_.content")
+
+
+def pack_blocks(blocks: Iterable[dict], size: int, overlap: int) -> list[tuple[str | None, str]]:
+    """Heading and content of each chunk of parsed blocks.
+
+    A table is one chunk whatever its size, a longer block than `size` is cut by `pack`, others are packed as
+    long as they fit. A heading ends what is open and stands over what follows it.
+    """
+    out: list[tuple[str | None, str]] = []
+    held: list[str] = []
+    over = None
+
+    def close() -> None:
+        content = "\n\n".join(held).strip()
+        if content:
+            out.append((over, content))
+        held.clear()
+
+    for b in blocks:
+        content, heading = b["content"], b["heading"]
+        if b["kind"] == "heading":
+            close()
+            over = content
+        elif b["kind"] == "table" or len(content) > size:
+            close()
+            out += [(heading, c) for c in ([content] if b["kind"] == "table" else pack(content, size, overlap))]
+        else:
+            if len("\n\n".join([*held, content])) > size:
+                close()
+            if not held:
+                over = heading or over
+            held.append(content)
+    close()
+    return out
+
+
+def chunked_blocks(docs: DataFrame, blocks: str = "blocks", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """The other columns of docs with ordinal, heading and content of each chunk of its parsed blocks; no shuffle, and no blocks give no chunks."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the size")
+
+    @F.pandas_udf("array<struct<heading: string, content: string>>")
+    def packed(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: [{"heading": h, "content": c} for h, c in pack_blocks([] if r is None else r, size, overlap)])
+
+    others = [c for c in docs.columns if c != blocks]
+    return docs.select(*others, F.posexplode(packed(F.col(blocks))).alias("ordinal", "chunk_")).select(*others, "ordinal", "chunk_.heading", "chunk_.content")

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.chunks import chunked
-from ..functions.markup import html_page
+from ..functions.chunks import chunked, chunked_blocks
+from ..functions.markup import html_page, markdown_page
 from ..functions.pii import PATTERNS, pii_spans, redacted
 from ..plans.registry import query
 from ..plans.views import DOCUMENT_SQL, document
 from ..session import table
 
 
+def blocks_of(parsed: DataFrame, id_: str) -> DataFrame:
+    return parsed.select(id_, "page.title", F.posexplode("page.blocks").alias("place", "block")).select(id_, "title", "place", "block.*")
+
+
 @query("parse_html")
 def parse_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = table(spark, sf_dir, "pages").select("page_id", html_page(F.col("html")).alias("page"))
-    return read.select("page_id", "page.title", F.posexplode("page.blocks").alias("place", "block")).select("page_id", "title", "place", "block.kind", "block.content")
+    return blocks_of(table(spark, sf_dir, "pages").select("page_id", html_page(F.col("html")).alias("page")), "page_id")
+
+
+@query("parse_markdown")
+def parse_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every document, read as Markdown."""
+    return blocks_of(table(spark, sf_dir, "documents").select("doc_id", markdown_page(F.col("text")).alias("page")), "doc_id")
+
+
+@query("chunk_blocks")
+def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of every page by its blocks: tables stay whole."""
+    return chunked_blocks(table(spark, sf_dir, "pages").select("page_id", html_page(F.col("html")).getField("blocks").alias("blocks")))
 
 
 @query("chunk_text")
@@ -39,7 +54,10 @@ def pii_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pii_summary")
 def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_find(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("found"), F.count_distinct("doc_id").alias("documents"))
+    """Counts by kind of each document, as a map; counts, never values, leave the task that reads the text."""
+    counts = lambda spans: F.map_from_entries(F.transform(F.array_distinct(F.transform(spans, lambda s: s["kind"])), lambda k: F.struct(k, F.size(F.filter(spans, lambda s: s["kind"] == k)))))
+    found = table(spark, sf_dir, "documents").select("doc_id", pii_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    return found.select("doc_id", counts(F.col("spans")).alias("counts"))
 
 
 @query("pii_total")
@@ -53,13 +71,14 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", redacted(F.col("text")).alias("text"))
 
 
-#: The kinds whose patterns mean the same in every regular-expression engine on ASCII text.
-_KEY, _IBAN = PATTERNS["api_key"], PATTERNS["iban"]
+#: The kinds whose patterns mean the same in every regular-expression engine on ASCII text; addresses without the word boundary.
+_KEY, _IBAN, _EMAIL = PATTERNS["api_key"], PATTERNS["iban"], r"[A-Za-z0-9_.%+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}"
 
 
-@query("pii_simple", f"SELECT doc_id, len(regexp_extract_all(text, '{_KEY}')) AS api_keys, len(regexp_extract_all(text, '{_IBAN}')) AS ibans FROM documents WHERE text IS NOT NULL")
+@query("pii_simple", f"SELECT doc_id, len(regexp_extract_all(t, '{_KEY}')) AS api_keys, len(regexp_extract_all(t, '{_IBAN}')) AS ibans, len(regexp_extract_all(t, '{_EMAIL}')) AS emails FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def pii_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_count("text", F.lit(_KEY)).cast("long").alias("api_keys"), F.regexp_count("text", F.lit(_IBAN)).cast("long").alias("ibans"))
+    count = lambda pattern: F.coalesce(F.regexp_count("text", F.lit(pattern)), F.lit(0)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", count(_KEY).alias("api_keys"), count(_IBAN).alias("ibans"), count(_EMAIL).alias("emails"))
 
 
 @query("preview", "SELECT doc_id, substring(text, 1, 600) AS preview, length(text) > 600 AS shortened FROM documents")
@@ -67,9 +86,9 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 600).alias("preview"), (F.length("text") > 600).alias("shortened"))
 
 
-@query("token_est", "SELECT conv_id, turn, CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens FROM conversations WHERE text IS NOT NULL")
+@query("token_est", "SELECT conv_id, turn, CAST(greatest(1, coalesce(length(text), 0) // 4) AS BIGINT) AS tokens FROM conversations")
 def token_est(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.greatest(F.lit(1).cast("long"), F.expr("length(text) div 4")).alias("tokens"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.greatest(F.lit(1).cast("long"), F.expr("coalesce(length(text), 0) div 4")).alias("tokens"))
 
 
 @query("csv_labels", "SELECT c_custkey, array_to_string(list_filter(list_transform(string_split(c_mktsegment || ', ,' || c_name || ' ', ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS labels FROM customer")
@@ -79,21 +98,57 @@ def csv_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(labels, "|").alias("labels"))
 
 
-@query("heading_flag", r"SELECT doc_id, length(l) <= 80 AND NOT regexp_matches(l, '[.,;:]$') AND regexp_matches(l, '^([0-9]+(\.[0-9]+)*\s+)?[A-Z]') AS heading FROM (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS l FROM documents)")
+#: What a heading line of a page looks like, what it must not end in, and a gap between columns.
+HEADING_LINE, NOT_AT_END, COLUMN_GAP = r"^\s*(?:\d+(?:\.\d+)*\.?\s+)?[A-Z][^.!?]{2,80}$", "[.,;:]$", r"\S {2,}\S"
+
+
+@query("heading_flag", f"SELECT doc_id, length(l) <= 80 AND NOT regexp_matches(l, '{NOT_AT_END}') AND regexp_matches(l, '{HEADING_LINE}') AS heading FROM (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS l FROM documents)")
 def heading_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document's first line looks like a heading: short, without closing punctuation, with a capital."""
+    """Whether a document's first line looks like a heading: a capital, three characters or more without the end of a sentence, 80 at most."""
     line = F.trim(F.split("text", "\n", 2)[0])
-    return table(spark, sf_dir, "documents").select("doc_id", ((F.length(line) <= 80) & ~line.rlike(r"[.,;:]$") & line.rlike(r"^([0-9]+(\.[0-9]+)*\s+)?[A-Z]")).alias("heading"))
+    return table(spark, sf_dir, "documents").select("doc_id", ((F.length(line) <= 80) & ~line.rlike(NOT_AT_END) & line.rlike(HEADING_LINE)).alias("heading"))
+
+
+#: Fixed value: share of a document's pages on which a line must stand to be chrome.
+REPEATED = 0.6
 
 
-@query("chrome_lines", "WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source) SELECT source, sha256(line) AS line_hash, count(*) AS n FROM l JOIN p USING (source) WHERE trim(line) <> '' GROUP BY source, line, pages HAVING count(*) >= greatest(2, floor(0.6 * pages) // 10)")
+def page_chrome(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
+    """document, line: lines that stand on most pages of a document of three pages or more, and lines of digits only.
+
+    Each distinct line counts once a page. Page numbers differ from page to page, so they are found by their digits.
+    """
+    own = pages.select(F.col(document).alias("document"), F.col(page).alias("page"), F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.trim(x))).alias("lines"))
+    count = own.groupBy("document").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 3")
+    lines = own.select("document", F.explode("lines").alias("line")).where("line <> ''").groupBy("document", "line").agg(F.count(F.lit(1)).alias("n"))
+    common = (F.col("n") >= F.greatest(F.lit(2), F.floor(REPEATED * F.col("pages")))) | F.col("line").rlike("^[0-9]+$")
+    return lines.join(count, "document").where(common).select("document", "line", "n")
+
+
+_PAGES_SQL = "SELECT doc_id // 4 AS document, doc_id % 4 AS page, 'Handbook' || chr(10) || coalesce(text, '') || chr(10) || (doc_id % 4) AS text FROM documents"
+
+
+@query("chrome_lines", f"WITH p AS ({_PAGES_SQL}), l AS (SELECT DISTINCT document, page, trim(unnest(string_split(text, chr(10)))) AS line FROM p), c AS (SELECT document, count(*) AS pages FROM p GROUP BY document HAVING count(*) >= 3) SELECT document, sha256(line) AS line_hash, count(*) AS n FROM l JOIN c USING (document) WHERE line <> '' GROUP BY document, line, pages HAVING count(*) >= greatest(2, floor({REPEATED} * pages)) OR regexp_matches(line, '^[0-9]+$')")
 def chrome_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that stand on many pages of one source; here pages are documents, and a tenth of the usual share counts."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    lines = docs.select("source", "doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("trim(line) <> ''")
-    pages = docs.groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
-    counted = lines.groupBy("source", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").join(pages, "source")
-    return counted.where("n >= greatest(2, floor(floor(0.6 * pages) / 10))").select("source", F.sha2("line", 256).alias("line_hash"), "n")
+    """Page furniture; four documents in a row are the pages of one, each with a derived header and page number."""
+    text = F.concat(F.lit("Handbook\n"), F.coalesce("text", F.lit("")), F.lit("\n"), (F.col("doc_id") % 4).cast("string"))
+    pages = table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("document"), (F.col("doc_id") % 4).alias("page"), text.alias("text"))
+    return page_chrome(pages, "document", "page", "text").select("document", F.sha2("line", 256).alias("line_hash"), "n")
+
+
+_LINES_SQL = "SELECT page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM (SELECT doc_id AS page_id, replace(coalesce(text, ''), ', ', CASE WHEN doc_id % 2 = 0 THEN '   ' ELSE ', ' END) AS text FROM documents)"
+
+
+@query("table_runs", rf"WITH l AS (SELECT page_id, place, regexp_matches(line, '{COLUMN_GAP}') AS gap FROM ({_LINES_SQL})), g AS (SELECT page_id, place, place - row_number() OVER (PARTITION BY page_id ORDER BY place) AS island FROM l WHERE gap) SELECT page_id, min(place) AS first_line, count(*) AS lines FROM g GROUP BY page_id, island HAVING count(*) >= 2")
+def table_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two or more lines with gaps between columns, as islands of line numbers; only lines with a gap are shuffled."""
+    wide = F.when(F.col("doc_id") % 2 == 0, "   ").otherwise(", ")
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(", "), wide)
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
+    gaps = lines.where(F.rlike("line", F.lit(COLUMN_GAP))).select("page_id", "place")
+    island = F.col("place") - F.row_number().over(Window.partitionBy("page_id").orderBy("place"))
+    runs = gaps.withColumn("island", island).groupBy("page_id", "island").agg(F.min("place").cast("long").alias("first_line"), F.count(F.lit(1)).alias("lines"))
+    return runs.where("lines >= 2").select("page_id", "first_line", "lines")
 
 
 @query("ingest_summary", f"WITH {DOCUMENT_SQL}, s AS (SELECT row_number() OVER (PARTITION BY tenant_id, sha256(text) ORDER BY doc_id) > 1 AS skipped, row_number() OVER (PARTITION BY tenant_id, source_path ORDER BY doc_id) > 1 AS again, tenant_id FROM document) SELECT tenant_id, count(*) FILTER (WHERE NOT skipped AND NOT again) AS created, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE NOT skipped AND again) AS superseded FROM s GROUP BY tenant_id")

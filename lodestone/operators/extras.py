@@ -23,6 +23,13 @@ def cte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big.join(F.broadcast(big.agg(F.avg("cents").alias("m")))).where("cents > 2 * m").select("o_custkey", "cents")  # the mean is one row
 
 
+@query("cte_recursive", "WITH RECURSIVE r(key, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey >= 20 UNION ALL SELECT key // 2, depth + 1 FROM r WHERE key > 0) SELECT key, depth, count(*) AS n FROM r GROUP BY key, depth")
+def cte_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ancestors of keys in a binary tree, by recursion until the root."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("lodestone_nation")
+    return spark.sql("WITH RECURSIVE r(key, depth) AS (SELECT CAST(n_nationkey AS BIGINT), 0 FROM lodestone_nation WHERE n_nationkey >= 20 UNION ALL SELECT key DIV 2, depth + 1 FROM r WHERE key > 0) SELECT key, depth, count(*) AS n FROM r GROUP BY key, depth")
+
+
 @query("agg_extra", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, round(stddev_samp(l_quantity), 6) AS spread, round(quantile_cont(l_quantity, 0.5), 6) AS middle, bool_and(l_discount >= 0) AS fine FROM lineitem GROUP BY l_returnflag")
 def agg_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.round(F.stddev_samp("l_quantity"), 6).alias("spread"), F.round(F.percentile("l_quantity", 0.5), 6).alias("middle"), F.bool_and(F.col("l_discount") >= 0).alias("fine"))
@@ -53,7 +60,10 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.least(0.5 * F.pow(F.lit(2), F.col("l_linenumber") - 1), F.lit(8.0)).alias("seconds"))
 
 
-@query("vec_norm", "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+@query("vec_norm", "SELECT vec_id, round(embedding[1]::DOUBLE / n, 6) AS first, round(embedding[-1]::DOUBLE / n, 6) AS last, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / n)), 5) AS total FROM (SELECT vec_id, embedding, CASE sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) WHEN 0 THEN 1 ELSE sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) END AS n FROM embeddings)")
 def vec_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(total), 6).alias("norm"))
+    """Vectors scaled to length 1 (a zero vector stays); their ends and sum are shown."""
+    total = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    scaled = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(total == 0, 1.0).otherwise(total).alias("n"))
+    units = scaled.select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("n")).alias("unit"))
+    return units.select("vec_id", F.round(F.element_at("unit", 1), 6).alias("first"), F.round(F.element_at("unit", -1), 6).alias("last"), F.round(F.aggregate("unit", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))

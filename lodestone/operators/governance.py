@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..plans.views import DOCUMENT_SQL, SPAN_SQL, document, governed, span
+from ..plans.views import CHUNK_SQL, DOCUMENT_SQL, LIVE_SQL, SPAN_SQL, chunk, document, governed, live, span
 from ..session import table
 
 
@@ -15,9 +15,52 @@ def tenant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governed(document(spark, sf_dir), 1, ["finance", "legal"]).select("doc_id", "source_path")
 
 
-@query("known_labels", f"WITH {DOCUMENT_SQL} SELECT DISTINCT tenant_id, unnest(labels) AS label FROM document")
+@query("label_filter", f"WITH {DOCUMENT_SQL} SELECT doc_id, coalesce(list_has_any(labels, ['public']), false) AS visible, false AS without_labels FROM document")
+def label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a label is shared; no labels on either side, or unknown ones, deny."""
+    shares = lambda labels: F.coalesce(F.arrays_overlap("labels", F.array(*map(F.lit, labels)).cast("array<string>")), F.lit(False))
+    return document(spark, sf_dir).select("doc_id", shares(["public"]).alias("visible"), shares([]).alias("without_labels"))
+
+
+@query("live_docs", f"WITH {DOCUMENT_SQL}, {LIVE_SQL} SELECT doc_id, source_path FROM live")
+def live_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live(document(spark, sf_dir)).select("doc_id", "source_path")
+
+
+def tenant_view(rows: DataFrame, tenant: int | None) -> DataFrame:
+    """What a session sees of a table with a tenant_id; one without a tenant sees nothing."""
+    return rows.where("false") if tenant is None else rows.where(F.col("tenant_id") == tenant)
+
+
+@query("rls_scope", f"WITH {DOCUMENT_SQL}, {SPAN_SQL} SELECT 'document' AS relation, count(*) AS n FROM document WHERE tenant_id = 2 UNION ALL SELECT 'span', count(*) FROM span WHERE tenant_id = 2 UNION ALL SELECT 'no session', 0")
+def rls_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that one tenant sees of each governed table, and what a session without a tenant sees."""
+    docs, spans = document(spark, sf_dir), span(spark, sf_dir)
+    seen = {"document": tenant_view(docs, 2), "span": tenant_view(spans, 2), "no session": tenant_view(docs, None)}
+    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n") for name, rows in seen.items()]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+
+
+@query("chunk_doc_join", f"WITH {DOCUMENT_SQL}, {LIVE_SQL}, {CHUNK_SQL} SELECT c.chunk_id, d.doc_id, d.source_path FROM chunk c JOIN live d ON d.doc_id = c.doc_id WHERE c.tenant_id = 1 AND d.tenant_id = 1 AND list_has_any(d.labels, ['finance', 'public'])")
+def chunk_doc_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their documents, the tenant asked of both sides; the join's sides are filtered first, and its kind is left to their sizes."""
+    docs = live(governed(document(spark, sf_dir), 1, ["finance", "public"])).select("doc_id", "source_path")
+    return tenant_view(chunk(spark, sf_dir), 1).join(docs, "doc_id").select("chunk_id", "doc_id", "source_path")
+
+
+_CONNECTOR_SQL = "connector AS (SELECT s_suppkey AS connector_id, s_suppkey % 4 AS tenant_id, CASE s_suppkey % 3 WHEN 0 THEN ['finance', 'ops'] WHEN 1 THEN ['legal'] ELSE [] END AS required_labels FROM supplier)"
+
+
+def connector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.expr("CASE s_suppkey % 3 WHEN 0 THEN array('finance', 'ops') WHEN 1 THEN array('legal') ELSE array() END")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("connector_id"), (F.col("s_suppkey") % 4).alias("tenant_id"), labels.alias("required_labels"))
+
+
+@query("known_labels", f"WITH {DOCUMENT_SQL}, {_CONNECTOR_SQL} SELECT tenant_id, unnest(labels) AS label FROM document UNION SELECT tenant_id, unnest(required_labels) FROM connector")
 def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document(spark, sf_dir).select("tenant_id", F.explode("labels").alias("label")).distinct()
+    """Labels in use: those that documents bear and those that connectors ask for."""
+    borne = document(spark, sf_dir).select("tenant_id", F.explode("labels").alias("label"))
+    return borne.union(connector(spark, sf_dir).select("tenant_id", F.explode("required_labels"))).distinct()
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -37,12 +80,34 @@ def doc_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document(spark, sf_dir).select("doc_id", F.row_number().over(w).cast("long").alias("version"), F.lead("doc_id").over(w).alias("superseded_by"))
 
 
-@query("list_documents", f"WITH {DOCUMENT_SQL}, c AS (SELECT vec_id % (SELECT count(*) FROM documents) AS doc_id, count(*) AS n FROM embeddings GROUP BY 1) SELECT d.doc_id, source_path, coalesce(n, 0) AS chunks FROM document d LEFT JOIN c ON c.doc_id = d.doc_id WHERE tenant_id = 0 AND list_has_any(labels, ['public'])")
+_LISTED_SQL = f"WITH {DOCUMENT_SQL}, {LIVE_SQL}, {CHUNK_SQL}, c AS (SELECT doc_id, count(*) AS n FROM chunk GROUP BY doc_id) SELECT d.doc_id, source_path, coalesce(n, 0) AS chunks FROM {{}} d LEFT JOIN c ON c.doc_id = d.doc_id WHERE tenant_id = 0 AND list_has_any(labels, ['public']) ORDER BY d.doc_id DESC"
+
+
+def listed(spark: SparkSession, sf_dir: str, superseded: bool = False) -> DataFrame:
+    """What a tenant may see, newest first, with the number of chunks; older versions only if asked for."""
+    mine = governed(document(spark, sf_dir), 0, ["public"]).select("tenant_id", "doc_id", "source_path")
+    every = document(spark, sf_dir).select("tenant_id", "doc_id", "source_path")
+    rows = mine if superseded else mine.join(live(every).select("doc_id"), "doc_id", "left_semi")
+    counts = chunk(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(counts, "doc_id", "left").select("doc_id", "source_path", F.coalesce("n", F.lit(0)).alias("chunks")).orderBy(F.desc("doc_id"))
+
+
+@query("list_documents", _LISTED_SQL.format("live"))
 def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("total"))
-    # the count is one row
-    chunks = table(spark, sf_dir, "embeddings").join(F.broadcast(total)).groupBy((F.col("vec_id") % F.col("total")).alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
-    return governed(document(spark, sf_dir), 0, ["public"]).join(chunks, "doc_id", "left").select("doc_id", "source_path", F.coalesce("n", F.lit(0)).alias("chunks"))
+    return listed(spark, sf_dir)
+
+
+@query("list_documents_all", _LISTED_SQL.format("document"))
+def list_documents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listed(spark, sf_dir, superseded=True)
+
+
+@query("delete_visible", f"WITH {DOCUMENT_SQL} SELECT doc_id, CASE WHEN tenant_id = 1 AND list_has_any(labels, ['finance']) THEN 'deleted' ELSE 'not found' END AS outcome FROM document")
+def delete_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a request to delete each document gets: what the caller can't see isn't there."""
+    docs = document(spark, sf_dir).select("doc_id", "tenant_id", "labels")
+    visible = governed(docs, 1, ["finance"]).select("doc_id", F.lit(True).alias("seen"))
+    return docs.join(visible, "doc_id", "left").select("doc_id", F.when(F.col("seen"), "deleted").otherwise("not found").alias("outcome"))
 
 
 @query("trace_rollup", f"WITH {SPAN_SQL} SELECT trace_id, min(ts) AS started_at, round(sum(duration_ms), 2) AS duration_ms, bool_or(status = 'error') AS failed, count(*) AS spans FROM span GROUP BY trace_id")
@@ -57,9 +122,48 @@ def recent_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(F.broadcast(latest), "trace_id").select("trace_id", "event_id", "name")
 
 
-@query("audit_denied", f"WITH {SPAN_SQL} SELECT tenant_id, name, count(*) FILTER (WHERE status = 'error') AS denied, count(*) AS n FROM span GROUP BY ALL")
+@query("trace_spans", f"WITH {SPAN_SQL} SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY ts, event_id) AS place, event_id, name, status FROM span")
+def trace_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of each trace in order, as rows: a trace of any length is sorted with spilling, and none is gathered into one value."""
+    place = F.row_number().over(Window.partitionBy("trace_id").orderBy("ts", "event_id")).cast("long")
+    return span(spark, sf_dir).select("trace_id", place.alias("place"), "event_id", "name", "status")
+
+
+def audit(spark: SparkSession, sf_dir: str, tenant: int, denied_only: bool, page: int = 200) -> DataFrame:
+    """The latest entries of a tenant, at most `page`; only denied ones if asked for."""
+    rows = tenant_view(span(spark, sf_dir), tenant)
+    rows = rows.where("status = 'error'") if denied_only else rows
+    return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(min(page, 200)).select("event_id", "name", "status", "ts")
+
+
+@query("audit_denied", f"WITH {SPAN_SQL} SELECT event_id, name, status, ts FROM span WHERE tenant_id = 1 AND status = 'error' ORDER BY ts DESC, event_id DESC LIMIT 200")
 def audit_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span(spark, sf_dir).groupBy("tenant_id", "name").agg(F.count_if(F.col("status") == "error").alias("denied"), F.count(F.lit(1)).alias("n"))
+    return audit(spark, sf_dir, 1, denied_only=True)
+
+
+@query("audit_page", f"WITH {SPAN_SQL} SELECT event_id, name, status, ts FROM span WHERE tenant_id = 1 ORDER BY ts DESC, event_id DESC LIMIT 200")
+def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(spark, sf_dir, 1, denied_only=False, page=1000)
+
+
+@query("denied_calls", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) FILTER (WHERE denied AND NOT unknown) AS denied, count(*) FILTER (WHERE unknown) AS unknown FROM (SELECT user_id, ts, event_type IN ('error', 'signup') AS denied, event_id % 7 = 0 AS unknown FROM events) GROUP BY ALL")
+def denied_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each run: calls of known tools that were refused, and calls of tools that don't exist."""
+    denied, unknown = F.col("event_type").isin("error", "signup"), F.col("event_id") % 7 == 0
+    return table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(denied & ~unknown).alias("denied"), F.count_if(unknown).alias("unknown"))
+
+
+@query("quota_check", "SELECT event_id, spent, greatest(0, 400000 - spent) AS remaining, spent < 400000 AS allowed, resets_at FROM (SELECT event_id, CAST(coalesce(sum(CAST(round(value * 1000) AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent, CAST(CAST(ts AS DATE) + 1 AS TIMESTAMP) AS resets_at FROM events)")
+def quota_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call against what its caller spent before it that day (UTC), and when the day ends: checked before, recorded after.
+
+    A spent budget stays spent until midnight, so refused calls, which record nothing, may be summed too.
+    """
+    day = F.to_date("ts")
+    before = Window.partitionBy("user_id", day).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum(F.round(F.col("value") * 1000).cast("long")).over(before), F.lit(0).cast("long"))
+    rows = table(spark, sf_dir, "events").select("event_id", spent.alias("spent"), F.date_add(day, 1).cast("timestamp_ntz").alias("resets_at"))
+    return rows.select("event_id", "spent", F.greatest(F.lit(0).cast("long"), 400000 - F.col("spent")).alias("remaining"), (F.col("spent") < 400000).alias("allowed"), "resets_at")
 
 
 @query("quota_daily", "WITH d AS (SELECT user_id % 4 AS tenant_id, CAST(ts AS DATE) AS day, sum(CAST(round(value * 1000) AS BIGINT)) AS micros FROM events GROUP BY ALL) SELECT tenant_id, day, CAST(micros AS BIGINT) AS micros, CAST(greatest(0, 5000000 - micros) AS BIGINT) AS remaining, micros >= 5000000 AS exhausted FROM d")
@@ -87,9 +191,9 @@ def retention_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.explode(F.create_map(*[c for p in policies for c in (F.lit(p), F.col(p))])).alias("policy", "to_delete"))
 
 
-@query("tenant_cost", "SELECT conv_id % 4 AS tenant_id, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens FROM conversations WHERE text IS NOT NULL GROUP BY 1")
+@query("tenant_cost", "SELECT conv_id % 4 AS tenant_id, CAST(sum(greatest(1, coalesce(length(text), 0) // 4)) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
 def tenant_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy((F.col("conv_id") % 4).alias("tenant_id")).agg(F.sum(F.greatest(F.lit(1), F.expr("length(text) div 4"))).alias("tokens"))
+    return table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 4).alias("tenant_id")).agg(F.sum(F.greatest(F.lit(1), F.expr("coalesce(length(text), 0) div 4"))).alias("tokens"))
 
 
 @query("orphan_checkpoints", "SELECT DISTINCT conv_id FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.turn >= 3)")

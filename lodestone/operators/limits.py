@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.views import chunk
 from ..session import table
 
 _RUN = "PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id"
@@ -84,19 +85,60 @@ def egress_cidr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.select("event_id", F.expr(_reach_sql("a")).alias("reach"))
 
 
+#: The first 16 bits and their mask of the IPv6 networks that are blocked and private; the loopback address is blocked too.
+V6_BLOCKED, V6_PRIVATE = (0xFE80, 0xFFC0), (0xFC00, 0xFE00)
+
+
+def reach_v6(address: F.Column) -> F.Column:
+    """Reach of a full IPv6 address (eight groups of hexadecimal digits)."""
+    first = F.conv(F.substring_index(address, ":", 1), 16, 10).cast("int")
+    inside = lambda network: first.bitwiseAND(network[1]) == network[0]
+    loop = F.rlike(address, F.lit("^0+(:0+){6}:0*1$"))
+    return F.when(loop | inside(V6_BLOCKED), "blocked").when(inside(V6_PRIVATE), "private").otherwise("open")
+
+
+@query("egress_v6", f"SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'blocked' WHEN (event_id * 40503 % 65536) & {V6_BLOCKED[1]} = {V6_BLOCKED[0]} THEN 'blocked' WHEN (event_id * 40503 % 65536) & {V6_PRIVATE[1]} = {V6_PRIVATE[0]} THEN 'private' ELSE 'open' END AS reach FROM events")
+def egress_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.lower(F.lpad(F.hex(F.col("event_id") * 40503 % 65536), 4, "0"))
+    address = F.when(F.col("event_id") % 11 == 0, "0000:0000:0000:0000:0000:0000:0000:0001").otherwise(F.concat(group, F.lit(":0000:0000:0000:0000:0000:0000:0007")))
+    return table(spark, sf_dir, "events").select("event_id", reach_v6(address).alias("reach"))
+
+
 @query("retention_apply", "SELECT event_id, ts FROM events WHERE NOT (ts < TIMESTAMP '2024-01-31' - INTERVAL 14 DAY) OR event_type = 'purchase'")
 def retention_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that survive a policy of 14 days, purchases exempt; a second run removes nothing."""
     return table(spark, sf_dir, "events").where("ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAYS OR event_type = 'purchase'").select("event_id", "ts")
 
 
-@query("delete_cascade", "SELECT vec_id FROM embeddings WHERE vec_id % (SELECT count(*) FROM documents) NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')")
+#: Fixed value: rows that one pass of a policy deletes at most.
+DELETED_AT_ONCE = 10_000
+
+
+@query("retention_capped", f"SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-31' - INTERVAL 14 DAY ORDER BY ts, event_id LIMIT {DELETED_AT_ONCE})")
+def retention_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one pass leaves: the oldest of the rows that are too old go, a bounded number at once, and are broadcast as such."""
+    events = table(spark, sf_dir, "events")
+    gone = events.where("ts < TIMESTAMP '2024-01-31' - INTERVAL 14 DAYS").orderBy("ts", "event_id").limit(DELETED_AT_ONCE).select("event_id")
+    return events.select("event_id").join(F.broadcast(gone), "event_id", "left_anti")
+
+
+#: Days that each table keeps its rows.
+POLICIES = {"traces": 30, "audit": 365, "messages": 90}
+
+
+@query("retention_run", "SELECT p.name AS policy, count(*) AS kept FROM (VALUES ('traces', 30), ('audit', 365), ('messages', 90)) p(name, days) JOIN events e ON e.ts >= TIMESTAMP '2024-02-15' - to_days(CAST(p.days AS INTEGER)) GROUP BY p.name")
+def retention_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each policy of the list keeps, counted in one scan."""
+    counts = table(spark, sf_dir, "events").agg(*[F.count_if(F.col("ts") >= F.expr(f"TIMESTAMP '2024-02-15' - INTERVAL {d} DAYS")).alias(p) for p, d in POLICIES.items()])
+    return counts.select(F.explode(F.create_map(*[c for p in POLICIES for c in (F.lit(p), F.col(p))])).alias("policy", "kept")).where("kept > 0")
+
+
+@query("delete_cascade", "SELECT 'chunk' AS relation, vec_id AS id FROM embeddings WHERE vec_id % (SELECT count(*) FROM documents) NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') UNION ALL SELECT 'document', doc_id FROM documents WHERE lang <> 'fr'")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks that stay when the documents of one language are deleted."""
-    docs = table(spark, sf_dir, "documents")
-    total = docs.agg(F.count(F.lit(1)).alias("total"))
-    chunks = table(spark, sf_dir, "embeddings").select("vec_id").join(F.broadcast(total)).select("vec_id", (F.col("vec_id") % F.col("total")).alias("doc_id"))
-    return chunks.join(docs.where("lang = 'fr'").select("doc_id"), "doc_id", "left_anti").select("vec_id")
+    """The documents and chunks that stay when the documents of one language are deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    chunks = chunk(spark, sf_dir).select("chunk_id", "doc_id").join(docs.where("lang = 'fr'").select("doc_id"), "doc_id", "left_anti")
+    return chunks.select(F.lit("chunk").alias("relation"), F.col("chunk_id").alias("id")).unionAll(docs.where("lang <> 'fr'").select(F.lit("document"), "doc_id"))
 
 
 #: Failures in a row that open a breaker, seconds until it lets a probe through.
@@ -104,7 +146,7 @@ FAILURES, RECOVERY = 5, 30.0
 
 
 def breaker_states(calls: DataFrame, failures: int = FAILURES, recovery: float = RECOVERY) -> DataFrame:
-    """calls (key, at seconds, id, ok) with whether each is refused and the state after it.
+    """calls (key, at seconds, id, ok) with the state that each meets (closed, open or half_open), whether it is refused, and the state after it.
 
     Keys are streamed in order of time, so a task holds one key's counters and never its rows.
     """
@@ -112,23 +154,24 @@ def breaker_states(calls: DataFrame, failures: int = FAILURES, recovery: float =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, failed, opened = None, 0, None
         for rows in batches:
-            refused, states = [], []
+            met, states = [], []
             for k, at, ok in zip(rows["key"], rows["at"], rows["ok"], strict=True):
                 if k != key:
                     key, failed, opened = k, 0, None
-                probing = opened is not None and at - opened >= recovery
-                refused.append(opened is not None and not probing)
-                if not refused[-1]:
+                met.append("closed" if opened is None else "half_open" if at - opened >= recovery else "open")
+                if met[-1] != "open":
                     failed = 0 if ok else failed + 1
-                    opened = None if ok else at if probing or failed >= failures else opened
+                    trips = not ok and (met[-1] == "half_open" or failed >= failures)
+                    opened, failed = (at, failures) if trips else (None if ok else opened, failed)
                 states.append("closed" if opened is None else "open")
-            yield rows[["key", "id"]].assign(refused=refused, state=states)
+            yield rows[["key", "id"]].assign(met=met, refused=[m == "open" for m in met], state=states)
 
     ordered = calls.repartition("key").sortWithinPartitions("key", "at", "id")
-    return ordered.mapInPandas(run, "key long, id long, refused boolean, state string")
+    return ordered.mapInPandas(run, "key long, id long, met string, refused boolean, state string")
 
 
 @query("breaker")
 def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of each user, errors being failures, under the usual limits; events are minutes apart, so runs of five failures are what opens one."""
     calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))
-    return breaker_states(calls, failures=2, recovery=3600.0)
+    return breaker_states(calls)

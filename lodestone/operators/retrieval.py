@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.views import CHUNK_SQL, DOCUMENT_SQL, LIVE_SQL, chunk, document, governed, live
 from ..session import table
 
 #: Constant of the rank fusion, candidates of each retriever, weight of the keyword side.
@@ -35,27 +38,112 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_top(spark, sf_dir, 10)
 
 
-def keyword_top(spark: SparkSession, sf_dir: str, words: list[str], k: int) -> DataFrame:
-    """doc_id, hits of the k documents in which any of the words stands most often."""
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word"))
-    return tokens.where(F.col("word").isin(words)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(k)
+#: Words that the stemmed form of a query leaves out, endings that it cuts, and the most hits a search returns.
+STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "not", "of", "on", "or", "the", "to", "was", "with")
+ENDINGS = ("ations", "ation", "ings", "ing", "ers", "er", "ies", "ed", "es", "s", "y", "e")
+MOST = 50
+
+
+def clamped(k: int) -> int:
+    return max(1, min(k, MOST))
+
+
+def forms(words: str) -> tuple[str, str]:
+    """Alternatives of a query's literal words, and of its stems with any ending; empty where no word is left."""
+    literal = sorted(set(re.findall("[a-z0-9]+", words.lower())))
+    stems = {next((w.removesuffix(e) for e in ENDINGS if w.endswith(e) and len(w) > len(e) + 2), w) for w in literal if w not in STOP}
+    return "|".join(literal), "|".join(f"{s}(?:{'|'.join(ENDINGS)})?" for s in sorted(stems))
+
+
+_SPACED = "concat(' ', regexp_replace(lower(text), '[^a-z0-9]+', '  '{}), ' ')"
+
+
+def keyword_top(docs: DataFrame, words: str, k: int) -> DataFrame:
+    """doc_id, hits of the k documents in which any of the words stands most often, literally or by its stem, whichever is more.
 
+    Any word will do; a query without words gives no rows, and nothing raises on odd input. Texts are counted
+    row by row in the JVM, so only k rows a task are shuffled.
+    """
+    literal, stemmed = forms(words)
+    if not literal:
+        return docs.select("doc_id", F.lit(0).alias("hits")).where("false")
+    spaced = docs.select("doc_id", F.expr(_SPACED.format("")).alias("words"))
+    count = lambda form: F.regexp_count("words", F.lit(f" (?:{form}) ")) if form else F.lit(0)
+    return spaced.select("doc_id", F.greatest(count(literal), count(stemmed)).cast("long").alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "doc_id").limit(k)
 
-_WORDS = "('license', 'and', 'the')"
-_KEYWORD_SQL = f"SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM documents) WHERE word IN {_WORDS} GROUP BY doc_id ORDER BY hits DESC, doc_id"
 
+QUESTION, TENANT, LABELS = "Licenses and the?", 1, ["public", "finance"]
+_GOVERNED_SQL = f"{DOCUMENT_SQL}, {LIVE_SQL}, governed AS (SELECT * FROM live WHERE tenant_id = {TENANT} AND list_has_any(labels, {LABELS}))"
+_COUNT_SQL = "len(regexp_extract_all(w, ' (?:{}) '))"
+_KEYWORD_SQL = f"SELECT doc_id, greatest({_COUNT_SQL.format(forms(QUESTION)[0])}, {_COUNT_SQL.format(forms(QUESTION)[1])}) AS hits FROM (SELECT doc_id, {_SPACED.format(', ' + repr('g'))} AS w FROM governed) WHERE hits > 0 ORDER BY hits DESC, doc_id"
 
-@query("keyword_topk", f"{_KEYWORD_SQL} LIMIT 30")
+
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live documents of one tenant that share a label with the caller: every filter comes before ranking."""
+    return live(governed(document(spark, sf_dir), TENANT, LABELS))
+
+
+@query("keyword_topk", f"WITH {_GOVERNED_SQL} {_KEYWORD_SQL} LIMIT {DEPTH}")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_top(spark, sf_dir, ["license", "and", "the"], DEPTH)
+    return keyword_top(searched(spark, sf_dir), QUESTION, DEPTH)
 
 
-@query("rrf_fuse", f"""WITH v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_VECTOR_SQL} LIMIT {DEPTH})),
- k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY hits DESC, doc_id) AS r FROM ({_KEYWORD_SQL} LIMIT {DEPTH}))
- SELECT coalesce(v.id, k.id) AS id, round(coalesce(1.0 / ({RRF_K} + v.r), 0) + coalesce({KEYWORD_WEIGHT} / ({RRF_K} + k.r), 0), 9) AS score FROM v FULL JOIN k ON v.id = k.id""")
-def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # both sides hold DEPTH rows at most
-    vector = vector_top(spark, sf_dir, DEPTH).select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("vr"))
-    keyword = keyword_top(spark, sf_dir, ["license", "and", "the"], DEPTH).select(F.col("doc_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("hits"), "doc_id")).alias("kr"))
+_NEAREST_SQL = f"SELECT c.chunk_id, c.doc_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q), 6) AS score FROM chunk c JOIN governed d ON d.doc_id = c.doc_id AND d.tenant_id = c.tenant_id, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) WHERE c.tenant_id = {TENANT} ORDER BY score DESC, chunk_id"
+
+
+def nearest_chunks(chunks: DataFrame, docs: DataFrame, probe: DataFrame, k: int) -> DataFrame:
+    """chunk_id, doc_id, score of the k chunks of docs nearest to probe (one row, q) by cosine; both sides are of one tenant."""
+    q, e = F.col("q"), F.col("embedding")
+    mine = chunks.join(docs.select("doc_id", "tenant_id"), ["doc_id", "tenant_id"]).join(F.broadcast(probe))
+    scored = mine.select("chunk_id", "doc_id", F.round(dot(e, q) / F.sqrt(dot(e, e) * dot(q, q)), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
+
+
+@query("search", f"WITH {_GOVERNED_SQL}, {CHUNK_SQL} SELECT chunk_id, doc_id, round(score, 4) AS score FROM ({_NEAREST_SQL} LIMIT {MOST})")
+def search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Governed vector search: chunk joined with document, a k beyond the bound is lowered, scores are rounded at the boundary."""
+    found = nearest_chunks(chunk(spark, sf_dir), searched(spark, sf_dir), _probe(spark, sf_dir), clamped(1000))
+    return found.select("chunk_id", "doc_id", F.round("score", 4).alias("score"))
+
+
+def fused(vector: DataFrame, keyword: DataFrame) -> DataFrame:
+    """id and score of two ranked lists (id, r) of at most DEPTH rows each: weights over RRF_K and rank, summed."""
     score = F.coalesce(1.0 / (RRF_K + F.col("vr")), F.lit(0.0)) + F.coalesce(KEYWORD_WEIGHT / (RRF_K + F.col("kr")), F.lit(0.0))
-    return vector.join(keyword, "id", "full").select("id", F.round(score, 9).alias("score"))
+    return vector.select("id", F.col("r").alias("vr")).join(keyword.select("id", F.col("r").alias("kr")), "id", "full").select("id", F.round(score, 9).alias("score"))
+
+
+def numbered(rows: DataFrame, id_: str, by: str) -> DataFrame:
+    # rows are limited before, so one task numbers DEPTH of them
+    return rows.select(F.col(id_).alias("id"), F.row_number().over(Window.orderBy(F.desc(by), id_)).alias("r"))
+
+
+_FUSED_SQL = f"SELECT coalesce(v.id, k.id) AS id, round(coalesce(1.0 / ({RRF_K} + v.r), 0) + coalesce({KEYWORD_WEIGHT} / ({RRF_K} + k.r), 0), 9) AS score FROM v FULL JOIN k ON v.id = k.id"
+_RANKED_K_SQL = f"k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY hits DESC, doc_id) AS r FROM ({_KEYWORD_SQL} LIMIT {DEPTH}))"
+
+
+@query("rrf_fuse", f"WITH {_GOVERNED_SQL}, v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_VECTOR_SQL} LIMIT {DEPTH})), {_RANKED_K_SQL} {_FUSED_SQL}")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vector = vector_top(spark, sf_dir, DEPTH).select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("r"))
+    return fused(vector, numbered(keyword_topk(spark, sf_dir), "doc_id", "hits"))
+
+
+def hybrid(spark: SparkSession, sf_dir: str, words: str, tenant: int, labels: list[str], k: int) -> DataFrame:
+    """doc_id, score by both retrievers over the same governed rows; a blank query or no labels give none, and k is clamped.
+
+    A document's place among the vectors is that of its best chunk.
+    """
+    if not words.strip() or not labels:
+        return spark.createDataFrame([], "doc_id long, score double")
+    docs = live(governed(document(spark, sf_dir), tenant, labels))
+    nearest = nearest_chunks(chunk(spark, sf_dir), docs, _probe(spark, sf_dir), DEPTH).groupBy("doc_id").agg(F.max("score").alias("score"))
+    both = fused(numbered(nearest, "doc_id", "score"), numbered(keyword_top(docs, words, DEPTH), "doc_id", "hits"))
+    return both.orderBy(F.desc("score"), F.col("id").cast("string")).limit(clamped(k)).select(F.col("id").alias("doc_id"), "score")
+
+
+@query("hybrid_search", f"WITH {_GOVERNED_SQL}, {CHUNK_SQL}, v AS (SELECT doc_id AS id, row_number() OVER (ORDER BY max(score) DESC, doc_id) AS r FROM ({_NEAREST_SQL} LIMIT {DEPTH}) GROUP BY doc_id), {_RANKED_K_SQL} SELECT id AS doc_id, score FROM ({_FUSED_SQL}) ORDER BY score DESC, CAST(id AS VARCHAR) LIMIT 5")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir, QUESTION, TENANT, LABELS, 5)

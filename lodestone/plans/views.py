@@ -14,6 +14,9 @@ DOCUMENT_SQL = """document AS (
   SELECT doc_id, doc_id % 4 AS tenant_id, source || '/' || (doc_id % 50) AS source_path, text, lang,
     CASE doc_id % 5 WHEN 0 THEN ['public'] WHEN 1 THEN ['public', 'finance'] WHEN 2 THEN ['finance'] WHEN 3 THEN ['hr', 'legal'] ELSE [] END AS labels
   FROM documents)"""
+#: Those that no later version of their path replaces, and the chunks of each document.
+LIVE_SQL = """live AS (SELECT * FROM document SEMI JOIN (SELECT tenant_id, source_path, max(doc_id) AS doc_id FROM document GROUP BY ALL) l ON l.doc_id = document.doc_id AND l.tenant_id = document.tenant_id)"""
+CHUNK_SQL = """chunk AS (SELECT vec_id AS chunk_id, vec_id % (SELECT count(*) FROM documents) AS doc_id, vec_id % (SELECT count(*) FROM documents) % 4 AS tenant_id, embedding FROM embeddings)"""
 ORDERS_SQL = """v_orders AS (
   SELECT o.o_orderkey AS order_id, o.o_orderstatus AS order_status, CAST(o.o_orderdate AS DATE) AS ordered_at, c.c_custkey AS customer_id, c.c_name AS customer_name,
     n.n_name AS customer_country, c.c_mktsegment AS customer_segment, date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.shipped_at AS DATE)) AS days_to_ship
@@ -38,6 +41,19 @@ def governed(docs: DataFrame, tenant: int, labels: list[str]) -> DataFrame:
     return docs.where((F.col("tenant_id") == tenant) & F.arrays_overlap("labels", F.array(*map(F.lit, labels)))) if labels else docs.where("false")
 
 
+def live(docs: DataFrame) -> DataFrame:
+    """The newest version of each path of a tenant; texts stay out of the aggregate."""
+    newest = docs.groupBy("tenant_id", "source_path").agg(F.max("doc_id").alias("doc_id")).select("tenant_id", "doc_id")
+    return docs.join(newest, ["tenant_id", "doc_id"], "left_semi").select(*docs.columns)
+
+
+def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunk_id, doc_id, tenant_id, embedding: vectors dealt over the documents."""
+    total = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("total"))
+    vectors = table(spark, sf_dir, "embeddings").join(F.broadcast(total))  # one row
+    return vectors.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % F.col("total")).alias("doc_id"), (F.col("vec_id") % F.col("total") % 4).alias("tenant_id"), "embedding")
+
+
 def v_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped_at"))

@@ -11,13 +11,12 @@ ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def session(master: str = "local[8]", app: str = "lodestone", **conf: str) -> SparkSession:
-    """A session with the settings the engine relies on: UTC, ANSI and adaptive execution."""
+    """A session with the settings the engine relies on: UTC, ANSI and adaptive execution. The number of shuffle partitions is left to the caller."""
     builder = SparkSession.builder.master(master).appName(app)
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
     } | conf

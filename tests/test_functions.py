@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.chunks import chunked, pack
-from lodestone.functions.markup import html_page
+from lodestone.functions import embed
+from lodestone.functions.chunks import chunked, pack, pack_blocks
+from lodestone.functions.markup import markdown, page
 from lodestone.functions.pii import checksum_ok, pii_spans, redacted
-from lodestone.operators import documents, limits
+from lodestone.operators import answers, connectors, documents, limits, retrieval
 from lodestone.session import table
+from lodestone.sources import files, sinks
 from lodestone.streaming.limits import call_windows, daily_spend, ingest
 
 
@@ -47,14 +49,105 @@ def test_chunks(spark):
         chunked(spark.createDataFrame([("a",)], "text string"), size=10, overlap=10)
 
 
-def test_html(spark):
-    html = "<html><head><title> A  b</title></head><body><nav><p>no</p></nav><main><h1>T</h1><p>one<p>two <b>x</b></p>loose<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table><ul><li>x</li><li>y</li></ul></main><footer><p>f</p></footer></body>"
-    got = [r["p"] for r in spark.createDataFrame([(html,), (None,), ("<p>bare",)], "h string").select(html_page(F.col("h")).alias("p")).collect()]
-    assert got[0]["title"] == "A b" and [tuple(b) for b in got[0]["blocks"]] == [("heading", "T"), ("paragraph", "one"), ("paragraph", "two x"), ("table", "A | B\n1 | 2"), ("list", "x\ny")]
-    assert got[1]["blocks"] == [] and [tuple(b) for b in got[2]["blocks"]] == [("paragraph", "bare")]
+def blocks(parsed):
+    return [(b["kind"], b["content"], b["level"], b["heading"]) for b in parsed["blocks"]]
 
 
-@pytest.mark.parametrize("key", ["parse_html", "chunk_text", "pii_summary", "pii_total", "pii_redact", "scan_files"])
+def test_html():
+    html = "<html><head><title> A  b</title></head><body><nav><p>no</p></nav><main><h1>T</h1><p>one<p>two <b>x</b>y</p>loose<table><tr><th></th><th>B</th></tr><tr><td>1<td>2</tr></table><ul><li>x</li><li>y <i>z</i><ul><li>in</li></ul></li></ul></main><footer><p>f</p></footer></body>"
+    assert blocks(page(html)) == [("heading", "T", 1, "T"), ("paragraph", "one", None, "T"), ("paragraph", "two x y", None, "T"), ("table", " | B\n1 | 2", None, "T"), ("list", "- x\n- y z in", None, "T")]
+    assert page(html)["title"] == "A b" and page(None) == {"title": None, "blocks": []}
+    assert blocks(page("<p>bare")) == [("paragraph", "bare", None, None)]
+    # a page with a body of its own has each block once; what follows an unclosed form in another element stays
+    assert blocks(page("<body><div><form><p>gone</div><p>kept</p></body>")) == [("paragraph", "kept", None, None)]
+
+
+def test_markdown():
+    text = "intro\nline\n\n# One\n- a\n- b\n\n| x | y |\n| 1 | 2 |\nafter\n## Two\n1. n"
+    got = markdown(text)
+    assert got["title"] == "One"
+    assert blocks(got) == [("paragraph", "intro\nline", None, None), ("heading", "One", 1, "One"), ("list", "- a\n- b", None, "One"), ("table", "| x | y |\n| 1 | 2 |", None, "One"), ("paragraph", "after", None, "One"), ("heading", "Two", 2, "Two"), ("list", "1. n", None, "Two")]
+    assert markdown(None) == {"title": None, "blocks": []} == markdown(" \n")
+
+
+def test_chunk_blocks():
+    b = lambda kind, content, heading=None: {"kind": kind, "content": content, "level": None, "heading": heading}
+    table_ = "\n".join(f"| {k} |" for k in range(40))
+    got = pack_blocks([b("paragraph", "a" * 30), b("paragraph", "b" * 30), b("heading", "H"), b("paragraph", "c", "H"), b("table", table_, "H"), b("paragraph", "d" * 150, "H")], 60, 10)
+    assert got[:4] == [(None, "a" * 30), (None, "b" * 30), ("H", "c"), ("H", table_)]
+    assert [h for h, _ in got[4:]] == ["H"] * 3 and all(len(c) <= 60 + 12 for _, c in got[4:])
+
+
+def test_files_and_sinks(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, text in {"a.md": "# T\nx", "sub/b.HTML": "<title>B</title><p>y</p>", "c.txt": "plain", "d.pdf": "no"}.items():
+        (tmp_path / "in" / name).write_text(text)
+    read = files.parsed(files.found(spark, str(tmp_path / "in")))
+    got = {r["path"].rsplit("/", 1)[1]: (r["title"], [b["content"] for b in r["blocks"]]) for r in read.collect()}
+    assert got == {"a.md": ("T", ["T", "x"]), "b.HTML": ("B", ["y"]), "c.txt": ("c", ["plain"])}
+    assert files.parsed(files.found(spark, str(tmp_path / "in"), (".pdf",))).first()["error"] == "no parser for .pdf"
+    for _ in range(2):
+        sinks.write_documents(read, str(tmp_path / "out"))
+    chunks = spark.read.parquet(f"{tmp_path}/out/chunk")
+    assert spark.read.parquet(f"{tmp_path}/out/document").count() == 3 and sorted(r["content"] for r in chunks.collect()) == ["plain", "x", "y"]
+    spans = spark.sql("SELECT 1 AS event_id, TIMESTAMP '2024-01-01 10:00:00' AS ts")
+    assert sinks.append_traces(spans, f"{tmp_path}/spans") and sinks.append_traces(spans, f"{tmp_path}/spans")
+    assert spark.read.parquet(f"{tmp_path}/spans").count() == 2 and not sinks.append_traces(spans, "nowhere://x")
+
+
+def test_answers(spark):
+    text = "So [1] is [7], and [3] .  Then [12] [1]."
+    clean, kept, invented = spark.range(1).select(*answers.cited(F.lit(text), 3)).first()
+    assert (clean, kept, invented) == ("So [1] is, and [3]. Then [1].", [1, 3], [7, 12])
+    assert answers.first_object('x {"a": "}", "b": [1, {"c": null}]} {"d": 1}') == '{"a":"}","b":[1,{"c":null}]}'
+    assert answers.first_object("```json\n{\"a\": 1}\n```") == '{"a":1}' and [answers.first_object(t) for t in (None, "", "none", "{broken", "[1]")] == [None] * 5
+    texts = ["```SQL\nselect 1;\n```", "Here you are:\nWITH a AS (SELECT 1) SELECT * FROM a ;", "unanswerable", " ; "]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select(answers.sql_of(F.col("t")).alias("s"), "k").orderBy("k").collect()
+    assert [r["s"] for r in got] == ["select 1", "WITH a AS (SELECT 1) SELECT * FROM a ", None, None]
+
+
+def test_shaped_responses(spark):
+    long = '{"items": [{"a": 1, "b": {"c": "' + "x" * 300 + '"}}, {"a": null}]}'
+    rows = [("list", "[" + ",".join('{"n": %d}' % k for k in range(30)) + "]"), ("scalars", '{"data": [1, "two"]}'), ("one", '{"p": 1}'), ("value", "7"), ("text", "no json"), ("long", long), ("empty", "[]")]
+    df = spark.createDataFrame([(*r, "GET /x") for r in rows], "id string, body string, request string")
+    got = {k: [(r["item"], r["key"], r["value"]) for r in connectors.shaped(df, "id", "body", "request").where(F.col("id") == k).orderBy("item", "place").collect()] for k, _ in rows}
+    assert got["list"][:2] == [(0, "n", "0"), (1, "n", "1")] and len(got["list"]) == 26 and got["list"][25][2].startswith("[truncated] Showing 25 of 30 items from GET /x.")
+    assert got["scalars"] == [(0, "value", "1"), (1, "value", "two")] and got["one"] == [(0, "p", "1")] and got["value"] == [(0, "value", "7")] and got["text"] == [(0, "body", "no json")]
+    assert got["long"][0] == (0, "a", "1") and len(got["long"][1][2]) == 201 and got["long"][2] == (1, "a", "") and got["empty"] == []
+
+
+def test_render_path():
+    assert connectors.render_path("/o/{id}/x", ("id",), {"id": "a b", "z": "1"}) == "/o/a%20b/x"
+    for values in ({}, {"id": "a/b"}, {"id": ".."}):
+        with pytest.raises(ValueError, match="path parameter"):
+            connectors.render_path("/o/{id}", ("id",), values)
+
+
+def test_vectors_are_unit_and_stable():
+    import hashlib
+    import struct
+
+    raw = b"".join(hashlib.sha256(f"é:{k}".encode()).digest() for k in range(2))
+    plain = [v / 2**31 for v in struct.unpack("<10i", raw[:40])]
+    norm = sum(v * v for v in plain) ** 0.5
+    assert embed.vector("é", 10) == pytest.approx([v / norm for v in plain]) and embed.vector(None, 8) == embed.vector("", 8)
+
+
+def test_search_guards(spark, sf):
+    assert retrieval.hybrid(spark, sf, "  ", 1, ["public"], 5).count() == 0 == retrieval.hybrid(spark, sf, "license", 1, [], 5).count()
+    assert [retrieval.clamped(k) for k in (-3, 7, 1000)] == [1, 7, 50]
+    docs = spark.createDataFrame([(1, "A licence."), (2, "Licensed, licensing; E-402!"), (3, None), (4, "e 402 e")], "doc_id long, text string")
+    found = lambda words: [(r["doc_id"], r["hits"]) for r in retrieval.keyword_top(docs, words, 9).collect()]
+    assert found("licenses") == [(2, 2)] and found("E-402 the") == [(4, 3), (2, 2)] and found("?!") == [] and found("the") == []
+
+
+def test_page_chrome(spark):
+    pages = [(1, p, f"Head\n{p}\nbody {p}\nHead") for p in range(4)] + [(2, p, "Head") for p in range(2)]
+    got = documents.page_chrome(spark.createDataFrame(pages, "d long, p long, t string"), "d", "p", "t").collect()
+    assert sorted((r["document"], r["line"]) for r in got) == [(1, "0"), (1, "1"), (1, "2"), (1, "3"), (1, "Head")]
+
+
+@pytest.mark.parametrize("key", ["parse_html", "parse_markdown", "chunk_text", "chunk_blocks", "pii_summary", "pii_total", "pii_redact", "scan_files"])
 def test_documents_run(spark, sf, key):
     assert getattr(documents, key)(spark, sf).count() > 0
 
@@ -68,6 +161,7 @@ def test_breaker(spark):
     df = spark.createDataFrame([(7, float(t), i, ok) for i, (t, ok) in enumerate(calls)], "key long, at double, id long, ok boolean")
     got = limits.breaker_states(df).orderBy("id").collect()
     assert [r["refused"] for r in got] == [False] * 5 + [True, False, True, False, False]
+    assert [r["met"] for r in got] == ["closed"] * 5 + ["open", "half_open", "open", "half_open", "closed"]
     assert [r["state"] for r in got] == ["closed"] * 4 + ["open"] * 4 + ["closed"] * 2
 
 
