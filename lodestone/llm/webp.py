@@ -2,9 +2,9 @@
 
 `decode` reads any lossless stream: prefix codes (simple, normal, grouped by a meta image),
 back-references, colour cache, and the predictor, cross-colour, subtract-green and palette transforms,
-which it inverts in NumPy. `encode` writes pixels as literals with one code of 8 bits a channel, which
-both sides handle as whole arrays; such an image takes a constant number of bytes over its samples, and
-is not made smaller. Rows are stored one image each; a payload too high for one image is several, end to end.
+which it inverts in NumPy. `encode` chooses among the transforms by an estimate of the bits they save, and
+writes literals, copies of earlier pixels and places in the colour cache under prefix codes made for each
+image. Rows are stored one image each; a payload too high for one image is several, end to end.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,18 @@ NEAR = (
     (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 SIGNATURE, MAX_SIDE = 0x2F, 16384
-REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+#: Fixed values of the format: multiplier of the cache's hash, longest copy, farthest one, and transforms by number.
+HASH, LONGEST, FARTHEST = 0x1E35A7BD, 4096, (1 << 20) - 120
+TRANSFORMS = ("predict", "cross", "green", "palette")
+CACHE_BITS = 10
+SHORT = 4096  # pixels
 
 
 class Bits:
-    """Bits of a byte string, lowest bit of each byte first; zeros behind its end."""
+    """The bits of a stream, lowest first."""
 
-    def __init__(self, data: bytes, at: int = 0):
-        self.data, self.at = data, at
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
 
     def peek(self, n: int) -> int:
         byte = self.at >> 3
@@ -55,83 +60,101 @@ class Bits:
         return value
 
 
-@lru_cache(maxsize=512)
-def code_table(lengths: bytes) -> tuple[int, tuple]:
-    """Most bits of a code, and by the next bits of the stream (symbol, bits taken). One symbol alone takes no bits."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) == 1:
-        return 0, ((used[0], 0),)
-    if not used:
-        return 0, ((0, 0),)
-    most = max(lengths)
-    if sum(1 << (most - lengths[s]) for s in used) != 1 << most:
+@lru_cache(maxsize=16)
+def reversed_bits(n: int) -> np.ndarray:
+    """Every value of n bits with its bits in opposite order."""
+    value = np.arange(1 << n)
+    return sum((value >> k & 1) << (n - 1 - k) for k in range(n)) + 0 * value
+
+
+class Code(NamedTuple):
+    """Most bits of a code, and by the next bits of the stream the symbol times 16 and the bits it takes. One symbol alone takes no bits."""
+
+    most: int
+    table: list[int]
+
+
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Used symbols in order of their codes, the lengths of these, and the longest."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[used].astype(np.int64)
+    return used, n, int(n[-1]) if len(n) else 0
+
+
+def code_of(lengths: np.ndarray) -> Code:
+    used, n, most = canonical(lengths)
+    if len(used) < 2:
+        return Code(0, [16 * int(used[0]) if len(used) else 0])
+    run = 1 << (most - n)
+    if run.sum() != 1 << most:
         raise ValueError("code lengths do not make a whole prefix code")
-    table: list[tuple[int, int]] = [(0, 0)] * (1 << most)
-    code, last = 0, 0
-    for s in sorted(used, key=lambda s: (lengths[s], s)):
-        n = lengths[s]
-        code <<= n - last
-        last = n
-        first = int(f"{code:0{n}b}"[::-1], 2)
-        for at in range(first, 1 << most, 1 << n):
-            table[at] = (s, n)
-        code += 1
-    return most, tuple(table)
+    # in order of their codes, symbols fill the table in runs; the stream has the bits of a code the other way round
+    return Code(most, np.repeat(used << 4 | n, run)[reversed_bits(most)].tolist())
 
 
-def _symbol(bits: Bits, code: tuple[int, tuple]) -> int:
-    s, n = code[1][bits.peek(code[0])]
-    bits.at += n
-    return s
+def _symbol(bits: Bits, code: Code) -> int:
+    entry = code.table[bits.peek(code.most)]
+    bits.at += entry & 15
+    return entry >> 4
 
 
-#: Codes read lately, by alphabet, number of bits and the bits that describe them.
-_READ: dict[tuple[int, int], dict[int, tuple[int, tuple]]] = {}
+#: Codes read lately, by size of the alphabet and their first bits: number of bits, the bits, and the code.
+_KNOWN: dict[tuple[int, int], tuple[int, int, Code]] = {}
 
 
-def _read_code(bits: Bits, size: int) -> tuple[int, tuple]:
+def _read_code(bits: Bits, size: int) -> Code:
     begin = bits.at
-    for (own, n), known in _READ.items():
-        if own == size and (code := known.get(bits.peek(n))) is not None:
+    key = size, bits.peek(64)
+    if key in _KNOWN:
+        n, same, code = _KNOWN[key]
+        if bits.peek(n) == same:
             bits.at += n
             return code
     code = _parse_code(bits, size)
-    if sum(map(len, _READ.values())) >= 64:
-        _READ.clear()
     n, bits.at = bits.at - begin, begin
-    _READ.setdefault((size, n), {})[bits.peek(n)] = code
+    if len(_KNOWN) >= 64:
+        _KNOWN.clear()
+    _KNOWN[key] = n, bits.peek(n), code
     bits.at = begin + n
     return code
 
 
-def _parse_code(bits: Bits, size: int) -> tuple[int, tuple]:
-    lengths = bytearray(size)
+def _parse_code(bits: Bits, size: int) -> Code:
+    lengths = np.zeros(size, np.uint8)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return code_table(bytes(lengths))
-    own = bytearray(19)
+        return code_of(lengths)
+    own = np.zeros(19, np.uint8)
     for k in range(4 + bits.read(4)):
         own[CODE_ORDER[k]] = bits.read(3)
-    code = code_table(bytes(own))
+    most, table = code_of(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
+    at, last, mask, place, data = 0, 8, (1 << most) - 1, bits.at, bits.data
     while at < size and left:
         left -= 1
-        s = _symbol(bits, code)
+        # a length code has 7 bits at most, and what may follow it as many
+        value = int.from_bytes(data[place >> 3 : (place >> 3) + 3], "little") >> (place & 7)
+        entry = table[value & mask]
+        s, n = entry >> 4, entry & 15
+        place += n
         if s < 16:
             lengths[at] = s
             at += 1
             last = s or last
             continue
-        value, times = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
+        extra, first, own_value = ((2, 3, last), (3, 3, 0), (7, 11, 0))[s - 16]
+        times = first + (value >> n & ((1 << extra) - 1))
+        place += extra
         if at + times > size:
             raise ValueError("code lengths run over the alphabet")
-        lengths[at : at + times] = bytes([value]) * times
+        lengths[at : at + times] = own_value
         at += times
-    return code_table(bytes(lengths))
+    bits.at = place
+    return code_of(lengths)
 
 
 def _long(bits: Bits, prefix: int) -> int:
@@ -146,7 +169,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("colour cache of more than 11 bits")
-    meta, meta_bits, meta_width, groups = None, 0, 0, 1
+    meta, meta_bits, meta_width, groups = [0], 14, 1, 1
     if main and bits.read(1):
         meta_bits = bits.read(3) + 2
         meta_width = -(-width >> meta_bits)
@@ -154,56 +177,64 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = max(meta) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
-    total = width * height
-    if groups == 1 and not cache_bits and all(_flat(c) for c in codes[0][:4]):
-        return _flat_pixels(bits, codes[0], total)
-    out = [0] * total
-    cache, shift, at = [0] * (1 << cache_bits), 32 - cache_bits, 0
-    while at < total:
-        group = codes[meta[(at // width >> meta_bits) * meta_width + (at % width >> meta_bits)]] if meta else codes[0]
-        s = _symbol(bits, group[0])
-        if s < 256:
-            red, blue, alpha = (_symbol(bits, group[k]) for k in (1, 2, 3))
-            new = [alpha << 24 | red << 16 | s << 8 | blue]
-        elif s < 280:
-            length, far = _long(bits, s - 256), _long(bits, _symbol(bits, group[4]))
-            if far > 120:
-                back = far - 120
+    total, data, limit, out = width * height, bits.data, 8 * len(bits.data), []
+    cache, shift, place, from_bytes = [0] * (1 << cache_bits), 32 - cache_bits, bits.at, int.from_bytes
+    while (at := len(out)) < total:
+        # pixels up to the next change of the group of codes
+        row = at // width
+        until = total if groups == 1 else min(total, row * width + min(width, ((at - row * width >> meta_bits) + 1) << meta_bits))
+        group = codes[meta[(row >> meta_bits) * meta_width + (at - row * width >> meta_bits)]] if groups > 1 else codes[0]
+        (g_mask, green), (r_mask, red), (b_mask, blue), (a_mask, alpha) = [((1 << c.most) - 1, c.table) for c in group[:4]]
+        done = at
+        while done < until:
+            # four codes have 60 bits at most
+            view = from_bytes(data[place >> 3 : (place >> 3) + 9], "little") >> (place & 7)
+            entry = green[view & g_mask]
+            taken = entry & 15
+            if entry < 4096:
+                view >>= taken
+                r = red[view & r_mask]
+                view >>= r & 15
+                b = blue[view & b_mask]
+                a = alpha[(view >> (b & 15)) & a_mask]
+                place += taken + (r & 15) + (b & 15) + (a & 15)
+                value = (a >> 4) << 24 | (r >> 4) << 16 | (entry >> 4) << 8 | b >> 4
+            elif entry >= 4480:
+                place += taken
+                value = cache[(entry >> 4) - 280]
             else:
-                x, y = NEAR[far - 1]
-                back = max(1, x + y * width)
-            if back > at or at + length > total:
-                raise ValueError("back-reference outside the image")
-            new = [0] * length
-            for k in range(length):
-                new[k] = out[at + k - back] if k < back else new[k - back]
-        else:
-            new = [cache[s - 280]]
-        out[at : at + len(new)] = new
-        if cache_bits:
-            for v in new:
-                cache[(0x1E35A7BD * v & 0xFFFFFFFF) >> shift] = v
-        at += len(new)
+                bits.at = place + taken
+                new = _copied(bits, (entry >> 4) - 256, group[4], out, width, total)
+                place = bits.at
+                out += new
+                done += len(new)
+                for value in new if cache_bits else ():
+                    cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
+                continue
+            out.append(value)
+            done += 1
+            if cache_bits:
+                cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
+        if place > limit:
+            raise ValueError("the stream ends early")
+    bits.at = place
     return np.array(out, np.uint32)
 
 
-def _flat(code: tuple[int, tuple]) -> bool:
-    """Whether every code has 8 bits and is a literal."""
-    return code[0] == 8 and _symbols_if_flat(code[1]) is not None
-
-
-@lru_cache(maxsize=64)
-def _symbols_if_flat(table: tuple) -> np.ndarray | None:
-    return np.array([s for s, _ in table], np.uint32) if all(n == 8 and s < 256 for s, n in table) else None
-
-
-def _flat_pixels(bits: Bits, codes: list, total: int) -> np.ndarray:
-    first, shift = bits.at >> 3, bits.at & 7
-    raw = np.frombuffer(bits.data[first : first + 4 * total + 1].ljust(4 * total + 1, b"\0"), np.uint8)
-    raw = (raw[:-1] >> shift) | (raw[1:] << (8 - shift)) if shift else raw[:-1]
-    bits.at += 32 * total
-    g, r, b, a = (_symbols_if_flat(code[1])[raw[k::4]] for k, code in enumerate(codes[:4]))
-    return a << 24 | r << 16 | g << 8 | b
+def _copied(bits: Bits, prefix: int, distances: Code, out: list[int], width: int, total: int) -> list[int]:
+    length, far = _long(bits, prefix), _long(bits, _symbol(bits, distances))
+    if far > 120:
+        back = far - 120
+    else:
+        x, y = NEAR[far - 1]
+        back = max(1, x + y * width)
+    at = len(out)
+    if back > at or at + length > total:
+        raise ValueError("back-reference outside the image")
+    new = out[at - back : at - back + length]
+    while len(new) < length:
+        new += new[: length - len(new)]
+    return new
 
 
 def _channels(argb: np.ndarray) -> np.ndarray:
@@ -241,7 +272,7 @@ def _predict(mode: int, left, top, top_right, top_left):
         case 10:
             return _half(_half(left, top_left), _half(top, top_right))
         case 11:
-            return left if np.abs(top - top_left).sum() < np.abs(left - top_left).sum() else top
+            return np.where((np.abs(top - top_left).sum(-1) < np.abs(left - top_left).sum(-1))[..., None], left, top)
         case 12:
             return np.clip(left + top - top_left, 0, 255)
         case 13:
@@ -347,61 +378,395 @@ def decode(media: bytes) -> list[np.ndarray]:
     return images
 
 
-@lru_cache(maxsize=4096)
-def _header(width: int, height: int) -> tuple[int, int]:
-    """Value and number of the bits before the pixels: no transform, cache or meta image; four flat codes, no distances."""
-    value = n = 0
-
-    def put(bits: int, v: int) -> None:
-        nonlocal value, n
-        value |= v << n
-        n += bits
-
-    put(8, SIGNATURE)
-    put(14, width - 1)
-    put(14, height - 1)
-    put(1, 1)  # alpha is used
-    put(3 + 1 + 1 + 1, 0)
-    for channel in range(4):
-        # lengths of the length codes: 8 and 16, for green also 18 (a run of zeros)
-        own = {8: 2, 16: 1, 18: 2} if channel == 0 else {8: 1, 16: 1}
-        code = {16: (1, 0), 8: (2, 0b01), 18: (2, 0b11)} if channel == 0 else {8: (1, 0), 16: (1, 1)}
-        put(1, 0)
-        put(4, 12 - 4)
-        for s in CODE_ORDER[:12]:
-            put(3, own.get(s, 0))
-        put(1, 0)
-        put(*code[8])
-        for times in [6] * 42 + [3]:
-            put(*code[16])
-            put(2, times - 3)
-        if channel == 0:
-            put(*code[18])
-            put(7, 24 - 11)
-    put(4, 0b0001)  # a simple code of one symbol, 0
-    return value, n
-
-
-def encode(samples: np.ndarray, width: int) -> bytes:
-    """An image of `width` pixels a row from 8-bit samples, four to a pixel: green, red, blue, alpha."""
-    height = len(samples) // (4 * width)
-    value, n = _header(width, height)
-    shift, coded = n & 7, REVERSED[samples]
-    body = np.zeros(len(coded) + 1, np.uint8)
-    body[:-1] = coded << shift
-    if shift:
-        body[1:] |= coded >> (8 - shift)
-    head = value.to_bytes((n + 7) // 8, "little")
-    if shift:
-        body[0] |= head[-1]
-        head = head[:-1]
-    stream = head + (body if shift else body[:-1]).tobytes()
+class Writer:
+    """Fields of bits, lowest first: one by one, or arrays of them."""
+
+    def __init__(self) -> None:
+        self.sizes: list[int] = []
+        self.values: list[int] = []
+        self.done: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def put(self, bits: int, value: int) -> None:
+        self.sizes.append(bits)
+        self.values.append(value)
+
+    def put_all(self, bits: np.ndarray, values: np.ndarray) -> None:
+        self.done += [(np.array(self.sizes, np.int64), np.array(self.values, np.uint64)), (bits, values.astype(np.uint64))]
+        self.sizes, self.values = [], []
+
+    def bytes(self) -> bytes:
+        self.put_all(np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        bits, values = (np.concatenate(c) for c in zip(*self.done, strict=True))
+        bits, values = bits[bits > 0], values[bits > 0]
+        ends = np.cumsum(bits)
+        start = ends - bits
+        word, shift = start >> 6, (start & 63).astype(np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out = np.zeros(int(ends[-1] >> 6) + 2, "<u8")
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, 1)), 0)
+        out[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
+        return out.tobytes()[: int(ends[-1] + 7) // 8]
+
+
+def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a prefix code of `most` bits at most; one symbol alone has length 1."""
+    lengths = np.zeros(len(counts), np.uint8)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
+    used = used[np.argsort(counts[used], kind="stable")]
+    least = 1
+    while True:
+        # leaves and joined nodes both come in order of weight, so the two lightest are at the heads
+        weight = np.maximum(counts[used], least).tolist()
+        n = len(weight)
+        parent, leaf, node = [0] * (2 * n - 1), 0, n
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if leaf < n and (node >= new or weight[leaf] <= weight[node]):
+                    own, leaf = leaf, leaf + 1
+                else:
+                    own, node = node, node + 1
+                parent[own] = new
+                total += weight[own]
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= most:
+            lengths[used] = depth[:n]
+            return lengths
+        least = max(2 * least, int(counts[used[0]]) + 1)
+
+
+def codes_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By symbol: the code as it stands in the stream, and its bits; one symbol alone takes none."""
+    value, taken = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    used, n, most = canonical(lengths)
+    if len(used) > 1:
+        run = 1 << (most - n)
+        value[used], taken[used] = reversed_bits(most)[np.cumsum(run) - run], n
+    return value, taken
+
+
+def _put_code(w: Writer, lengths: np.ndarray) -> None:
+    used = np.flatnonzero(lengths).tolist() or [0]
+    if len(used) <= 2 and used[-1] < 256:
+        w.put(1, 1)
+        w.put(1, len(used) - 1)
+        w.put(1, int(used[0] > 1))
+        w.put(8 if used[0] > 1 else 1, used[0])
+        for s in used[1:]:
+            w.put(8, s)
+        return
+    symbols: list[int] = []  # and with each its extra bits and their value
+    extras: list[tuple[int, int]] = []
+    change = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1).tolist(), len(lengths)]
+    value = lengths[change[:-1]].tolist()
+    last = 8
+    for n, a, b in zip(value, change, change[1:], strict=False):
+        times = b - a
+        if n and n != last:
+            symbols.append(n)
+            extras.append((0, 0))
+            times -= 1
+            last = n
+        while times >= 3:
+            symbol, extra, first, most = (16, 2, 3, 6) if n else (18, 7, 11, 138) if times > 10 else (17, 3, 3, 10)
+            now = min(times, most)
+            symbols.append(symbol)
+            extras.append((extra, now - first))
+            times -= now
+        symbols += [n] * times
+        extras += [(0, 0)] * times
+    own = code_lengths(np.bincount(symbols, minlength=19), 7)
+    listed = [int(own[s]) for s in CODE_ORDER]
+    many = max(4, max(k + 1 for k, n in enumerate(listed) if n))
+    w.sizes += [1, 4, *[3] * many, 1]
+    w.values += [0, many - 4, *listed[:many], 0]
+    code, taken = (v.tolist() for v in codes_of(own))
+    w.sizes += [taken[s] + e[0] for s, e in zip(symbols, extras, strict=True)]
+    w.values += [code[s] | e[1] << taken[s] for s, e in zip(symbols, extras, strict=True)]
+
+
+def _prefixed(n: int) -> tuple[int, int, int]:
+    """Prefix symbol, extra bits and their value of a length or distance."""
+    if n <= 4:
+        return n - 1, 0, 0
+    high = (n - 1).bit_length() - 1
+    extra = high - 1
+    return 2 * high + (n - 1 >> extra & 1), extra, n - 1 & (1 << extra) - 1
+
+
+@lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    found: dict[int, int] = {}
+    for k, (x, y) in enumerate(NEAR):
+        found.setdefault(max(1, x + y * width), k + 1)
+    return found
+
+
+def copies_in(v: np.ndarray) -> list[tuple[int, int, int]]:
+    """Place, length and distance of runs of pixels that stood before, taken greedily, each from the last place where its first two stood."""
+    if len(v) < 4:
+        return []
+    pair = v[:-1].astype(np.uint64) << np.uint64(32) | v[1:]
+    order = np.argsort(pair, kind="stable")
+    same = pair[order][1:] == pair[order][:-1]
+    here, there = order[1:][same], order[:-1][same]
+    by = np.argsort(here)
+    out, done = [], 0
+    for i, j in zip(here[by].tolist(), there[by].tolist(), strict=True):
+        if i < done:
+            continue
+        length = 0
+        for most in (16, LONGEST):
+            differ = np.flatnonzero(v[i : i + most] != v[j : j + most][: len(v) - i])
+            length = int(differ[0]) if len(differ) else min(most, len(v) - i)
+            if length < most:
+                break
+        if length >= 3 and i - j <= FARTHEST:
+            out.append((i, length, i - j))
+            done = i + length
+    return out
+
+
+#: Weights of bytes in texts, by which the preset code is made; all others weigh 1.
+WEIGHTS = {" ": 600, "ehnt": 350, "aoirs": 250, "dlu": 120, "bcfgmpvwy": 40, ".,\n": 40, "jkqxz": 10, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": 10}
+SIZES = (280, 256, 256, 256, 40)
+
+
+class Codes(NamedTuple):
+    """Code lengths, codes and their bits for green (with lengths of copies and the cache), red, blue, alpha and distances."""
+
+    lengths: list[np.ndarray]
+    codes: list[np.ndarray]
+    taken: list[np.ndarray]
+
+
+def codes_for(counts: list[np.ndarray]) -> Codes:
+    lengths = [code_lengths(c, 12 if len(c) > 256 else 10) for c in counts]
+    coded = [codes_of(n) for n in lengths]
+    return Codes(lengths, [c for c, _ in coded], [n for _, n in coded])
+
+
+@lru_cache(maxsize=1)
+def preset() -> tuple[Codes, np.ndarray, np.ndarray]:
+    """Codes for short texts, to which codes of their own would add more than they save, and the bits that describe them."""
+    weights = np.ones(256, np.int64)
+    weights[0xA0:0xC0], weights[0xC3], weights[255] = 10, 40, 40
+    for letters, weight in WEIGHTS.items():
+        weights[list(letters.encode())] = weight
+    codes = codes_for([np.concatenate([weights, np.full(24, 40)]), weights, weights, weights, np.full(40, 1)])
+    w = Writer()
+    for n in codes.lengths:
+        _put_code(w, n)
+    return codes, np.array(w.sizes, np.int64), np.array(w.values, np.uint64)
+
+
+def _entropy(counts: np.ndarray) -> float:
+    some = counts[counts > 0]
+    return float(some.sum() * np.log2(some.sum()) - (some * np.log2(some)).sum()) if len(some) else 0.0
+
+
+def _put_image(w: Writer, v: np.ndarray, width: int, main: bool) -> None:
+    """Pixels as literals, copies and places in the colour cache, under one group of codes: the preset one, or their own."""
+    copies = copies_in(v)
+    own = np.ones(len(v), bool)
+    for at, length, _ in copies:
+        own[at + 1 : at + length] = False
+    begins = np.flatnonzero(own)
+    where = np.searchsorted(begins, np.array([c[0] for c in copies], np.int64))
+    near = _near(width)
+    runs = [(_prefixed(length), _prefixed(near.get(far, far + 120))) for _, length, far in copies]
+    value = v[begins].astype(np.int64)
+    plain = np.ones(len(begins), bool)
+    plain[where] = False
+    green = value >> 8 & 255
+    green[where] = [256 + length[0] for length, _ in runs]
+    rest = [value >> shift & 255 for shift in (16, 0, 24)]
+    channels = [green, *[c[plain] for c in rest], np.array([far[0] for _, far in runs], np.int64)]
+    counts = [np.bincount(c, minlength=n) for c, n in zip(channels, SIZES, strict=True)]
+    codes, sizes, values = preset()
+    bits = sum(int(n.astype(np.int64) @ c) for n, c in zip(codes.lengths, counts, strict=True)) + int(sizes.sum())
+    # codes of their own take most of the time of a short image, so they must save a third
+    if len(begins) <= SHORT and bits < 30 * len(v) and bits <= 1.5 * (sum(_entropy(c) + 6 * np.count_nonzero(c) for c in counts) + 400):
+        w.put(1, 0)
+        if main:
+            w.put(1, 0)
+        w.put_all(sizes, values)
+    else:
+        slot = (v.astype(np.uint64) * np.uint64(HASH) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)
+        order = np.argsort(slot, kind="stable")
+        hit = np.zeros(len(v), bool)
+        hit[order[1:]] = (slot[order][1:] == slot[order][:-1]) & (v[order][1:] == v[order][:-1])
+        hit = hit[begins] & plain
+        cache_bits = CACHE_BITS if np.count_nonzero(hit) >= 24 else 0
+        if cache_bits:
+            green = np.where(hit, 280 + slot[begins].astype(np.int64), green)
+            plain &= ~hit
+            counts = [np.bincount(green, minlength=280 + (1 << cache_bits)), *[np.bincount(c[plain], minlength=256) for c in rest], counts[4]]
+        codes = codes_for(counts)
+        w.put(1, int(cache_bits > 0))
+        if cache_bits:
+            w.put(4, cache_bits)
+        if main:
+            w.put(1, 0)
+        for n in codes.lengths:
+            _put_code(w, n)
+    bits, values = codes.taken[0][green], codes.codes[0][green]
+    for c, code, taken in zip(rest, codes.codes[1:4], codes.taken[1:4], strict=True):
+        values |= np.where(plain, code[c] << bits, 0)
+        bits += np.where(plain, taken[c], 0)
+    code, taken = codes.codes[4], codes.taken[4]
+    for k, (length, far) in zip(where.tolist(), runs, strict=True):
+        for n, more in ((length[1], length[2]), (int(taken[far[0]]), int(code[far[0]])), (far[1], far[2])):
+            values[k] |= more << int(bits[k])
+            bits[k] += n
+    w.put_all(bits, values)
+
+
+def _bits_of(*images: np.ndarray) -> list[float]:
+    """Bits of the four channels (bytes) of each image under codes of their own."""
+    many = len(images)
+    cells = np.stack(images).reshape(many, -1, 4) + np.arange(0, 1024 * many, 256).reshape(many, 1, 4)
+    counts = np.bincount(cells.reshape(-1), minlength=1024 * many).reshape(many, 1024)
+    pixels = cells.shape[1]
+    return (4 * pixels * np.log2(pixels) - (counts * np.log2(np.maximum(counts, 1))).sum(1)).tolist()
+
+
+def _raw(argb: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(argb).view(np.uint8).reshape(*argb.shape, 4)
+
+
+def take_green(argb: np.ndarray) -> np.ndarray:
+    out = _channels(argb)
+    out[..., 0] -= out[..., 1]
+    out[..., 2] -= out[..., 1]
+    return _argb(out)
+
+
+def take_prediction(argb: np.ndarray, mode: int) -> np.ndarray:
+    """What is left of each pixel when one mode predicts it from its neighbours."""
+    v = _channels(argb)
+    out = v.copy()
+    out[0, 0] -= _predict(0, None, None, None, None)
+    out[0, 1:] -= v[0, :-1]
+    out[1:, 0] -= v[:-1, 0]
+    if len(v) > 1 and v.shape[1] > 1:
+        above = np.concatenate([v[:-1], v[1:, :1]], 1)
+        out[1:, 1:] -= _predict(mode, v[1:, :-1], above[:, 1:-1], above[:, 2:], above[:, :-2])
+    return _argb(out)
+
+
+def take_cross(argb: np.ndarray, elements: tuple[int, int, int]) -> np.ndarray:
+    """Without the parts of red and blue that green, and of blue that red, foretell; multipliers in 32nds: green to red, green to blue, red to blue."""
+    out = _channels(argb)
+    green, red = (out[..., k].astype(np.int8).astype(np.int32) for k in (1, 2))
+    out[..., 2] -= elements[0] * green >> 5
+    out[..., 0] -= (elements[1] * green >> 5) + (elements[2] * red >> 5)
+    return _argb(out)
+
+
+def cross_elements(argb: np.ndarray) -> tuple[int, int, int]:
+    """Slopes of red on green, of blue on green beyond red's part, and of blue on red, in 32nds."""
+    blue_green_red = np.ascontiguousarray(argb).view(np.int8).reshape(-1, 4)[:, :3].astype(np.float32)
+    blue_green_red -= blue_green_red.mean(0)
+    c = blue_green_red.T @ blue_green_red
+    rounded = lambda v: int(np.clip(np.rint(32 * v), -128, 127))
+    red_to_blue = rounded(c[0, 2] / max(c[2, 2], 1e-9))
+    return rounded(c[1, 2] / max(c[1, 1], 1e-9)), rounded((c[0, 1] - red_to_blue / 32 * c[1, 2]) / max(c[1, 1], 1e-9)), red_to_blue
+
+
+def plan(argb: np.ndarray) -> list[tuple]:
+    """The transforms that save most by an estimate of the bits: a palette, or any of subtract-green, one predictor and cross-colour."""
+    raw = _raw(argb)
+    # cheap looks at the differences to green, to the left and to the row above say which transforms are worth a try
+    green, left, above = raw.copy(), raw.copy(), raw.copy()
+    green[..., [0, 2]] -= raw[..., 1:2]
+    left[:, 1:] -= raw[:, :-1]
+    above[1:] -= raw[:-1]
+    best, by_green, by_left, by_above = _bits_of(raw, green, left, above)
+    steps: list[tuple] = []
+    colours, by_palette = np.unique(argb.reshape(-1)[:512]), best
+    if len(colours) <= 256:
+        colours = np.unique(argb)
+    if len(colours) <= 256:
+        by_palette = _entropy(np.bincount(np.searchsorted(colours, argb.reshape(-1)))) + 24 * len(colours) + 300
+
+    def take(options: list[tuple[tuple, np.ndarray]]) -> None:
+        nonlocal argb, best
+        bits = _bits_of(*[_raw(image) for _, image in options])
+        k = int(np.argmin(bits))
+        if bits[k] + 100 < best:
+            argb, best = options[k][1], bits[k]
+            steps.append(options[k][0])
+
+    if by_green < best:
+        take([(("green",), take_green(argb))])
+    if min(by_left, by_above) < best:
+        take([(("predict", m), take_prediction(argb, m)) for m in range(1, 14)])
+    elements = cross_elements(argb)
+    if max(map(abs, elements)) > 8:
+        take([(("cross", elements), take_cross(argb, elements))])
+    return [("palette", colours)] if by_palette < best else steps
+
+
+def encode(argb: np.ndarray, steps: list[tuple] | None = None) -> bytes:
+    """A file of (height, width) ARGB values, by the transforms of `plan` or those given."""
+    height, width = argb.shape
+    steps = plan(argb) if steps is None else steps
+    w = Writer()
+    for bits, value in ((8, SIGNATURE), (14, width - 1), (14, height - 1), (1, 1), (3, 0)):
+        w.put(bits, value)
+    for step in steps:
+        w.put(1, 1)
+        w.put(2, TRANSFORMS.index(step[0]))
+        blocks = -(-height >> 9), -(-argb.shape[1] >> 9)
+        if step[0] == "green":
+            argb = take_green(argb)
+        elif step[0] == "palette":
+            colours = step[1]
+            w.put(8, len(colours) - 1)
+            deltas = _channels(colours)
+            deltas[1:] = deltas[1:] - deltas[:-1]
+            _put_image(w, _argb(deltas), len(colours), False)
+            argb = pack_palette(np.searchsorted(colours, argb), len(colours))
+        else:
+            w.put(3, 9 - 2)  # blocks of 512 pixels, all alike
+            if step[0] == "predict":
+                element, argb = step[1] << 8, take_prediction(argb, step[1])
+            else:
+                to_red, to_blue, red_to_blue = (e & 255 for e in step[1])
+                element, argb = red_to_blue << 16 | to_blue << 8 | to_red, take_cross(argb, step[1])
+            _put_image(w, np.full(blocks[0] * blocks[1], element, np.uint32), blocks[1], False)
+    w.put(1, 0)
+    _put_image(w, argb.reshape(-1), argb.shape[1], True)
+    stream = w.bytes()
     padded = stream + b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + padded
 
 
+def pack_palette(index: np.ndarray, colours: int) -> np.ndarray:
+    """Indices as green values; up to 16 colours several to a pixel."""
+    pack = 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+    height, width = index.shape
+    wide = np.zeros((height, -(-width >> pack) << pack), np.uint32)
+    wide[:, :width] = index
+    parts = wide.reshape(height, -1, 1 << pack) << (np.arange(1 << pack, dtype=np.uint32) * np.uint32(8 >> pack))
+    return np.uint32(0xFF000000) | np.bitwise_or.reduce(parts, 2) << np.uint32(8)
+
+
+def pixels_of(samples: np.ndarray, width: int) -> np.ndarray:
+    """(height, width) ARGB values from 8-bit samples, four to a pixel: green, red, blue, alpha."""
+    return np.ascontiguousarray(samples.reshape(-1, 4)[:, [2, 0, 1, 3]]).view("<u4").reshape(-1, width)
+
+
 def samples_of(argb: np.ndarray) -> np.ndarray:
-    """Samples in the order in which `encode` takes them."""
+    """Samples in the order in which `pixels_of` takes them."""
     return np.ascontiguousarray(argb).view(np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]].reshape(-1)
 
 
@@ -411,7 +776,7 @@ UNIT, ROW = 576, 144
 def store(payload: np.ndarray) -> bytes:
     """Payload bytes, a multiple of UNIT, as images of ROW pixels a row."""
     most = UNIT * MAX_SIDE
-    return b"".join(encode(payload[i : i + most], ROW) for i in range(0, len(payload), most))
+    return b"".join(encode(pixels_of(payload[i : i + most], ROW)) for i in range(0, len(payload), most))
 
 
 def feature_of(samples: np.ndarray, images: int) -> str:
