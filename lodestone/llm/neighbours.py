@@ -5,8 +5,9 @@ query, the pairs are taken from a heap in order of their summed inner products w
 until the cells taken hold `visit` of all entries and `k` entries of other ids. The entries of those cells are ranked by their true
 inner products. Codebooks are fitted on a bounded sample (`sample` rows in hash order); every row is indexed.
 
-Entries and queries travel in packs of bounded rows. Entry packs are keyed by their slab (a first code,
-salted by its number of entries), and each query pack goes to the slabs of which it visits a cell.
+Entries and queries travel in packs of bounded rows. Entry packs are keyed by their slab (a first code) and a
+salt, of which a slab has more the more entries it has; each query pack goes to every salt of the slabs of
+which it visits a cell.
 Vectors without structure need a large `visit` for a recall of 0.9; clustered ones much less.
 """
 
@@ -120,18 +121,19 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, visit: float = 0.6,
                 own = (keys == key).all(1)
                 held.setdefault((int(key[0]), int(key[1])), []).append((ids[own], second[own], x[own]))
                 if sum(len(p[0]) for p in held[int(key[0]), int(key[1])]) >= PACK:
-                    yield flush(int(key[0]), held.pop((int(key[0]), int(key[1]))))
-        for (a, _), parts in held.items():
-            yield flush(a, parts)
+                    yield flush(int(key[0]), int(key[1]), held.pop((int(key[0]), int(key[1]))))
+        for (a, salt_), parts in held.items():
+            yield flush(a, salt_, parts)
 
-    def flush(a: int, parts: list) -> pa.RecordBatch:
+    def flush(a: int, salt_: int, parts: list) -> pa.RecordBatch:
         ids, second, x = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort([second, ids])
         cuts = range(0, len(ids), PACK)
-        return pa.RecordBatch.from_pydict({"slab": [a] * len(cuts), "e_ids": [ids[order[i : i + PACK]].tobytes() for i in cuts], "e_codes": [second[order[i : i + PACK]].tobytes() for i in cuts], "e_vectors": [x[order[i : i + PACK]].tobytes() for i in cuts]}, pa.schema([("slab", pa.int32()), ("e_ids", pa.binary()), ("e_codes", pa.binary()), ("e_vectors", pa.binary())]))
+        return pa.RecordBatch.from_pydict({"slab": [a] * len(cuts), "salt": [salt_] * len(cuts), "e_ids": [ids[order[i : i + PACK]].tobytes() for i in cuts], "e_codes": [second[order[i : i + PACK]].tobytes() for i in cuts], "e_vectors": [x[order[i : i + PACK]].tobytes() for i in cuts]}, pa.schema([("slab", pa.int32()), ("salt", pa.int32()), ("e_ids", pa.binary()), ("e_codes", pa.binary()), ("e_vectors", pa.binary())]))
 
-    salt = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(s) for s in salts]), F.col("a") + 1)).cast("int")
-    entries = indexed.withColumn("salt", salt).repartition("a", "salt").mapInArrow(pack, "slab int, e_ids binary, e_codes binary, e_vectors binary")
+    salts_of = lambda slab: F.element_at(F.array(*[F.lit(s) for s in salts]), F.col(slab) + 1)
+    salt = F.pmod(F.xxhash64("vec_id"), salts_of("a")).cast("int")
+    entries = indexed.withColumn("salt", salt).repartition("a", "salt").mapInArrow(pack, "slab int, salt int, e_ids binary, e_codes binary, e_vectors binary")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -152,6 +154,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, visit: float = 0.6,
     own = F.count(F.lit(1)).over(Window.partitionBy("vec_id"))
     queries = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", own.alias("own")).dropDuplicates(["vec_id", "embedding"])
     probes = queries.mapInArrow(probe, "slab int, q_ids binary, q_masks binary, q_vectors binary")
+    # a slab's entries are dealt over its salts, so each of them gets the pack
+    probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts_of("slab") - 1)))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -180,6 +184,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, visit: float = 0.6,
         own = np.repeat(np.array([*best], np.int64), [len(v[0]) for v in best.values()])
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([v[0] for v in best.values()])), pa.array(np.concatenate([v[1] for v in best.values()]))], ["query_id", "vec_id", "score"])
 
-    found = probes.join(entries, "slab").mapInArrow(rank, "query_id long, vec_id long, score double")
+    found = probes.join(entries, ["slab", "salt"]).mapInArrow(rank, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
