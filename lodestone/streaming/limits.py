@@ -25,14 +25,19 @@ def daily_spend(costs: DataFrame, budget_micros: int = 5_000_000, late: str = "1
 def ingest(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Append documents (tenant, source_path, text) to the sink, each text of a tenant once, and end with what is there now.
 
-    A batch that is run again after a loss finds its hashes in the sink and adds nothing.
+    A batch that is run again after a loss finds its hashes in the sink and adds nothing. The sink is
+    partitioned by the first two digits of the hash, and only the partitions of the batch are read.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("hash", F.sha2("text", 256)).groupBy("tenant", "hash").agg(F.min_by(F.struct("source_path", "text"), "source_path").alias("d")).select("tenant", "hash", "d.source_path", "d.text")
-        known = spark.read.schema(new.schema).option("recursiveFileLookup", True).parquet(sink).select("tenant", "hash") if _exists(spark, sink) else None
-        (new if known is None else new.join(known, ["tenant", "hash"], "left_anti")).write.mode("append").parquet(sink)
+        hashed = batch.withColumn("hash", F.sha2("text", 256)).withColumn("part", F.substring("hash", 1, 2))
+        new = hashed.groupBy("tenant", "hash", "part").agg(F.min_by(F.struct("source_path", "text"), "source_path").alias("d")).select("tenant", "hash", "d.source_path", "d.text", "part")
+        if _exists(spark, sink):
+            parts = [r["part"] for r in hashed.select("part").distinct().collect()]  # 256 at most, and null
+            known = spark.read.schema(new.schema).parquet(sink).where(F.col("part").isin(*[p for p in parts if p is not None]))
+            new = new.join(known.select("tenant", "hash"), ["tenant", "hash"], "left_anti")
+        new.write.mode("append").partitionBy("part").parquet(sink)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
