@@ -40,6 +40,7 @@ SIGNATURE, MAX_SIDE = 0x2F, 16384
 #: Fixed values of the format: multiplier of the cache's hash, longest copy, farthest one, and transforms by number.
 HASH, LONGEST, FARTHEST = 0x1E35A7BD, 4096, (1 << 20) - 120
 TRANSFORMS = ("predict", "cross", "green", "palette")
+WINDOW = 1 << 16  # bytes
 CACHE_BITS = 10
 SHORT = 4096  # pixels
 
@@ -107,14 +108,15 @@ def _read_code(bits: Bits, size: int) -> Code:
     begin = bits.at
     key = size, bits.peek(64)
     if key in _KNOWN:
-        n, same, code = _KNOWN[key]
+        # what is met again stays longest
+        n, same, code = _KNOWN[key] = _KNOWN.pop(key)
         if bits.peek(n) == same:
             bits.at += n
             return code
     code = _parse_code(bits, size)
     n, bits.at = bits.at - begin, begin
     if len(_KNOWN) >= 64:
-        _KNOWN.clear()
+        del _KNOWN[next(iter(_KNOWN))]
     _KNOWN[key] = n, bits.peek(n), code
     bits.at = begin + n
     return code
@@ -164,6 +166,42 @@ def _long(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
+#: Pairs of codes met lately, and their joint tables from the second time on.
+_PAIRED: dict[tuple[int, ...], tuple[list[Code], tuple[list[int], list[int]] | None]] = {}
+JOINT = 14  # bits
+_NONE = [0] * (1 << JOINT)
+_ALL = (1 << JOINT) - 1
+
+
+def _joint(first: Code, second: Code, shifts: tuple[int, int]) -> list[int]:
+    """By the next JOINT bits: both symbols at their places in the pixel times 32, and the bits they take; 0 if they take more or the first is no literal."""
+    at = np.arange(1 << JOINT)
+    a = np.array(first.table)[at & (1 << first.most) - 1]
+    b = np.array(second.table)[at >> (a & 15) & (1 << second.most) - 1]
+    taken = (a & 15) + (b & 15)
+    return np.where((taken <= JOINT) & (a < 4096), ((a >> 4) << shifts[0] | (b >> 4) << shifts[1]) << 5 | taken, 0).tolist()
+
+
+def _joint_tables(group: list[Code], pixels: int) -> tuple[list[int], list[int]] | None:
+    """Of green and red, and of blue and alpha; none where they would serve one short image."""
+    key = tuple(map(id, group[:4]))
+    known = key in _PAIRED
+    tables = _PAIRED[key][1] if known else None
+    if tables is None and (known or pixels >= SHORT):
+        tables = _joint(group[0], group[1], (8, 16)), _joint(group[2], group[3], (0, 24))
+    _PAIRED.pop(key, None)
+    if len(_PAIRED) >= 8:
+        del _PAIRED[next(iter(_PAIRED))]
+    _PAIRED[key] = group, tables
+    return tables
+
+
+def _words(data: bytes, first: int) -> list[int]:
+    """The 8 bytes from each byte on, as numbers, for WINDOW bytes; zeros stand behind the end."""
+    part = np.frombuffer(data[first : first + WINDOW + 8] + b"\0" * 16, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(part, 8)[: WINDOW + 1].copy().view("<u8").reshape(-1).tolist()
+
+
 def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """ARGB values of one entropy-coded image, row by row."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -178,43 +216,53 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
     total, data, limit, out = width * height, bits.data, 8 * len(bits.data), []
-    cache, shift, place, from_bytes = [0] * (1 << cache_bits), 32 - cache_bits, bits.at, int.from_bytes
+    cache, shift, place = [0] * (1 << cache_bits), 32 - cache_bits, bits.at
     while (at := len(out)) < total:
         # pixels up to the next change of the group of codes
         row = at // width
         until = total if groups == 1 else min(total, row * width + min(width, ((at - row * width >> meta_bits) + 1) << meta_bits))
         group = codes[meta[(row >> meta_bits) * meta_width + (at - row * width >> meta_bits)]] if groups > 1 else codes[0]
         (g_mask, green), (r_mask, red), (b_mask, blue), (a_mask, alpha) = [((1 << c.most) - 1, c.table) for c in group[:4]]
-        done = at
+        done, narrow = at, sum(c.most for c in group[:4]) <= 57
+        green_red, blue_alpha = (_joint_tables(group, total) if groups == 1 else None) or (_NONE, _NONE)
         while done < until:
-            # four codes have 60 bits at most
-            view = from_bytes(data[place >> 3 : (place >> 3) + 9], "little") >> (place & 7)
-            entry = green[view & g_mask]
-            taken = entry & 15
-            if entry < 4096:
-                view >>= taken
-                r = red[view & r_mask]
-                view >>= r & 15
-                b = blue[view & b_mask]
-                a = alpha[(view >> (b & 15)) & a_mask]
-                place += taken + (r & 15) + (b & 15) + (a & 15)
-                value = (a >> 4) << 24 | (r >> 4) << 16 | (entry >> 4) << 8 | b >> 4
-            elif entry >= 4480:
-                place += taken
-                value = cache[(entry >> 4) - 280]
-            else:
-                bits.at = place + taken
-                new = _copied(bits, (entry >> 4) - 256, group[4], out, width, total)
-                place = bits.at
-                out += new
-                done += len(new)
-                for value in new if cache_bits else ():
+            first = place >> 3
+            words = _words(data, first)
+            here, stop = place & 7, 8 * len(words)
+            while done < until and here < stop:
+                view = words[here >> 3] >> (here & 7)  # 57 bits at least
+                if (two := green_red[view & _ALL]) and (more := blue_alpha[(view >> (two & 31)) & _ALL]):
+                    here += (two & 31) + (more & 31)
+                    value = (two >> 5) | (more >> 5)
+                elif (entry := green[view & g_mask]) < 4096:
+                    used = entry & 15
+                    r = red[(view >> used) & r_mask]
+                    used += r & 15
+                    b = blue[(view >> used) & b_mask]
+                    used += b & 15
+                    if narrow:
+                        a = alpha[(view >> used) & a_mask]
+                    else:
+                        a = alpha[int.from_bytes(data[first + (here + used >> 3) :][:3], "little") >> (here + used & 7) & a_mask]
+                    here += used + (a & 15)
+                    value = (a >> 4) << 24 | (r >> 4) << 16 | (entry >> 4) << 8 | b >> 4
+                elif entry >= 4480:
+                    here += entry & 15
+                    value = cache[(entry >> 4) - 280]
+                else:
+                    bits.at = 8 * first + here + (entry & 15)
+                    new = _copied(bits, (entry >> 4) - 256, group[4], out, width, total)
+                    here = bits.at - 8 * first
+                    out += new
+                    done += len(new)
+                    for value in new if cache_bits else ():
+                        cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
+                    continue
+                out.append(value)
+                done += 1
+                if cache_bits:
                     cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
-                continue
-            out.append(value)
-            done += 1
-            if cache_bits:
-                cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
+            place = 8 * first + here
         if place > limit:
             raise ValueError("the stream ends early")
     bits.at = place
@@ -537,6 +585,7 @@ def copies_in(v: np.ndarray) -> list[tuple[int, int, int]]:
 #: Weights of bytes in texts, by which the preset code is made; all others weigh 1.
 WEIGHTS = {" ": 600, "ehnt": 350, "aoirs": 250, "dlu": 120, "bcfgmpvwy": 40, ".,\n": 40, "jkqxz": 10, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": 10}
 SIZES = (280, 256, 256, 256, 40)
+STARTS = np.cumsum((0, *SIZES[:-1]))
 
 
 class Codes(NamedTuple):
@@ -554,8 +603,8 @@ def codes_for(counts: list[np.ndarray]) -> Codes:
 
 
 @lru_cache(maxsize=1)
-def preset() -> tuple[Codes, np.ndarray, np.ndarray]:
-    """Codes for short texts, to which codes of their own would add more than they save, and the bits that describe them."""
+def preset() -> tuple[Codes, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes for short texts, to which codes of their own would add more than they save, the bits that describe them, and all their lengths."""
     weights = np.ones(256, np.int64)
     weights[0xA0:0xC0], weights[0xC3], weights[255] = 10, 40, 40
     for letters, weight in WEIGHTS.items():
@@ -564,7 +613,7 @@ def preset() -> tuple[Codes, np.ndarray, np.ndarray]:
     w = Writer()
     for n in codes.lengths:
         _put_code(w, n)
-    return codes, np.array(w.sizes, np.int64), np.array(w.values, np.uint64)
+    return codes, np.array(w.sizes, np.int64), np.array(w.values, np.uint64), np.concatenate(codes.lengths).astype(np.int64)
 
 
 def _entropy(counts: np.ndarray) -> float:
@@ -589,11 +638,13 @@ def _put_image(w: Writer, v: np.ndarray, width: int, main: bool) -> None:
     green[where] = [256 + length[0] for length, _ in runs]
     rest = [value >> shift & 255 for shift in (16, 0, 24)]
     channels = [green, *[c[plain] for c in rest], np.array([far[0] for _, far in runs], np.int64)]
-    counts = [np.bincount(c, minlength=n) for c, n in zip(channels, SIZES, strict=True)]
-    codes, sizes, values = preset()
-    bits = sum(int(n.astype(np.int64) @ c) for n, c in zip(codes.lengths, counts, strict=True)) + int(sizes.sum())
+    codes, sizes, values, preset_lengths = preset()
+    counts = np.bincount(np.concatenate([c + start for c, start in zip(channels, STARTS.tolist(), strict=True)]), minlength=sum(SIZES))
+    totals = np.add.reduceat(counts, STARTS)
+    own_bits = (totals * np.log2(np.maximum(totals, 1))).sum() - (counts * np.log2(np.maximum(counts, 1))).sum() + 6 * np.count_nonzero(counts) + 400
+    bits = int(preset_lengths @ counts) + int(sizes.sum())
     # codes of their own take most of the time of a short image, so they must save a third
-    if len(begins) <= SHORT and bits < 30 * len(v) and bits <= 1.5 * (sum(_entropy(c) + 6 * np.count_nonzero(c) for c in counts) + 400):
+    if len(begins) <= SHORT and bits < 30 * len(v) and bits <= 1.5 * own_bits:
         w.put(1, 0)
         if main:
             w.put(1, 0)
@@ -605,6 +656,7 @@ def _put_image(w: Writer, v: np.ndarray, width: int, main: bool) -> None:
         hit[order[1:]] = (slot[order][1:] == slot[order][:-1]) & (v[order][1:] == v[order][:-1])
         hit = hit[begins] & plain
         cache_bits = CACHE_BITS if np.count_nonzero(hit) >= 24 else 0
+        counts = np.split(counts, STARTS[1:])
         if cache_bits:
             green = np.where(hit, 280 + slot[begins].astype(np.int64), green)
             plain &= ~hit
@@ -686,7 +738,8 @@ def plan(argb: np.ndarray) -> list[tuple]:
     raw = _raw(argb)
     # cheap looks at the differences to green, to the left and to the row above say which transforms are worth a try
     green, left, above = raw.copy(), raw.copy(), raw.copy()
-    green[..., [0, 2]] -= raw[..., 1:2]
+    green[..., 0] -= raw[..., 1]
+    green[..., 2] -= raw[..., 1]
     left[:, 1:] -= raw[:, :-1]
     above[1:] -= raw[:-1]
     best, by_green, by_left, by_above = _bits_of(raw, green, left, above)
@@ -707,7 +760,7 @@ def plan(argb: np.ndarray) -> list[tuple]:
 
     if by_green < best:
         take([(("green",), take_green(argb))])
-    if min(by_left, by_above) < best:
+    if min(by_left, by_above) < 0.9 * best:
         take([(("predict", m), take_prediction(argb, m)) for m in range(1, 14)])
     elements = cross_elements(argb)
     if max(map(abs, elements)) > 8:
