@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textbytes import lean
+
 CHUNK = 32768
 OVERLAP = 512
-CACHE = 250_000
+CACHE = 100_000
 NONE = 1 << 40
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs of non-white characters with one space before, and white space between them. Pre-tokens of the
@@ -272,13 +274,13 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, chun
 
     text = F.col("row").getField("text")
     n = F.length(text)
-    whole = packed.where(F.coalesce(n, F.lit(0)) <= chunk).mapInArrow(short, schema)
+    whole = packed.where(F.coalesce(n, F.lit(0)) <= chunk).mapInArrow(lean(short), schema)
     long = packed.where(n > chunk).withColumn("doc_no", F.monotonically_increasing_id())
     begins = F.sequence(F.lit(0), n - 1 - overlap, F.lit(step))
     # the row itself travels with its first chunk only
     cut = F.transform(begins, lambda b: F.struct(F.when(b == 0, F.col("row")).alias("row"), b.alias("begin"), F.substring(text, b + 1, F.lit(chunk)).alias("part"), (b + chunk >= n).alias("last")))
     parts = long.select("doc_no", F.explode(cut).alias("c")).select("doc_no", "c.*")
-    bounded = parts.repartition("doc_no", "begin").mapInArrow(bounds, parts.select("doc_no", "row", "begin", "part").schema.add("bounds", T.ArrayType(T.IntegerType())))
+    bounded = parts.repartition("doc_no", "begin").mapInArrow(lean(bounds), parts.select("doc_no", "row", "begin", "part").schema.add("bounds", T.ArrayType(T.IntegerType())))
     joined = bounded.groupBy("doc_no").applyInArrow(join_up, schema)
     result = whole.unionByName(joined)
     return result.select(*[F.col("row").getField(c).alias(c) for c in columns], *fields)
@@ -294,7 +296,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             found = [None if ids is None else code.decode(ids) for ids in rows.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.binary())], [*columns, "decoded"])
 
-    return tokens.select(*columns).mapInArrow(run, tokens.select(*columns).schema.add("decoded", "binary"))
+    return tokens.select(*columns).mapInArrow(lean(run), tokens.select(*columns).schema.add("decoded", "binary"))
 
 
 def token_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbytes import lean
+
 
 def commonest(rows: DataFrame, columns: dict[str, str], most: int, least: int = 1) -> list[np.ndarray]:
     """`columns` (name: NumPy type) of the rows whose n is at least `least` and over a threshold that at most `most` rows pass.
@@ -30,5 +32,5 @@ def commonest(rows: DataFrame, columns: dict[str, str], most: int, least: int =
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.column(c).to_numpy().astype(t).tobytes()], pa.binary()) for c, t in columns.items()], [*columns])
 
-    packed = rows.where((F.col("n") >= least) & (step >= first)).select(*columns).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).collect()
+    packed = rows.where((F.col("n") >= least) & (step >= first)).select(*columns).mapInArrow(lean(pack), ", ".join(f"{c} binary" for c in columns)).collect()
     return [np.concatenate([np.zeros(0, t), *[np.frombuffer(r[c], t) for r in packed]]) for c, t in columns.items()]

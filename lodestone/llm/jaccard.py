@@ -30,7 +30,7 @@ from .common import cut, free_name
 from .commonest import commonest
 from .components import components
 from .marks import keep, marked, test
-from .textbytes import LOWER, SPACE, mix, running_sum, slices, span_hashes, words
+from .textbytes import LOWER, SPACE, lean, mix, running_sum, slices, span_hashes, words
 
 FREQUENT = 1 << 19
 BLOCK, BLOCK_TOKENS, PIVOTS = 512, 1 << 22, 4
@@ -80,7 +80,7 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
         if held:
             yield flush()
 
-    counts = cut(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    counts = cut(docs.select("text").mapInArrow(lean(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     token, times = commonest(counts, {"token": "int64", "n": "int64"}, FREQUENT)
     return token[np.lexsort([token, times])].astype(np.uint64)
 
@@ -396,7 +396,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), pa.array([len(v) for _, v in found], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array([sketch(h).tobytes() for h, _ in found], pa.binary())], ["doc_id", "size", "class", "keys", "prefix", "sketch"])
 
     # one node a class: its smallest document
-    classed = docs.where("doc_id is not null").mapInArrow(rich, "doc_id long, size long, class binary, keys array<long>, prefix binary, sketch binary")
+    classed = docs.where("doc_id is not null").mapInArrow(lean(rich), "doc_id long, size long, class binary, keys array<long>, prefix binary, sketch binary")
     nodes = cut(classed.groupBy("class").agg(F.min(F.struct("doc_id", "size", "keys", "prefix", "sketch")).alias("r")).select(F.col("r.doc_id").alias("node"), "class", "r.size", "r.keys", "r.prefix", "r.sketch"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,9 +408,9 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
                 place = np.repeat(part.column("size").to_numpy(), many) << 32 | np.concatenate([np.arange(m) for m in many])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(part.column("node").to_numpy(), many)), pa.array(place)], ["token", "node", "place"])
 
-    listed = nodes.select("node", "size", "prefix").mapInArrow(postings, "token long, node long, place long")
+    listed = nodes.select("node", "size", "prefix").mapInArrow(lean(postings), "token long, node long, place long")
     # the top bit marks the frequent tokens: only those can have many nodes
-    seldom = listed.where("token >= 0").repartition("token").sortWithinPartitions("token", "place").mapInArrow(_with_partner(percent), listed.schema)
+    seldom = listed.where("token >= 0").repartition("token").sortWithinPartitions("token", "place").mapInArrow(lean(_with_partner(percent)), listed.schema)
     frequents = listed.where("token < 0")
     often = frequents.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     shared = cut(seldom.union(frequents.join(often.select("token"), "token").select(*listed.columns)).select("token", "node"))
@@ -433,11 +433,11 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     def sets_of(nodes_: DataFrame) -> DataFrame:
         """Whole sets of the documents that nodes_ may hold."""
-        return docs.mapInArrow(keep(marked(nodes_), "doc_id"), docs.schema).mapInArrow(whole, "node long, tokens binary")
+        return docs.mapInArrow(lean(keep(marked(nodes_), "doc_id")), docs.schema).mapInArrow(lean(whole), "node long, tokens binary")
 
     placed = cut(placed)
     met_rows = placed.join(sets_of(placed.select("node")), "node").repartition("key", "block").sortWithinPartitions("key", "block", "node")
-    first = cut(met_rows.select("key", "block", "node", "tokens").mapInArrow(_join_blocks(percent), "a long, b long"))
+    first = cut(met_rows.select("key", "block", "node", "tokens").mapInArrow(lean(_join_blocks(percent)), "a long, b long"))
 
     early = components(first)
     labelled = shared.join(early, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
@@ -446,19 +446,19 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rest = labelled.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     rest = cut(rest)
     heads = nodes.select("node", "size", "prefix", "sketch")
-    heads = heads.mapInArrow(keep(marked(rest.select("node")), "node"), heads.schema).mapInArrow(_shortened, heads.schema)
+    heads = heads.mapInArrow(lean(keep(marked(rest.select("node")), "node")), heads.schema).mapInArrow(lean(_shortened), heads.schema)
     open_rows = rest.join(heads, "node")
     spread = open_rows.select("token", "node", "label", "size", "prefix", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "prefix", "sketch", "mine")
     sorted_ = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    pairs = cut(sorted_.mapInArrow(_pairs(percent), "x long, y long").distinct())
+    pairs = cut(sorted_.mapInArrow(lean(_pairs(percent)), "x long, y long").distinct())
     sets = cut(sets_of(pairs.select("x").union(pairs.select("y"))))
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("t")), "y")
-    late = both.select("x", "y", "s", "t").mapInArrow(_verify(percent), "a long, b long")
+    late = both.select("x", "y", "s", "t").mapInArrow(lean(_verify(percent)), "a long, b long")
     final = components(first.union(late))
 
     classes = nodes.select("class", "node").join(final, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    result = docs.mapInArrow(light, "doc_id long, size long, class binary").join(classes, "class", "left")
+    result = docs.mapInArrow(lean(light), "doc_id long, size long, class binary").join(classes, "class", "left")
     return result.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -482,7 +482,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             yield b.set_column(b.schema.get_field_index(name), name, pa.array(own))
 
     short = docs.select("doc_id", "text", hashed.alias(name))
-    found = cut(similar_groups(short.mapInArrow(key, short.schema).select(F.col(name).alias("doc_id"), "text"), n, percent))
+    found = cut(similar_groups(short.mapInArrow(lean(key), short.schema).select(F.col(name).alias("doc_id"), "text"), n, percent))
     rows = found.groupBy(F.col("doc_id").alias("own_")).agg(F.min("component_id").alias("first_"), F.min("n_shingles").alias("size_"), F.count(F.lit(1)).alias("rows_"))
     odd = cut(rows.where("own_ != first_ or rows_ > 1"))
     marks = marked(odd.select("own_"))
@@ -492,8 +492,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         only = keep(marks, name, wanted)
         return lambda batches: only(key(batches))
 
-    plain = keyed.mapInArrow(among(False), keyed.schema).select(*docs.columns)
-    rest = keyed.mapInArrow(among(True), keyed.schema)
+    plain = keyed.mapInArrow(lean(among(False)), keyed.schema).select(*docs.columns)
+    rest = keyed.mapInArrow(lean(among(True)), keyed.schema)
     rest = rest.join(odd, rest[name] == odd["own_"], "left").where("own_ is null or own_ = first_")
     once = F.coalesce(F.col("rows_") > 1, F.lit(False)) & (F.col("size_") > 0)
     single = rest.where(once).groupBy(name).agg(F.first(F.struct(*docs.columns)).alias("r")).select(*[F.col("r").getField(c).alias(c) for c in docs.columns])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import LOWER, running_sum, slices, span_hashes, word_hash, words
+from .textbytes import LOWER, lean, running_sum, slices, span_hashes, word_hash, words
 
 #: Word bytes after A-Z are lower-cased: digits, letters and every byte of a non-ASCII character.
 INSIDE = np.zeros(256, bool)
@@ -150,7 +150,7 @@ def document_frequencies(docs: DataFrame, templates: Sequence[Template]) -> tupl
             n += rows.num_rows
         yield pa.RecordBatch.from_pydict({"word": [*index.vocabulary, None], "n": [*total.tolist(), n]}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"]: r["n"] for r in counts}
     return found, found.pop(None, 0)
 
@@ -185,4 +185,4 @@ def scan(docs: DataFrame, templates: Sequence[Template] = BASE + OWN) -> DataFra
     schema = docs.select("doc_id").schema
     for c in OUT.split(", "):
         schema = schema.add(*c.split())
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)

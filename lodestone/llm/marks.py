@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import mix
+from .textbytes import lean, mix
 
 BITS = 24
 
@@ -31,7 +31,7 @@ def marked(ids: DataFrame) -> Broadcast:
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["word", "bits"])
 
-    found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    found = ids.mapInArrow(lean(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     words = np.zeros(1 << (BITS - 6), "<i8")
     words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return ids.sparkSession.sparkContext.broadcast(words)

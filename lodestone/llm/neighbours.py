@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
+from .textbytes import lean
 
 PACK, QUERY_PACK = 1024, 256
 
@@ -104,7 +105,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, visit: float = 0.6,
                 x = _vectors(b.column("embedding"), dim)
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(nearest(x[:, :half], books[0]), pa.int32()), pa.array(nearest(x[:, half:], books[1]), pa.int32())], ["vec_id", "embedding", "a", "b"])
 
-    indexed = cut(rows.mapInArrow(assign, "vec_id long, embedding array<double>, a int, b int"))
+    indexed = cut(rows.mapInArrow(lean(assign), "vec_id long, embedding array<double>, a int, b int"))
     sizes = np.zeros(shape, np.int64)
     for r in indexed.groupBy("a", "b").count().collect():  # one row a cell
         sizes[r["a"], r["b"]] = r["count"]
@@ -133,7 +134,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, visit: float = 0.6,
 
     salts_of = lambda slab: F.element_at(F.array(*[F.lit(s) for s in salts]), F.col(slab) + 1)
     salt = F.pmod(F.xxhash64("vec_id"), salts_of("a")).cast("int")
-    entries = indexed.withColumn("salt", salt).repartition("a", "salt").mapInArrow(pack, "slab int, salt int, e_ids binary, e_codes binary, e_vectors binary")
+    entries = indexed.withColumn("salt", salt).repartition("a", "salt").mapInArrow(lean(pack), "slab int, salt int, e_ids binary, e_codes binary, e_vectors binary")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -153,7 +154,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, visit: float = 0.6,
     # entries of the query's own id are in the cells too, and don't count towards its k
     own = F.count(F.lit(1)).over(Window.partitionBy("vec_id"))
     queries = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", own.alias("own")).dropDuplicates(["vec_id", "embedding"])
-    probes = queries.mapInArrow(probe, "slab int, q_ids binary, q_masks binary, q_vectors binary")
+    probes = queries.mapInArrow(lean(probe), "slab int, q_ids binary, q_masks binary, q_vectors binary")
     # a slab's entries are dealt over its salts, so each of them gets the pack
     probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts_of("slab") - 1)))
 
@@ -184,6 +185,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, visit: float = 0.6,
         own = np.repeat(np.array([*best], np.int64), [len(v[0]) for v in best.values()])
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([v[0] for v in best.values()])), pa.array(np.concatenate([v[1] for v in best.values()]))], ["query_id", "vec_id", "score"])
 
-    found = probes.join(entries, ["slab", "salt"]).mapInArrow(rank, "query_id long, vec_id long, score double")
+    found = probes.join(entries, ["slab", "salt"]).mapInArrow(lean(rank), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .commonest import commonest
-from .textbytes import LOWER, mix, slices
+from .textbytes import LOWER, lean, mix, slices
 
 ORDER = 5
 TABLE = 1 << 19
@@ -57,7 +57,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 gram, times = gram[:0], times[:0]
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(times)], ["gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -154,7 +154,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             times = np.diff(np.append(new, len(row)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[row[new]]) if len(new) else empty, pa.array(gram[new]), pa.array(np.zeros(len(new))), pa.array(times)], ["doc_id", "gram", "sum", "n"])
 
-    parts = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, gram long, sum double, n long"))
+    parts = cut(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lean(run), "doc_id long, gram long, sum double, n long"))
     joined = parts.where("gram is not null").select("doc_id", "gram", "n").join(logs.select("gram", "logp"), "gram").select("doc_id", (F.col("logp") * F.col("n")).alias("sum"), "n")
     sums = parts.where("gram is null").select("doc_id", "sum", "n").union(joined).groupBy("doc_id").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
     return sums.where("n > 0").select("doc_id", F.exp(-F.col("sum") / F.col("n")).alias("perplexity"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .commonest import commonest
 from .marks import keep, marked, own_hash
-from .textbytes import mix, running_sum, slices, span_hashes
+from .textbytes import lean, mix, running_sum, slices, span_hashes
 
 LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
@@ -95,7 +95,7 @@ def frequent_anchors(docs: DataFrame) -> np.ndarray:
         if held:
             yield flush()
 
-    counts = cut(docs.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")))
+    counts = cut(docs.select("text").mapInArrow(lean(count), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")))
     return np.sort(commonest(counts, {"anchor": "int64"}, FREQUENT, MANY)[0].astype(np.uint64))
 
 
@@ -335,15 +335,15 @@ def spans(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """
     docs = docs.where("doc_id is not null")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_anchors(docs))
-    rows = docs.mapInArrow(_cut_up(frequent, shared), SCHEMA).repartition("key").sortWithinPartitions("key")
+    rows = docs.mapInArrow(lean(_cut_up(frequent, shared)), SCHEMA).repartition("key").sortWithinPartitions("key")
     place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place"))
-    kept = cut(rows.mapInArrow(_settle, SCHEMA).select("key", "doc", "text", "place"))
+    kept = cut(rows.mapInArrow(lean(_settle), SCHEMA).select("key", "doc", "text", "place"))
     settled = kept.select("key", "doc", "text", F.shiftright(place, 8).alias("at"), place.bitwiseAND(255).cast("int").alias("n"), (F.col("place") < 0).alias("covered"))
     # a document has at most one piece for each of its bytes
     open_ = settled.where("not covered").groupBy("doc", F.col("text").alias("own")).agg(F.collect_list(F.struct("key", "at", "n")).alias("open"))
-    some = docs.mapInArrow(_marked_rows(marked(settled.where("not covered").select("doc")), shared), docs.schema)
-    fetched = some.join(open_, (some["doc_id"] == open_["doc"]) & (some["hash"] == open_["own"])).select("doc_id", "text", "hash", "open").mapInArrow(_fetch, "key long, doc long, text long, at long, bytes binary")
-    merged = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_merge, "doc long, text long, at long, n int")
+    some = docs.mapInArrow(lean(_marked_rows(marked(settled.where("not covered").select("doc")), shared)), docs.schema)
+    fetched = some.join(open_, (some["doc_id"] == open_["doc"]) & (some["hash"] == open_["own"])).select("doc_id", "text", "hash", "open").mapInArrow(lean(_fetch), "key long, doc long, text long, at long, bytes binary")
+    merged = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_merge), "doc long, text long, at long, n int")
     covered = settled.where("covered").select("doc", "text", "at", "n").union(merged)
     return covered.groupBy("doc", "text").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
@@ -381,8 +381,8 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     shared = shared_ids(hashed)
     found = cut(spans(hashed.select("doc_id", "text", "hash"), shared))
     marks = marked(found.select("doc"))
-    clean = docs.mapInArrow(keep(marks, "doc_id", False), docs.schema)
-    rest = hashed.mapInArrow(_marked_rows(marks, shared), hashed.schema)
+    clean = docs.mapInArrow(lean(keep(marks, "doc_id", False)), docs.schema)
+    rest = hashed.mapInArrow(lean(_marked_rows(marks, shared)), hashed.schema)
     own = found.select("doc", F.col("text").alias("own"), "spans")
     joined = rest.join(own, (rest["doc_id"] == own["doc"]) & (rest["hash"] == own["own"]), "left").select(*[rest[c] for c in docs.columns], "spans")
     return clean.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)).union(joined)
@@ -405,7 +405,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
                     out[c].append(v)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()]], ["doc_id", *out])
 
-    return _with_spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -431,5 +431,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     schema = packed.select("rest", "text").schema
     joined = _with_spans(packed.select("doc_id", "text", "rest"))
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(lean(run), schema)
     return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns])

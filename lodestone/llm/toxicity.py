@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textbytes import LOWER, slices
+from .textbytes import LOWER, lean, slices
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, known: DataFrame, max_per_class: int = 3000, max_featur
     held = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(held) < 2:
         return *nothing, bias
-    counts = sample.coalesce(4).mapInArrow(_count, "bucket int, pos int, neg int").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.coalesce(4).mapInArrow(lean(_count), "bucket int, pos int, neg int").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     buckets, rate = choose(counts, held[1], held[0], max_features)
     if not len(buckets):
         return *nothing, bias
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, known: DataFrame, max_per_class: int = 3000, max_featur
         return pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
 
     # at most max_features buckets of each row of the bounded sample
-    fitted = sample.mapInArrow(extract, "label int, features binary").groupBy().applyInPandas(in_one_task, "weights binary, bias double").first()
+    fitted = sample.mapInArrow(lean(extract), "label int, features binary").groupBy().applyInPandas(in_one_task, "weights binary, bias double").first()
     return buckets, np.frombuffer(fitted["weights"]), fitted["bias"]
 
 
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
             yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], pa.array(p, pa.float64())], [*keep, "toxicity"])
 
     schema = docs.select(*keep).schema.add("toxicity", "double")
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id) -> F.Column:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbytes import slices
+from .textbytes import lean, slices
 
 #: Fixed values of the format: order of code length codes; plane offsets of the 120 short distance codes.
 CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -868,4 +868,4 @@ def media_report(docs: DataFrame, with_media: bool = False) -> DataFrame:
     schema = docs.select("doc_id").schema
     for c in names:
         schema = schema.add(c, "binary" if c == "media" else "string" if OUT[c] == pa.string() else "long")
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
