@@ -63,4 +63,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_webp_media": op9_webp_media,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+_UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: By brute force: every string of 100 bytes, and every pair of documents with a shingle in common. Ids are unique in the tables.
+ORACLES: dict[str, str] = {
+    "op4_suffix_repeats": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, p, md5_number(substring(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM d)),
+ c AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+ i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM c),
+ g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
+ s AS (SELECT doc_id, run, min(p) AS first, max(p) + 100 AS stop FROM g GROUP BY doc_id, run),
+ b AS (SELECT doc_id, run, first, stop, lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY first) AS before FROM s),
+ k AS (SELECT d.doc_id, string_agg(substring(h, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) || substring(any_value(h), 2 * max(stop) + 1) AS kept, count(*) AS n_spans, sum(stop - first) AS n_removed FROM b JOIN d ON d.doc_id = b.doc_id GROUP BY d.doc_id)
+ SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op7_ngram_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_UP}), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 90 * (a.n + b.n - shared)),
+ e AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l),
+ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+}

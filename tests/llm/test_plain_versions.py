@@ -7,12 +7,13 @@ import random
 import zlib
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_llm import groups, removed
 
-from lodestone.llm import commonest, jaccard, mixing, quality, repeats, sharding, toxicity, webp
+from lodestone.llm import commonest, jaccard, mixing, quality, queries, repeats, sharding, toxicity, webp
 
 RNG = np.random.default_rng(12)
 
@@ -425,3 +426,13 @@ def test_water_filling_equals_small_steps():
             level = (low + high) / 2
             low, high = (level, high) if sum(min(c, level * w) for c, w in zip(caps, weights, strict=True)) < budget else (low, level)
         assert [float(g) for g in got] == pytest.approx([min(c, low * w) for c, w in zip(caps, weights, strict=True)], abs=1e-6)
+
+
+@pytest.mark.parametrize("key", sorted(queries.ORACLES))
+def test_oracle(spark, sf, key):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.ORACLES[key]).df()
+    got = queries.QUERIES[key](spark, sf).toPandas()[list(want.columns)]
+    ordered = [f.sort_values("doc_id").reset_index(drop=True) for f in (got, want)]
+    assert ordered[0].equals(ordered[1])
