@@ -18,7 +18,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -217,11 +217,25 @@ _CODERS: dict[tuple[str, str], Coder] = {}
 
 
 def coder(path: str, pattern: str) -> Coder:
+    """The coder of this task; `forget` lets it go."""
     if (path, pattern) not in _CODERS:
         _CODERS[path, pattern] = Coder(load_ranks(path), pattern)
     return _CODERS[path, pattern]
 
 
+def forget(run: Callable) -> Callable:
+    """run, without a coder left behind: each worker would keep one, and workers outlive their tasks."""
+
+    def outer(rows):
+        try:
+            out = run(rows)
+            yield from out
+        finally:
+            _CODERS.clear()
+
+    return outer
+
+
 OUT = {
     "n_tokens": (T.LongType(), pa.int64()),
     "ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
@@ -274,13 +288,13 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, chun
 
     text = F.col("row").getField("text")
     n = F.length(text)
-    whole = packed.where(F.coalesce(n, F.lit(0)) <= chunk).mapInArrow(lean(short), schema)
+    whole = packed.where(F.coalesce(n, F.lit(0)) <= chunk).mapInArrow(lean(forget(short)), schema)
     long = packed.where(n > chunk).withColumn("doc_no", F.monotonically_increasing_id())
     begins = F.sequence(F.lit(0), n - 1 - overlap, F.lit(step))
     # the row itself travels with its first chunk only
     cut = F.transform(begins, lambda b: F.struct(F.when(b == 0, F.col("row")).alias("row"), b.alias("begin"), F.substring(text, b + 1, F.lit(chunk)).alias("part"), (b + chunk >= n).alias("last")))
     parts = long.select("doc_no", F.explode(cut).alias("c")).select("doc_no", "c.*")
-    bounded = parts.repartition("doc_no", "begin").mapInArrow(lean(bounds), parts.select("doc_no", "row", "begin", "part").schema.add("bounds", T.ArrayType(T.IntegerType())))
+    bounded = parts.repartition("doc_no", "begin").mapInArrow(lean(forget(bounds)), parts.select("doc_no", "row", "begin", "part").schema.add("bounds", T.ArrayType(T.IntegerType())))
     joined = bounded.groupBy("doc_no").applyInArrow(join_up, schema)
     result = whole.unionByName(joined)
     return result.select(*[F.col("row").getField(c).alias(c) for c in columns], *fields)
@@ -296,7 +310,7 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             found = [None if ids is None else code.decode(ids) for ids in rows.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found, pa.binary())], [*columns, "decoded"])
 
-    return tokens.select(*columns).mapInArrow(lean(run), tokens.select(*columns).schema.add("decoded", "binary"))
+    return tokens.select(*columns).mapInArrow(lean(forget(run)), tokens.select(*columns).schema.add("decoded", "binary"))
 
 
 def token_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:

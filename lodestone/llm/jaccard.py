@@ -365,15 +365,16 @@ def _verify(percent: int) -> Callable:
     return run
 
 
-def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, before: Callable = iter) -> DataFrame:
     """doc_id, n_shingles long, component_id long: the groups of documents that links connect.
 
     Letters A-Z count as a-z; words are runs of bytes other than white space. Texts without words have
     empty sets, linked with nothing, and are their own component; null texts likewise. A null doc_id takes
     part as a document of its own set, with that set's smallest id. Rows that repeat an id get one component.
-    An empty table gives no rows; other columns are ignored.
+    An empty table gives no rows; other columns are ignored, unless `before` turns batches of them into
+    others (it runs inside the same tasks, so that no second worker is needed).
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text") if before is iter else docs
     common = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +397,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), pa.array([len(v) for _, v in found], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.binary()), pa.array([sketch(h).tobytes() for h, _ in found], pa.binary())], ["doc_id", "size", "class", "keys", "prefix", "sketch"])
 
     # one node a class: its smallest document
-    classed = docs.where("doc_id is not null").mapInArrow(lean(rich), "doc_id long, size long, class binary, keys array<long>, prefix binary, sketch binary")
+    classed = (docs.where("doc_id is not null") if before is iter else docs).mapInArrow(lean(lambda b: rich(before(b))), "doc_id long, size long, class binary, keys array<long>, prefix binary, sketch binary")
     nodes = cut(classed.groupBy("class").agg(F.min(F.struct("doc_id", "size", "keys", "prefix", "sketch")).alias("r")).select(F.col("r.doc_id").alias("node"), "class", "r.size", "r.keys", "r.prefix", "r.sketch"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +434,8 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     def sets_of(nodes_: DataFrame) -> DataFrame:
         """Whole sets of the documents that nodes_ may hold."""
-        return docs.mapInArrow(lean(keep(marked(nodes_), "doc_id")), docs.schema).mapInArrow(lean(whole), "node long, tokens binary")
+        among = keep(marked(nodes_), "doc_id")
+        return docs.mapInArrow(lean(lambda b: whole(among(before(b)))), "node long, tokens binary")
 
     placed = cut(placed)
     met_rows = placed.join(sets_of(placed.select("node")), "node").repartition("key", "block").sortWithinPartitions("key", "block", "node")
@@ -446,7 +448,8 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     rest = labelled.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     rest = cut(rest)
     heads = nodes.select("node", "size", "prefix", "sketch")
-    heads = heads.mapInArrow(lean(keep(marked(rest.select("node")), "node")), heads.schema).mapInArrow(lean(_shortened), heads.schema)
+    among_heads = keep(marked(rest.select("node")), "node")
+    heads = heads.mapInArrow(lean(lambda b: _shortened(among_heads(b))), heads.schema)
     open_rows = rest.join(heads, "node")
     spread = open_rows.select("token", "node", "label", "size", "prefix", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "prefix", "sketch", "mine")
@@ -458,7 +461,7 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     final = components(first.union(late))
 
     classes = nodes.select("class", "node").join(final, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
-    result = docs.mapInArrow(lean(light), "doc_id long, size long, class binary").join(classes, "class", "left")
+    result = docs.mapInArrow(lean(lambda b: light(before(b))), "doc_id long, size long, class binary").join(classes, "class", "left")
     return result.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -481,8 +484,11 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             own = np.where(alone, ids.fill_null(0).to_numpy(), h & (LARGE - 1) | LARGE)
             yield b.set_column(b.schema.get_field_index(name), name, pa.array(own))
 
-    short = docs.select("doc_id", "text", hashed.alias(name))
-    found = cut(similar_groups(short.mapInArrow(lean(key), short.schema).select(F.col(name).alias("doc_id"), "text"), n, percent))
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in key(batches):
+            yield pa.RecordBatch.from_arrays([b.column(name), b.column("text")], ["doc_id", "text"])
+
+    found = cut(similar_groups(docs.select("doc_id", "text", hashed.alias(name)), n, percent, named))
     rows = found.groupBy(F.col("doc_id").alias("own_")).agg(F.min("component_id").alias("first_"), F.min("n_shingles").alias("size_"), F.count(F.lit(1)).alias("rows_"))
     odd = cut(rows.where("own_ != first_ or rows_ > 1"))
     marks = marked(odd.select("own_"))

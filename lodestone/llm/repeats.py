@@ -371,8 +371,8 @@ def _runs(found: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) and their spans; only texts that may have some are shuffled.
+def _with_spans(docs: DataFrame, run: Callable, schema) -> DataFrame:
+    """run over docs (doc_id, text and others) and their spans; only texts that may have some are shuffled.
 
     Rows are in order of doc_id, and rows that share an id in order of a hash of their text. Rows equal in both
     are one document, whose strings do not cover each other. A null doc_id has no part in it.
@@ -381,11 +381,15 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     shared = shared_ids(hashed)
     found = cut(spans(hashed.select("doc_id", "text", "hash"), shared))
     marks = marked(found.select("doc"))
-    clean = docs.mapInArrow(lean(keep(marks, "doc_id", False)), docs.schema)
+    unmarked, spans_type = keep(marks, "doc_id", False), pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int32())]))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.append_column("spans", pa.nulls(b.num_rows, spans_type)) for b in unmarked(batches))
+
     rest = hashed.mapInArrow(lean(_marked_rows(marks, shared)), hashed.schema)
     own = found.select("doc", F.col("text").alias("own"), "spans")
     joined = rest.join(own, (rest["doc_id"] == own["doc"]) & (rest["hash"] == own["own"]), "left").select(*[rest[c] for c in docs.columns], "spans")
-    return clean.withColumn("spans", F.lit(None).cast(found.schema["spans"].dataType)).union(joined)
+    return docs.mapInArrow(lean(clean), schema).union(joined.mapInArrow(lean(run), schema))
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -405,7 +409,7 @@ def repeat_report(docs: DataFrame) -> DataFrame:
                     out[c].append(v)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array(v, pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()]], ["doc_id", *out])
 
-    return _with_spans(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -430,6 +434,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("rest"), pa.array(texts, pa.string())], ["rest", "text"])
 
     schema = packed.select("rest", "text").schema
-    joined = _with_spans(packed.select("doc_id", "text", "rest"))
-    out = joined.mapInArrow(lean(run), schema)
+    out = _with_spans(packed.select("doc_id", "text", "rest"), run, schema)
     return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in columns])

@@ -33,6 +33,7 @@ except (OSError, AttributeError):  # not every C library has it
 
 def let_go() -> None:
     """Give back memory that is not in use: workers wait between tasks, and all of them share an executor's memory."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
