@@ -133,7 +133,7 @@ def retention_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.explode(F.create_map(*[c for p in POLICIES for c in (F.lit(p), F.col(p))])).alias("policy", "kept")).where("kept > 0")
 
 
-@query("delete_cascade", "SELECT 'chunk' AS relation, vec_id AS id FROM embeddings WHERE vec_id % (SELECT count(*) FROM documents) NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') UNION ALL SELECT 'document', doc_id FROM documents WHERE lang <> 'fr'")
+@query("delete_cascade", "SELECT 'chunk' AS relation, vec_id AS id FROM embeddings, (SELECT count(*) AS n FROM documents) WHERE n - 1 - vec_id % n NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') UNION ALL SELECT 'document', doc_id FROM documents WHERE lang <> 'fr'")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents and chunks that stay when the documents of one language are deleted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -16,7 +16,7 @@ DOCUMENT_SQL = """document AS (
   FROM documents)"""
 #: Those that no later version of their path replaces, and the chunks of each document.
 LIVE_SQL = """live AS (SELECT * FROM document SEMI JOIN (SELECT tenant_id, source_path, max(doc_id) AS doc_id FROM document GROUP BY ALL) l ON l.doc_id = document.doc_id AND l.tenant_id = document.tenant_id)"""
-CHUNK_SQL = """chunk AS (SELECT vec_id AS chunk_id, vec_id % (SELECT count(*) FROM documents) AS doc_id, vec_id % (SELECT count(*) FROM documents) % 4 AS tenant_id, embedding FROM embeddings)"""
+CHUNK_SQL = """chunk AS (SELECT chunk_id, doc_id, doc_id % 4 AS tenant_id, embedding FROM (SELECT vec_id AS chunk_id, n - 1 - vec_id % n AS doc_id, embedding FROM embeddings, (SELECT count(*) AS n FROM documents)))"""
 ORDERS_SQL = """v_orders AS (
   SELECT o.o_orderkey AS order_id, o.o_orderstatus AS order_status, CAST(o.o_orderdate AS DATE) AS ordered_at, c.c_custkey AS customer_id, c.c_name AS customer_name,
     n.n_name AS customer_country, c.c_mktsegment AS customer_segment, date_diff('day', CAST(o.o_orderdate AS DATE), CAST(s.shipped_at AS DATE)) AS days_to_ship
@@ -48,10 +48,11 @@ def live(docs: DataFrame) -> DataFrame:
 
 
 def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """chunk_id, doc_id, tenant_id, embedding: vectors dealt over the documents."""
+    """chunk_id, doc_id, tenant_id, embedding: vectors dealt over the documents, newest first."""
     total = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("total"))
     vectors = table(spark, sf_dir, "embeddings").join(F.broadcast(total))  # one row
-    return vectors.select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % F.col("total")).alias("doc_id"), (F.col("vec_id") % F.col("total") % 4).alias("tenant_id"), "embedding")
+    doc_id = F.col("total") - 1 - F.col("vec_id") % F.col("total")
+    return vectors.select(F.col("vec_id").alias("chunk_id"), doc_id.alias("doc_id"), (doc_id % 4).alias("tenant_id"), "embedding")
 
 
 def v_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
