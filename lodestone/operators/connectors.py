@@ -69,7 +69,7 @@ def rendered(value: Column) -> Column:
     return F.when(nested & (F.length(value) > MAX_VALUE), F.concat(F.substring(value, 1, MAX_VALUE), F.lit("…"))).otherwise(F.coalesce(value, F.lit("")))
 
 
-_SHAPE_SQL = f"""WITH o AS (SELECT o_custkey % 150 AS id, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey % 150 ORDER BY o_orderkey) - 1 AS item, count(*) OVER (PARTITION BY o_custkey % 150) AS total FROM orders WHERE o_orderkey < 40000)
+_SHAPE_SQL = f"""WITH o AS (SELECT o_custkey // 10 AS id, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderkey) - 1 AS item, count(*) OVER (PARTITION BY o_custkey // 10) AS total FROM orders)
  SELECT id, CAST(item AS INTEGER) AS item, 0 AS place, 'key' AS key, CAST(o_orderkey AS VARCHAR) AS value FROM o WHERE item < {MAX_ITEMS}
  UNION ALL SELECT id, CAST(item AS INTEGER), 1, 'more', '{{"status":"' || o_orderstatus || '"}}' FROM o WHERE item < {MAX_ITEMS}
  UNION ALL SELECT DISTINCT id, {MAX_ITEMS}, 0, '', '[truncated] Showing {MAX_ITEMS} of ' || total || ' items from GET /orders. To see the rest, narrow the request with a filter or a more specific identifier rather than repeating it — the same request returns the same {MAX_ITEMS} items.' FROM o WHERE total > {MAX_ITEMS}"""
@@ -77,9 +77,9 @@ _SHAPE_SQL = f"""WITH o AS (SELECT o_custkey % 150 AS id, o_orderkey, o_ordersta
 
 @query("json_shape", _SHAPE_SQL)
 def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses made from orders, in an envelope, and shaped again; a response holds the orders of one endpoint page."""
+    """Responses made from orders, in an envelope, and shaped again; a response holds the orders of ten customers."""
     item = F.struct("o_orderkey", F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_orderstatus").alias("status")).alias("more")).alias("v"))
-    pages = table(spark, sf_dir, "orders").where("o_orderkey < 40000").groupBy((F.col("o_custkey") % 150).alias("id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias("items"))
+    pages = table(spark, sf_dir, "orders").groupBy(F.expr("o_custkey div 10").alias("id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias("items"))
     bodies = pages.select("id", F.to_json(F.struct(F.lit(1).alias("page"), "items")).alias("body"), F.lit("GET /orders").alias("request"))
     return shaped(bodies, "id", "body", "request")
 

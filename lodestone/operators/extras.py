@@ -23,11 +23,11 @@ def cte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big.join(F.broadcast(big.agg(F.avg("cents").alias("m")))).where("cents > 2 * m").select("o_custkey", "cents")  # the mean is one row
 
 
-@query("cte_recursive", "WITH RECURSIVE r(key, depth) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey >= 20 UNION ALL SELECT key // 2, depth + 1 FROM r WHERE key > 0) SELECT key, depth, count(*) AS n FROM r GROUP BY key, depth")
+@query("cte_recursive", "WITH RECURSIVE r(key, depth) AS (SELECT n_nationkey, 0 FROM nation UNION ALL SELECT key // 2, depth + 1 FROM r WHERE key > 0) SELECT key, depth, count(*) AS n FROM r GROUP BY key, depth")
 def cte_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ancestors of keys in a binary tree, by recursion until the root."""
     table(spark, sf_dir, "nation").createOrReplaceTempView("lodestone_nation")
-    return spark.sql("WITH RECURSIVE r(key, depth) AS (SELECT CAST(n_nationkey AS BIGINT), 0 FROM lodestone_nation WHERE n_nationkey >= 20 UNION ALL SELECT key DIV 2, depth + 1 FROM r WHERE key > 0) SELECT key, depth, count(*) AS n FROM r GROUP BY key, depth")
+    return spark.sql("WITH RECURSIVE r(key, depth) AS (SELECT CAST(n_nationkey AS BIGINT), 0 FROM lodestone_nation UNION ALL SELECT key DIV 2, depth + 1 FROM r WHERE key > 0) SELECT key, depth, count(*) AS n FROM r GROUP BY key, depth")
 
 
 @query("agg_extra", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, round(stddev_samp(l_quantity), 6) AS spread, round(quantile_cont(l_quantity, 0.5), 6) AS middle, bool_and(l_discount >= 0) AS fine FROM lineitem GROUP BY l_returnflag")

@@ -93,13 +93,13 @@ def tool_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool(spark, sf_dir).where(_allowed() & ~F.col("writes")).select("tool_id")
 
 
-_JOBS_SQL = "SELECT o_orderkey AS job_id, CAST(o_orderdate AS DATE) AS created_on, o_orderstatus AS status FROM orders WHERE o_custkey % 4 = 1 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT"
+_JOBS_SQL = "SELECT o_orderkey AS job_id, CAST(o_orderdate AS DATE) AS created_on, o_orderstatus AS status FROM (SELECT *, o_custkey % 4 AS tenant_id FROM orders) WHERE tenant_id = 1 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT"
 
 
 @query("list_jobs", f"{_JOBS_SQL} 100")
 def list_jobs(spark: SparkSession, sf_dir: str, limit: int = 1000) -> DataFrame:
     """A tenant's jobs, newest first, from 1 to 100 of them."""
-    mine = table(spark, sf_dir, "orders").where("o_custkey % 4 = 1").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(max(1, min(limit, 100)))
+    mine = table(spark, sf_dir, "orders").withColumn("tenant_id", F.col("o_custkey") % 4).where("tenant_id = 1").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(max(1, min(limit, 100)))
     return mine.select(F.col("o_orderkey").alias("job_id"), F.to_date("o_orderdate").alias("created_on"), F.col("o_orderstatus").alias("status"))
 
 
