@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licences, mixing, neighbours, quality, repeats, sharding, toxicity, webp
+from . import bpe, jaccard, licences, mixing, neighbours, quality, repeats, runs, sharding, toxicity, webp
 from .common import read
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_mix_sources": op2_mix_sources,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_webp_media": op9_webp_media,
     "op10_toxicity": op10_toxicity,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 _UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 #: By brute force: every string of 100 bytes, and every pair of documents with a shingle in common. Ids are unique in the tables.
@@ -83,4 +88,21 @@ ORACLES: dict[str, str] = {
  e AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l),
  r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+    # every pair of equal stretches of eight words in a document
+    "op13_periodic_runs": r"""WITH k AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own,
+  xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0])),
+   lambda r, x: CASE WHEN xor(r, x) & 1 = 1 THEN xor(xor(r, x) >> 1, 3988292384::UBIGINT) ELSE xor(r, x) >> 1 END), 4294967295::UBIGINT) AS h FROM documents),
+ p AS (SELECT *, CAST(h // 10 % greatest(len(own), 1) AS BIGINT) AS a, CAST(3 + h // 10 % 8 AS BIGINT) AS parts FROM k),
+ d AS (SELECT doc_id, len(own) AS n, CASE WHEN h % 10 = 0 AND len(own) > 0 THEN list_transform(range(0, len(own)), lambda i: own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(own) - a) // parts) END]) ELSE own END AS ws FROM p),
+ g AS (SELECT doc_id, n, i, md5_number(array_to_string(ws[i + 1:i + 8], ' ')) AS gram FROM (SELECT *, unnest(range(0, n - 7)) AS i FROM d)),
+ e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM g a JOIN g b ON b.doc_id = a.doc_id AND b.gram = a.gram AND b.i > a.i WHERE 3 * (b.i - a.i) <= a.n),
+ s AS (SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+ r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+ t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+  first({'start': start, 'length': length, 'period': period} ORDER BY CAST(length AS DECIMAL(18, 0)) / period DESC, start, period) AS best FROM r GROUP BY doc_id),
+ x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+ y AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id),
+ z AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS kept FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(0, n)) AS i FROM d) w ANTI JOIN x ON x.doc_id = w.doc_id AND x.i = w.i GROUP BY w.doc_id)
+ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id""",
 }
