@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, licences, mixing, neighbours, quality, repeats, runs, sharding, toxicity, webp
+from . import bpe, centroids, jaccard, licences, mixing, neighbours, quality, repeats, runs, sharding, toxicity, webp
 from .common import read
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_centroid_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(read(spark, sf_dir, "documents"))
 
@@ -66,9 +70,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_webp_media": op9_webp_media,
     "op10_toxicity": op10_toxicity,
+    "op12_centroid_filtering": op12_centroid_filtering,
     "op13_periodic_runs": op13_periodic_runs,
 }
 _UP = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Every vector against every centroid, in every round."""
+    far = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    near = f"SELECT r, vec_id, v, min(n) % {k} AS c, CAST(min(n) // {k} AS BIGINT) AS d FROM (SELECT k.r, k.vec_id, k.v, CAST({far} AS BIGINT) * {k} + c.c AS n FROM kept k, {{}} c) GROUP BY r, vec_id, v"
+    parts = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < {k})",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"a{i} AS MATERIALIZED ({near.format(f'c{i}')})",
+            f"m{i} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY place) AS v FROM (SELECT c, place, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS place FROM a{i}) GROUP BY c, place) GROUP BY c)",
+            f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{i} o LEFT JOIN m{i} m ON m.c = o.c)",
+        ]
+    told = "CAST(sum(d) OVER (PARTITION BY z.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256"
+    return f"WITH {', '.join(parts)}, z AS ({near.format(f'c{rounds}')}) SELECT vec_id, CAST(z.c AS INTEGER) AS cluster, d AS distance, {told} FROM z JOIN c{rounds} c ON c.c = z.c"
+
+
 #: By brute force: every string of 100 bytes, and every pair of documents with a shingle in common. Ids are unique in the tables.
 ORACLES: dict[str, str] = {
     "op4_suffix_repeats": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -88,6 +113,7 @@ ORACLES: dict[str, str] = {
  e AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l),
  r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
  SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+    "op12_centroid_filtering": _lloyd_sql(40, 5),
     # every pair of equal stretches of eight words in a document
     "op13_periodic_runs": r"""WITH k AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own,
   xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0])),
