@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from .textbytes import lean
 
 
+def gathered(rows: DataFrame, columns: dict[str, str]) -> list[np.ndarray]:
+    """`columns` (name: NumPy type) of all rows, whose number the caller has bounded, as arrays on the driver."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(c).to_numpy().astype(t).tobytes()], pa.binary()) for c, t in columns.items()], [*columns])
+
+    packed = rows.select(*columns).mapInArrow(lean(pack), ", ".join(f"{c} binary" for c in columns)).collect()
+    return [np.concatenate([np.zeros(0, t), *[np.frombuffer(r[c], t) for r in packed]]) for c, t in columns.items()]
+
+
 def commonest(rows: DataFrame, columns: dict[str, str], most: int, least: int = 1) -> list[np.ndarray]:
     """`columns` (name: NumPy type) of the rows whose n is at least `least` and over a threshold that at most `most` rows pass.
 
@@ -28,9 +39,4 @@ def commonest(rows: DataFrame, columns: dict[str, str], most: int, least: int =
     if first is None:
         return [np.zeros(0, t) for t in columns.values()]
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(c).to_numpy().astype(t).tobytes()], pa.binary()) for c, t in columns.items()], [*columns])
-
-    packed = rows.where((F.col("n") >= least) & (step >= first)).select(*columns).mapInArrow(lean(pack), ", ".join(f"{c} binary" for c in columns)).collect()
-    return [np.concatenate([np.zeros(0, t), *[np.frombuffer(r[c], t) for r in packed]]) for c, t in columns.items()]
+    return gathered(rows.where((F.col("n") >= least) & (step >= first)), columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, centroids, jaccard, licences, mixing, neighbours, quality, repeats, runs, sharding, toxicity, webp
+from . import bpe, brown, centroids, jaccard, licences, mixing, neighbours, quality, repeats, runs, sharding, toxicity, webp
 from .common import read
 
 
@@ -51,6 +51,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(read(spark, sf_dir, "documents"))
+
+
 def op12_centroid_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_webp_media": op9_webp_media,
     "op10_toxicity": op10_toxicity,
+    "op11_brown_score": op11_brown_score,
     "op12_centroid_filtering": op12_centroid_filtering,
     "op13_periodic_runs": op13_periodic_runs,
 }
