@@ -499,8 +499,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         return lambda batches: only(key(batches))
 
     plain = keyed.mapInArrow(lean(among(False)), keyed.schema).select(*docs.columns)
-    rest = keyed.mapInArrow(lean(among(True)), keyed.schema)
-    rest = rest.join(odd, rest[name] == odd["own_"], "left").where("own_ is null or own_ = first_")
+    # the row travels as one struct, so that no column of it can clash with those made here
+    rest = keyed.mapInArrow(lean(among(True)), keyed.schema).select(F.col(name).alias("own_"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
+    rest = rest.join(odd, "own_", "left").where("first_ is null or own_ = first_")
     once = F.coalesce(F.col("rows_") > 1, F.lit(False)) & (F.col("size_") > 0)
-    single = rest.where(once).groupBy(name).agg(F.first(F.struct(*docs.columns)).alias("r")).select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
-    return plain.union(rest.where(~once).select(*docs.columns)).union(single)
+    single = rest.where(once).groupBy("own_").agg(F.first("row_").alias("row_"))
+    back = [F.col("row_").getField(c).alias(c) for c in docs.columns]
+    return plain.union(rest.where(~once).select(*back)).union(single.select(*back))

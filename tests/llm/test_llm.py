@@ -77,9 +77,11 @@ def test_water_filling_reshares_what_caps_leave():
 
 def test_mix_meets_its_targets_and_repeats(docs):
     got = mixing.mix_report(docs).toPandas()
-    assert got.equals(got) and (got.taken <= 2 * got["size"]).all()
+    assert (got.taken <= 2 * got["size"]).all()
     for _, g in got.groupby("source_size"):
-        assert abs(g.taken.sum() - g.target.sum() / len(g)) <= max(g["size"])
+        target, whole = g.target.iloc[0], int(g.target.iloc[0] // g["size"].sum())
+        out = g["size"][(g.taken == whole * g["size"]) & (g["size"] > 0)]
+        assert -1e-6 <= target - g.taken.sum() and (target - g.taken.sum() <= target / 1000 or target - g.taken.sum() < out.min())
     again = mixing.mix_report(docs.repartition(5)).toPandas()
     assert dict(zip(got.doc_id, got.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
 

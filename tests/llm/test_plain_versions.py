@@ -428,6 +428,44 @@ def test_water_filling_equals_small_steps():
         assert [float(g) for g in got] == pytest.approx([min(c, low * w) for c, w in zip(caps, weights, strict=True)], abs=1e-6)
 
 
+def mixed(spark, rows):
+    docs = spark.createDataFrame([(k, " ".join(["w"] * n), s) for k, (n, s) in enumerate(rows)], "doc_id long, text string, source string").repartition(5)
+    return mixing.mix_report(docs).toPandas().merge(docs.select("doc_id", "source").toPandas(), "outer", "doc_id")
+
+
+def test_a_target_is_met_beside_a_document_that_cannot_fit(spark):
+    got = mixed(spark, [(10, "a")] * 2499 + [(40_000, "a")])
+    assert got.target[0] == 97_485 and got.taken.sum() == 64_990 + 24_990
+
+
+def test_no_document_that_still_fits_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_A_GROUP", 20)
+    sizes = np.concatenate([RNG.integers(1, 40, 700), RNG.integers(1, 3, 200), [5000, 3000, 0, 0, 777]])
+    got = mixed(spark, [(int(n), [None, "x", "y", "é"][int(k)]) for n, k in zip(sizes, RNG.choice(4, len(sizes), p=[0.1, 0.6, 0.2, 0.1]), strict=True)])
+    assert len(got) == len(sizes)
+    for _, g in got.groupby("source", dropna=False):
+        target, own = g.target.iloc[0], g["size"].sum()
+        left = target - g.taken.sum()
+        whole = int(target // own)
+        assert ((g.taken == whole * g["size"]) | (g.taken == (whole + 1) * g["size"])).all() and left >= -1e-6
+        out = g["size"][(g.taken == whole * g["size"]) & (g["size"] > 0)]
+        assert left <= target * mixing.NEAR or not len(out) or left < out.min()
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    import corpus_pipeline
+
+    names = ["copy_", "mix_copies", "mix_size", "own_", "rows_", "row_", "first_", "size_", "had_text", "row_key", "kept", "p_no", "part", "gap", "doc"]
+    rows = [(k, f"one two three four five six seven {k % 3}", "en", "s", 5) for k in range(12)] + [(20, None, None, None, None), (20, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(n))
+    for stage in (corpus_pipeline.jaccard_stage, corpus_pipeline.repeats_stage, corpus_pipeline.mixing_stage):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        assert all([r[name] for name in names] == list(range(len(names))) for r in got.collect()) and got.count() > 0
+
+
 @pytest.mark.parametrize("key", sorted(queries.ORACLES))
 def test_oracle(spark, sf, key):
     con = duckdb.connect()
