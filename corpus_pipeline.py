@@ -13,12 +13,12 @@ from lodestone.llm.common import checkpoint_dir, free_name, read
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic."""
+    """Documents that the classifier doesn't call toxic. Null and empty texts are scored as empty; equal texts go or stay together."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of similar ones: sets of five words, similarity 0.8."""
+    """The first document of each group of similar ones: sets of five words, similarity 0.8. Texts without words, null or empty, all stay; of rows equal in id and text one stays."""
     return jaccard.keep_one(docs)
 
 
@@ -31,14 +31,12 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes."""
-    mixed = mixing.mix(docs)
-    copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
-    return mixed.where("mix_copies > 0").select(*docs.columns, copies.alias("copy_")).drop("copy_")
+    """As many copies of each document as the mix takes. A null source is a source; texts without words are repeated as often as their source as a whole."""
+    return mixing.repeated(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the token ids."""
+    """doc_id, lang, source and the token ids of each text (null: none); the last stage, so other columns end here."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text")
 
