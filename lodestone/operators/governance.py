@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..plans.views import CHUNK_SQL, DOCUMENT_SQL, LIVE_SQL, SPAN_SQL, chunk, document, governed, live, span
+from ..plans.views import CHUNK_SQL, DOCUMENT_SQL, LIVE_SQL, SPAN_SQL, chunk, document, governed, live, span, visible
 from ..session import table
 
 
@@ -44,7 +44,7 @@ def rls_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chunk_doc_join", f"WITH {DOCUMENT_SQL}, {LIVE_SQL}, {CHUNK_SQL} SELECT c.chunk_id, d.doc_id, d.source_path FROM chunk c JOIN live d ON d.doc_id = c.doc_id WHERE c.tenant_id = 1 AND d.tenant_id = 1 AND list_has_any(d.labels, ['finance', 'public'])")
 def chunk_doc_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with their documents, the tenant asked of both sides; the join's sides are filtered first, and its kind is left to their sizes."""
-    docs = live(governed(document(spark, sf_dir), 1, ["finance", "public"])).select("doc_id", "source_path")
+    docs = visible(document(spark, sf_dir), 1, ["finance", "public"]).select("doc_id", "source_path")
     return tenant_view(chunk(spark, sf_dir), 1).join(docs, "doc_id").select("chunk_id", "doc_id", "source_path")
 
 
@@ -85,9 +85,8 @@ _LISTED_SQL = f"WITH {DOCUMENT_SQL}, {LIVE_SQL}, {CHUNK_SQL}, c AS (SELECT doc_i
 
 def listed(spark: SparkSession, sf_dir: str, superseded: bool = False) -> DataFrame:
     """What a tenant may see, newest first, with the number of chunks; older versions only if asked for."""
-    mine = governed(document(spark, sf_dir), 0, ["public"]).select("tenant_id", "doc_id", "source_path")
-    every = document(spark, sf_dir).select("tenant_id", "doc_id", "source_path")
-    rows = mine if superseded else mine.join(live(every).select("doc_id"), "doc_id", "left_semi")
+    docs = document(spark, sf_dir).select("tenant_id", "doc_id", "source_path", "labels")
+    rows = (governed if superseded else visible)(docs, 0, ["public"]).select("doc_id", "source_path")
     counts = chunk(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(counts, "doc_id", "left").select("doc_id", "source_path", F.coalesce("n", F.lit(0)).alias("chunks")).orderBy(F.desc("doc_id"))
 
@@ -105,9 +104,8 @@ def list_documents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("delete_visible", f"WITH {DOCUMENT_SQL} SELECT doc_id, CASE WHEN tenant_id = 1 AND list_has_any(labels, ['finance']) THEN 'deleted' ELSE 'not found' END AS outcome FROM document")
 def delete_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a request to delete each document gets: what the caller can't see isn't there."""
-    docs = document(spark, sf_dir).select("doc_id", "tenant_id", "labels")
-    visible = governed(docs, 1, ["finance"]).select("doc_id", F.lit(True).alias("seen"))
-    return docs.join(visible, "doc_id", "left").select("doc_id", F.when(F.col("seen"), "deleted").otherwise("not found").alias("outcome"))
+    seen = (F.col("tenant_id") == 1) & F.arrays_overlap("labels", F.array(F.lit("finance")))
+    return document(spark, sf_dir).select("doc_id", F.when(seen, "deleted").otherwise("not found").alias("outcome"))
 
 
 @query("trace_rollup", f"WITH {SPAN_SQL} SELECT trace_id, min(ts) AS started_at, round(sum(duration_ms), 2) AS duration_ms, bool_or(status = 'error') AS failed, count(*) AS spans FROM span GROUP BY trace_id")

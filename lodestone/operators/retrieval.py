@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..plans.views import CHUNK_SQL, DOCUMENT_SQL, LIVE_SQL, chunk, document, governed, live
+from ..plans.views import CHUNK_SQL, DOCUMENT_SQL, LIVE_SQL, chunk, document, visible
 from ..session import table
+from .lexemes import index, postings_sql, ranked, ranked_sql
 
 #: Constant of the rank fusion, candidates of each retriever, weight of the keyword side.
 RRF_K, DEPTH, KEYWORD_WEIGHT = 60, 30, 0.3
@@ -38,9 +37,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_top(spark, sf_dir, 10)
 
 
-#: Words that the stemmed form of a query leaves out, endings that it cuts, and the most hits a search returns.
-STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "not", "of", "on", "or", "the", "to", "was", "with")
-ENDINGS = ("ations", "ation", "ings", "ing", "ers", "er", "ies", "ed", "es", "s", "y", "e")
+#: Fixed value: the most hits a search returns.
 MOST = 50
 
 
@@ -48,44 +45,20 @@ def clamped(k: int) -> int:
     return max(1, min(k, MOST))
 
 
-def forms(words: str) -> tuple[str, str]:
-    """Alternatives of a query's literal words, and of its stems with any ending; empty where no word is left."""
-    literal = sorted(set(re.findall("[a-z0-9]+", words.lower())))
-    stems = {next((w.removesuffix(e) for e in ENDINGS if w.endswith(e) and len(w) > len(e) + 2), w) for w in literal if w not in STOP}
-    return "|".join(literal), "|".join(f"{s}(?:{'|'.join(ENDINGS)})?" for s in sorted(stems))
-
-
-_SPACED = "concat(' ', regexp_replace(lower(text), '[^a-z0-9]+', '  '{}), ' ')"
-
-
-def keyword_top(docs: DataFrame, words: str, k: int) -> DataFrame:
-    """doc_id, hits of the k documents in which any of the words stands most often, literally or by its stem, whichever is more.
-
-    Any word will do; a query without words gives no rows, and nothing raises on odd input. Texts are counted
-    row by row in the JVM, so only k rows a task are shuffled.
-    """
-    literal, stemmed = forms(words)
-    if not literal:
-        return docs.select("doc_id", F.lit(0).alias("hits")).where("false")
-    spaced = docs.select("doc_id", F.expr(_SPACED.format("")).alias("words"))
-    count = lambda form: F.regexp_count("words", F.lit(f" (?:{form}) ")) if form else F.lit(0)
-    return spaced.select("doc_id", F.greatest(count(literal), count(stemmed)).cast("long").alias("hits")).where("hits > 0").orderBy(F.desc("hits"), "doc_id").limit(k)
-
-
 QUESTION, TENANT, LABELS = "Licenses and the?", 1, ["public", "finance"]
-_GOVERNED_SQL = f"{DOCUMENT_SQL}, {LIVE_SQL}, governed AS (SELECT * FROM live WHERE tenant_id = {TENANT} AND list_has_any(labels, {LABELS}))"
-_COUNT_SQL = "len(regexp_extract_all(w, ' (?:{}) '))"
-_KEYWORD_SQL = f"SELECT doc_id, greatest({_COUNT_SQL.format(forms(QUESTION)[0])}, {_COUNT_SQL.format(forms(QUESTION)[1])}) AS hits FROM (SELECT doc_id, {_SPACED.format(', ' + repr('g'))} AS w FROM governed) WHERE hits > 0 ORDER BY hits DESC, doc_id"
+_GOVERNED_SQL = f"{DOCUMENT_SQL}, {LIVE_SQL}, governed AS (SELECT * FROM live WHERE tenant_id = {TENANT} AND list_has_any(labels, {LABELS})), {postings_sql('governed')}"
+_KEYWORD_SQL = f"{ranked_sql(QUESTION)} ORDER BY rank DESC, doc_id"
 
 
-def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live documents of one tenant that share a label with the caller: every filter comes before ranking."""
-    return live(governed(document(spark, sf_dir), TENANT, LABELS))
+def searched(spark: SparkSession, sf_dir: str, tenant: int = TENANT, labels: list[str] = LABELS) -> DataFrame:
+    """doc_id, tenant_id of the live documents of one tenant that share a label with the caller: every filter comes before ranking."""
+    return visible(document(spark, sf_dir).select("doc_id", "tenant_id", "source_path", "labels"), tenant, labels).select("doc_id", "tenant_id")
 
 
 @query("keyword_topk", f"WITH {_GOVERNED_SQL} {_KEYWORD_SQL} LIMIT {DEPTH}")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_top(searched(spark, sf_dir), QUESTION, DEPTH)
+    """Postings of the question's words, of documents that the caller may see; texts are not read once the index is there."""
+    return ranked(index(spark, sf_dir), QUESTION, DEPTH, searched(spark, sf_dir).select("doc_id"))
 
 
 _NEAREST_SQL = f"SELECT c.chunk_id, c.doc_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q), 6) AS score FROM chunk c JOIN governed d ON d.doc_id = c.doc_id AND d.tenant_id = c.tenant_id, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) WHERE c.tenant_id = {TENANT} ORDER BY score DESC, chunk_id"
@@ -122,13 +95,13 @@ def numbered(rows: DataFrame, id_: str, by: str) -> DataFrame:
 
 
 _FUSED_SQL = f"SELECT coalesce(v.id, k.id) AS id, round(coalesce(1.0 / ({RRF_K} + v.r), 0) + coalesce({KEYWORD_WEIGHT} / ({RRF_K} + k.r), 0), 9) AS score FROM v FULL JOIN k ON v.id = k.id"
-_RANKED_K_SQL = f"k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY hits DESC, doc_id) AS r FROM ({_KEYWORD_SQL} LIMIT {DEPTH}))"
+_RANKED_K_SQL = f"k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY rank DESC, doc_id) AS r FROM ({_KEYWORD_SQL} LIMIT {DEPTH}))"
 
 
 @query("rrf_fuse", f"WITH {_GOVERNED_SQL}, v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM ({_VECTOR_SQL} LIMIT {DEPTH})), {_RANKED_K_SQL} {_FUSED_SQL}")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = vector_top(spark, sf_dir, DEPTH).select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("r"))
-    return fused(vector, numbered(keyword_topk(spark, sf_dir), "doc_id", "hits"))
+    return fused(vector, numbered(keyword_topk(spark, sf_dir), "doc_id", "rank"))
 
 
 def hybrid(spark: SparkSession, sf_dir: str, words: str, tenant: int, labels: list[str], k: int) -> DataFrame:
@@ -138,9 +111,9 @@ def hybrid(spark: SparkSession, sf_dir: str, words: str, tenant: int, labels: li
     """
     if not words.strip() or not labels:
         return spark.createDataFrame([], "doc_id long, score double")
-    docs = live(governed(document(spark, sf_dir), tenant, labels))
+    docs = searched(spark, sf_dir, tenant, labels)
     nearest = nearest_chunks(chunk(spark, sf_dir), docs, _probe(spark, sf_dir), DEPTH).groupBy("doc_id").agg(F.max("score").alias("score"))
-    both = fused(numbered(nearest, "doc_id", "score"), numbered(keyword_top(docs, words, DEPTH), "doc_id", "hits"))
+    both = fused(numbered(nearest, "doc_id", "score"), numbered(ranked(index(spark, sf_dir), words, DEPTH, docs.select("doc_id")), "doc_id", "rank"))
     return both.orderBy(F.desc("score"), F.col("id").cast("string")).limit(clamped(k)).select(F.col("id").alias("doc_id"), "score")
 
 

@@ -47,6 +47,13 @@ def live(docs: DataFrame) -> DataFrame:
     return docs.join(newest, ["tenant_id", "doc_id"], "left_semi").select(*docs.columns)
 
 
+def visible(docs: DataFrame, tenant: int, labels: list[str]) -> DataFrame:
+    """Governed rows that no later version of their path replaces, also where the caller may not see that version."""
+    mine = governed(docs, tenant, labels)
+    newest = live(docs.where(F.col("tenant_id") == tenant).select("tenant_id", "source_path", "doc_id"))
+    return mine.join(newest.select("tenant_id", "doc_id"), ["tenant_id", "doc_id"], "left_semi").select(*docs.columns)
+
+
 def chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, doc_id, tenant_id, embedding: vectors dealt over the documents, newest first."""
     total = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("total"))

@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import embed
+from lodestone.functions import embed, stems
 from lodestone.functions.chunks import chunked, pack, pack_blocks
 from lodestone.functions.markup import markdown, page
 from lodestone.functions.pii import checksum_ok, pii_spans, redacted
-from lodestone.operators import answers, connectors, documents, limits, retrieval
+from lodestone.operators import answers, connectors, documents, lexemes, limits, retrieval
 from lodestone.session import table
 from lodestone.sources import files, sinks
 from lodestone.streaming.limits import call_windows, daily_spend, ingest
@@ -137,8 +137,37 @@ def test_search_guards(spark, sf):
     assert retrieval.hybrid(spark, sf, "  ", 1, ["public"], 5).count() == 0 == retrieval.hybrid(spark, sf, "license", 1, [], 5).count()
     assert [retrieval.clamped(k) for k in (-3, 7, 1000)] == [1, 7, 50]
     docs = spark.createDataFrame([(1, "A licence."), (2, "Licensed, licensing; E-402!"), (3, None), (4, "e 402 e")], "doc_id long, text string")
-    found = lambda words: [(r["doc_id"], r["hits"]) for r in retrieval.keyword_top(docs, words, 9).collect()]
-    assert found("licenses") == [(2, 2)] and found("E-402 the") == [(4, 3), (2, 2)] and found("?!") == [] and found("the") == []
+    found = lambda words: [r["doc_id"] for r in lexemes.ranked(lexemes.postings(docs), words, 9).collect()]
+    assert found("licenses") == [2] and found("E-402 the") == [4, 2] and found("?!") == [] and found("the") == []
+
+
+def test_stems(spark):
+    words = "caresses ponies cats feed agreed plastered motoring sing conflated troubled sized hopping hoping falling filing happy sky relational conditional rational digitizer operator feudalism decisiveness hopefulness formality triplicate formative electrical goodness revival allowance inference adjustable replacement adoption effective rate probate cease controlling roll prüfung e402".split()
+    want = "caress poni cat feed agre plaster motor sing conflat troubl size hop hope fall file happi sky relat condit ration digit oper feudal decis hope formal triplic form electr good reviv allow infer adjust replac adopt effect rate probat ceas control roll prüfung e402".split()
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(words)), "k int, w string").orderBy("k").select(stems.stem(F.col("w"))).collect()]
+    assert got == want
+
+
+def test_index_ranks_unicode_words_from_their_postings(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Die Prüfung der Verträge: PRÜFUNG!"), (2, "pr fung"), (3, "prufung " * 300), (4, "Eine Prüfung")], "doc_id long, text string")
+    lexemes.build(docs, f"{tmp_path}/i")
+    index = spark.read.parquet(f"{tmp_path}/i")
+    got = lexemes.ranked(index, "Prüfung", 9)
+    one = lambda n: lexemes.WEIGHT / lexemes.ZETA * sum(1 / j**2 for j in range(1, n + 1))
+    # a word that is its own stem stands in both forms
+    assert [tuple(r) for r in got.collect()] == [(1, pytest.approx(one(4))), (4, pytest.approx(one(2)))]
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan or "shard#" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert [r["doc_id"] for r in lexemes.ranked(index, "Prüfung", 9, docs.where("doc_id > 1").select("doc_id")).collect()] == [4]
+
+
+def test_superseded_documents_stay_hidden(spark):
+    from lodestone.plans.views import visible
+
+    rows = [(1, 0, "a/x", ["public"]), (2, 0, "a/x", ["hr"]), (3, 0, "a/y", ["hr"]), (4, 0, "a/y", ["public"]), (5, 1, "a/x", ["public"]), (6, 0, "b", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, tenant_id long, source_path string, labels array<string>")
+    assert [r["doc_id"] for r in visible(docs, 0, ["public"]).collect()] == [4] and [r["doc_id"] for r in visible(docs, 0, ["hr", "public"]).orderBy("doc_id").collect()] == [2, 4]
+    assert visible(docs, 0, []).count() == 0
 
 
 def test_page_chrome(spark):

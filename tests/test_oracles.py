@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestone.operators import answers, connectors, documents, evaluation, extras, governance, limits, management, relational, retrieval  # noqa: F401
+from lodestone.operators import answers, connectors, documents, evaluation, extras, governance, lexemes, limits, management, relational, retrieval  # noqa: F401
 from lodestone.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
