@@ -25,19 +25,34 @@ def allowed(arguments: Column, declared: tuple[str, ...]) -> Column:
 @query("map_allowlist", "SELECT event_id, 'k=' || json_extract_string(props, '$.k') || ',q=' || (event_id % 3) AS kept, 2 AS dropped FROM events")
 def map_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared arguments by key, and how many undeclared ones were dropped."""
-    given = F.from_json(F.concat(F.lit('{"labels": "x", "q": "'), (F.col("event_id") % 3).cast("string"), F.lit('", "__proto__": "y", '), F.substring("props", 2, 1000)), "map<string,string>")
+    given = F.from_json(F.concat(F.lit('{"labels": "x", "q": "'), (F.col("event_id") % 3).cast("string"), F.lit('", "__proto__": "y", '), F.expr("substr(props, 2)")), "map<string,string>")
     rows = table(spark, sf_dir, "events").select("event_id", given.alias("given"))
     kept = allowed(F.col("given"), ("k", "q"))
     entries = F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return rows.select("event_id", F.array_join(entries, ",").alias("kept"), (F.size("given") - F.size(kept)).alias("dropped"))
 
 
-@query("json_set", "SELECT event_id, CAST(json_extract_string(p, '$.k') AS BIGINT) AS k, json_extract_string(p, '$._created_id') AS created FROM (SELECT event_id, json_merge_patch(props, json_object('_created_id', 'c' || event_id)) AS p FROM events)")
+def json_members(text: Column) -> Column:
+    """The members of a JSON object with their types, or null for what is none."""
+    parsed = F.try_parse_json(text)
+    return F.when(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), parsed.cast("map<string,variant>"))
+
+
+def with_member(text: Column, key: str, value: Column) -> Column:
+    """JSON text with a member put in, in place of one of that name; all others keep their values and types. Null where the text is no object."""
+    others = F.map_filter(json_members(text), lambda k, _: k != key)
+    return F.to_json(F.map_concat(others, F.create_map(F.lit(key), value.cast("variant"))))
+
+
+@query("json_set", "SELECT event_id, CAST(json_merge_patch(props, json_object('_created_id', 'c' || event_id)) AS VARCHAR) AS changed FROM events")
 def json_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A key put into stored JSON; read back to show that the others stay."""
-    changed = F.to_json(F.map_concat(F.map_filter(F.from_json("props", "map<string,string>"), lambda k, _: k != "_created_id"), F.create_map(F.lit("_created_id"), F.concat(F.lit("c"), F.col("event_id").cast("string")))))
-    rows = table(spark, sf_dir, "events").select("event_id", changed.alias("p"))
-    return rows.select("event_id", F.get_json_object("p", "$.k").cast("long").alias("k"), F.get_json_object("p", "$._created_id").alias("created"))
+    """A key put into stored JSON, the others as they were."""
+    changed = with_member(F.col("props"), "_created_id", F.concat(F.lit("c"), F.col("event_id").cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", changed.alias("changed"))
+
+
+#: What stands in place of the items that are left out.
+_NOTICE = ("Only the first {kept} of ", " items of ", " are listed; the same request gives the same ones, so ask for less, by a filter or an identifier.")
 
 
 def shaped(responses: DataFrame, id_: str, body: str, request: str) -> DataFrame:
@@ -45,7 +60,7 @@ def shaped(responses: DataFrame, id_: str, body: str, request: str) -> DataFrame
 
     A list is taken as it is, or from the first envelope key that holds one; any other object is one item, and
     another value one item with the key `value`. MAX_ITEMS items are kept. Nested values are compact JSON of
-    MAX_VALUE characters at most, missing ones empty. What is no JSON is one item `body` of MAX_CHARS characters.
+    MAX_VALUE characters at most, missing ones empty; a string is as it is, whatever it begins with. What is no JSON is one item `body` of MAX_CHARS characters.
     The notice stands behind the last item. Parsing and rendering stay in the JVM.
     """
     raw = F.trim(F.col(body))
@@ -56,23 +71,25 @@ def shaped(responses: DataFrame, id_: str, body: str, request: str) -> DataFrame
     one = F.when(F.startswith("raw_", F.lit("{")), F.array("raw_")).otherwise(F.array(F.to_json(F.struct(F.regexp_replace("raw_", '^"|"$', "").alias("value")))))
     items = F.when(~F.coalesce("json_", F.lit(False)), F.array(F.to_json(F.struct(F.substring("body_", 1, MAX_CHARS).alias("body"))))).otherwise(F.coalesce("list_", one))
     rows = rows.select(id_, "request_", items.alias("items_"))
-    objects = F.transform(F.slice("items_", 1, MAX_ITEMS), lambda t: F.when(F.startswith(t, F.lit("{")), F.from_json(t, "map<string,string>")).otherwise(F.create_map(F.lit("value"), t)))
-    cells = F.flatten(F.transform(objects, lambda m, i: F.transform(F.map_entries(m), lambda e, k: F.struct(i.alias("item"), k.alias("place"), e["key"].alias("key"), rendered(e["value"]).alias("value")))))
+    objects = F.transform(F.slice("items_", 1, MAX_ITEMS), lambda t: F.when(F.startswith(t, F.lit("{")), F.struct(F.from_json(t, "map<string,string>").alias("texts"), json_members(t).alias("members"))).otherwise(F.struct(F.create_map(F.lit("value"), t).alias("texts"), F.lit(None).cast("map<string,variant>").alias("members"))))
+    cell = lambda m, i: lambda e, k: F.struct(i.alias("item"), k.alias("place"), e["key"].alias("key"), rendered(e["value"], F.try_element_at(m["members"], e["key"])).alias("value"))
+    cells = F.flatten(F.transform(objects, lambda m, i: F.transform(F.map_entries(m["texts"]), cell(m, i))))
     total = F.size("items_")
-    notice = F.concat(F.lit(f"[truncated] Showing {MAX_ITEMS} of "), total.cast("string"), F.lit(" items from "), F.col("request_"), F.lit(f". To see the rest, narrow the request with a filter or a more specific identifier rather than repeating it — the same request returns the same {MAX_ITEMS} items."))
+    notice = F.concat(F.lit(_NOTICE[0].format(kept=MAX_ITEMS)), total.cast("string"), F.lit(_NOTICE[1]), F.col("request_"), F.lit(_NOTICE[2]))
     last = F.when(total > MAX_ITEMS, F.array(F.struct(F.lit(MAX_ITEMS).alias("item"), F.lit(0).alias("place"), F.lit("").alias("key"), notice.alias("value")))).otherwise(F.slice(cells, 1, 0))
     return rows.select(id_, F.explode(F.concat(cells, last)).alias("c")).select(id_, "c.*")
 
 
-def rendered(value: Column) -> Column:
-    nested = F.startswith(value, F.lit("{")) | F.startswith(value, F.lit("["))
+def rendered(value: Column, member: Column) -> Column:
+    """A member's text; objects and lists, as their type says, are cut."""
+    nested = F.coalesce(F.rlike(F.schema_of_variant(member), F.lit("^(OBJECT|ARRAY)")), F.lit(False))
     return F.when(nested & (F.length(value) > MAX_VALUE), F.concat(F.substring(value, 1, MAX_VALUE), F.lit("…"))).otherwise(F.coalesce(value, F.lit("")))
 
 
 _SHAPE_SQL = f"""WITH o AS (SELECT o_custkey // 10 AS id, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey // 10 ORDER BY o_orderkey) - 1 AS item, count(*) OVER (PARTITION BY o_custkey // 10) AS total FROM orders)
  SELECT id, CAST(item AS INTEGER) AS item, 0 AS place, 'key' AS key, CAST(o_orderkey AS VARCHAR) AS value FROM o WHERE item < {MAX_ITEMS}
  UNION ALL SELECT id, CAST(item AS INTEGER), 1, 'more', '{{"status":"' || o_orderstatus || '"}}' FROM o WHERE item < {MAX_ITEMS}
- UNION ALL SELECT DISTINCT id, {MAX_ITEMS}, 0, '', '[truncated] Showing {MAX_ITEMS} of ' || total || ' items from GET /orders. To see the rest, narrow the request with a filter or a more specific identifier rather than repeating it — the same request returns the same {MAX_ITEMS} items.' FROM o WHERE total > {MAX_ITEMS}"""
+ UNION ALL SELECT DISTINCT id, {MAX_ITEMS}, 0, '', '{_NOTICE[0].format(kept=MAX_ITEMS)}' || total || '{_NOTICE[1]}GET /orders{_NOTICE[2]}' FROM o WHERE total > {MAX_ITEMS}"""
 
 
 @query("json_shape", _SHAPE_SQL)
@@ -84,16 +101,17 @@ def json_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(bodies, "id", "body", "request")
 
 
+#: What an encoded segment of a path may hold besides letters, digits and escapes.
+_SEGMENT = re.compile("(?!.*[.][.])[^/]*")
+
+
 def render_path(path: str, declared: tuple[str, ...], values: dict[str, str]) -> str:
-    """The declared parameters put into a path, each as one encoded segment; others are not."""
-    for name in declared:
-        if name not in values:
-            raise ValueError(f"missing path parameter {name!r}")
-        value = str(values[name])
-        if re.search(r"/|\.\.", value):
-            raise ValueError(f"invalid character in path parameter {name!r}")
-        path = path.replace("{" + name + "}", quote(value, safe="~!$&'()*+,;=:@"))
-    return path
+    """A path template with its declared placeholders filled, each by one encoded segment; other braces stay."""
+    segments = {name: str(values[name]) for name in declared if name in values}
+    bad = [name for name in declared if not _SEGMENT.fullmatch(segments.get(name, "/"))]
+    if bad:
+        raise ValueError(f"path parameter {bad[0]!r} is missing or is no single segment")
+    return re.sub(r"\{(\w+)\}", lambda m: quote(segments[m[1]], safe="~!$&'()*+,;=:@") if m[1] in segments else m[0], path)
 
 
 @query("describe_schema")

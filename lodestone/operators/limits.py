@@ -51,17 +51,6 @@ def approvals_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "O") & (expires > F.lit("1997-01-01").cast("date"))).select(F.col("o_orderkey").alias("id"), expires.alias("expires_on"))
 
 
-@query("approval_fsm", "WITH e AS (SELECT user_id AS id, event_id, ts, CASE event_type WHEN 'signup' THEN 'propose' WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'execute' ELSE 'read' END AS action FROM events), a AS (SELECT *, lag(action) OVER (PARTITION BY id ORDER BY ts, event_id) AS before FROM e WHERE action <> 'read') SELECT id, event_id, action, coalesce(CASE action WHEN 'propose' THEN before IS NULL OR before IN ('reject', 'execute') WHEN 'execute' THEN before = 'approve' ELSE before = 'propose' END, false) AS legal FROM a")
-def approval_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each action on a proposal, and whether the rules let it follow the action before it."""
-    action = F.when(F.col("event_type") == "signup", "propose").when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "click", "execute")
-    w = Window.partitionBy("id").orderBy("ts", "event_id")
-    acts = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", "ts", action.alias("action")).where("action IS NOT NULL").withColumn("before", F.lag("action").over(w))
-    before = F.col("before")
-    legal = F.when(F.col("action") == "propose", before.isNull() | before.isin("reject", "execute")).when(F.col("action") == "execute", before == "approve").otherwise(before == "propose")
-    return acts.select("id", "event_id", "action", F.coalesce(legal, F.lit(False)).alias("legal"))
-
-
 #: IPv4 networks that connectors may not reach; the last three may be opened by a setting.
 BLOCKED = ("169.254.0.0/16", "127.0.0.0/8", "0.0.0.0/8", "100.64.0.0/10", "224.0.0.0/4", "240.0.0.0/4")
 PRIVATE = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")

@@ -31,11 +31,12 @@ def ingest(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        hashed = batch.withColumn("hash", F.sha2("text", 256)).withColumn("part", F.substring("hash", 1, 2))
+        # a null text has a hash of its own, so that it is found again
+        hashed = batch.withColumn("hash", F.coalesce(F.sha2("text", 256), F.lit("null"))).withColumn("part", F.substring("hash", 1, 2))
         new = hashed.groupBy("tenant", "hash", "part").agg(F.min_by(F.struct("source_path", "text"), "source_path").alias("d")).select("tenant", "hash", "d.source_path", "d.text", "part")
         if _exists(spark, sink):
-            parts = [r["part"] for r in hashed.select("part").distinct().collect()]  # 256 at most, and null
-            known = spark.read.schema(new.schema).parquet(sink).where(F.col("part").isin(*[p for p in parts if p is not None]))
+            parts = [r["part"] for r in hashed.select("part").distinct().collect()]  # 257 at most
+            known = spark.read.schema(new.schema).parquet(sink).where(F.col("part").isin(*parts))
             new = new.join(known.select("tenant", "hash"), ["tenant", "hash"], "left_anti")
         new.write.mode("append").partitionBy("part").parquet(sink)
 

@@ -1,5 +1,7 @@
 """Functions without an oracle in SQL: fixtures and brute force."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,13 +113,23 @@ def test_shaped_responses(spark):
     rows = [("list", "[" + ",".join('{"n": %d}' % k for k in range(30)) + "]"), ("scalars", '{"data": [1, "two"]}'), ("one", '{"p": 1}'), ("value", "7"), ("text", "no json"), ("long", long), ("empty", "[]")]
     df = spark.createDataFrame([(*r, "GET /x") for r in rows], "id string, body string, request string")
     got = {k: [(r["item"], r["key"], r["value"]) for r in connectors.shaped(df, "id", "body", "request").where(F.col("id") == k).orderBy("item", "place").collect()] for k, _ in rows}
-    assert got["list"][:2] == [(0, "n", "0"), (1, "n", "1")] and len(got["list"]) == 26 and got["list"][25][2].startswith("[truncated] Showing 25 of 30 items from GET /x.")
+    assert got["list"][:2] == [(0, "n", "0"), (1, "n", "1")] and len(got["list"]) == 26 and got["list"][25][2].startswith("Only the first 25 of 30 items of GET /x are listed")
     assert got["scalars"] == [(0, "value", "1"), (1, "value", "two")] and got["one"] == [(0, "p", "1")] and got["value"] == [(0, "value", "7")] and got["text"] == [(0, "body", "no json")]
     assert got["long"][0] == (0, "a", "1") and len(got["long"][1][2]) == 201 and got["long"][2] == (1, "a", "") and got["empty"] == []
+    braces = spark.createDataFrame([("s", '{"t": "{' + "y" * 300 + '", "u": "[1]", "n": 1.50, "b": true, "l": [' + "1, " * 200 + '1]}', "GET /x")], "id string, body string, request string")
+    cells = {r["key"]: r["value"] for r in connectors.shaped(braces, "id", "body", "request").collect()}
+    assert cells["t"] == "{" + "y" * 300 and cells["u"] == "[1]" and cells["b"] == "true" and len(cells["l"]) == 201
+
+
+def test_json_members_keep_their_types(spark):
+    rows = [(1, '{"k": 7, "n": {"a": [1, null]}, "b": true, "s": "{x", "_id": {"old": 1}}'), (2, "{}"), (3, "[1]"), (4, "nope"), (5, None)]
+    got = spark.createDataFrame(rows, "k int, t string").select("k", connectors.with_member(F.col("t"), "_id", F.lit("c")).alias("t")).orderBy("k").collect()
+    assert [json.loads(r["t"]) if r["t"] else None for r in got] == [{"k": 7, "n": {"a": [1, None]}, "b": True, "s": "{x", "_id": "c"}, {"_id": "c"}, None, None, None]
 
 
 def test_render_path():
     assert connectors.render_path("/o/{id}/x", ("id",), {"id": "a b", "z": "1"}) == "/o/a%20b/x"
+    assert connectors.render_path("/{a}/{b}/{c}", ("a", "b"), {"a": "{b}", "b": "ü"}) == "/%7Bb%7D/%C3%BC/{c}"
     for values in ({}, {"id": "a/b"}, {"id": ".."}):
         with pytest.raises(ValueError, match="path parameter"):
             connectors.render_path("/o/{id}", ("id",), values)
@@ -206,11 +218,11 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
 
 
 def test_ingest_is_idempotent(spark, tmp_path):
-    rows = spark.createDataFrame([(0, "a.md", "x"), (0, "b.md", "x"), (1, "a.md", "x"), (0, "c.md", "y")], "tenant long, source_path string, text string")
+    rows = spark.createDataFrame([(0, "a.md", "x"), (0, "b.md", "x"), (1, "a.md", "x"), (0, "c.md", "y"), (0, "d.md", None), (0, "e.md", None), (0, "f.md", "")], "tenant long, source_path string, text string")
     rows.write.parquet(f"{tmp_path}/in")
     for run in range(2):
         ingest(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/checkpoint{run}").awaitTermination()
-    assert sorted((r["tenant"], r["source_path"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, "a.md"), (0, "c.md"), (1, "a.md")]
+    assert sorted((r["tenant"], r["source_path"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, "a.md"), (0, "c.md"), (0, "d.md"), (0, "f.md"), (1, "a.md")]
 
 
 def test_benchmark_recall_asks_every_item(spark, tmp_path):
