@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.breaker import FAILURES, RECOVERY, step
 from ..plans.registry import query
 from ..plans.views import chunk
 from ..session import table
@@ -130,10 +131,6 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select(F.lit("chunk").alias("relation"), F.col("chunk_id").alias("id")).unionAll(docs.where("lang <> 'fr'").select(F.lit("document"), "doc_id"))
 
 
-#: Failures in a row that open a breaker, seconds until it lets a probe through.
-FAILURES, RECOVERY = 5, 30.0
-
-
 def breaker_states(calls: DataFrame, failures: int = FAILURES, recovery: float = RECOVERY) -> DataFrame:
     """calls (key, at seconds, id, ok) with the state that each meets (closed, open or half_open), whether it is refused, and the state after it.
 
@@ -147,11 +144,8 @@ def breaker_states(calls: DataFrame, failures: int = FAILURES, recovery: float =
             for k, at, ok in zip(rows["key"], rows["at"], rows["ok"], strict=True):
                 if k != key:
                     key, failed, opened = k, 0, None
-                met.append("closed" if opened is None else "half_open" if at - opened >= recovery else "open")
-                if met[-1] != "open":
-                    failed = 0 if ok else failed + 1
-                    trips = not ok and (met[-1] == "half_open" or failed >= failures)
-                    opened, failed = (at, failures) if trips else (None if ok else opened, failed)
+                m, failed, opened = step(failed, opened, at, ok, failures, recovery)
+                met.append(m)
                 states.append("closed" if opened is None else "open")
             yield rows[["key", "id"]].assign(met=met, refused=[m == "open" for m in met], state=states)
 
