@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.chunks import chunked, chunked_blocks
 from ..functions.markup import html_page, markdown_page
 from ..functions.pii import PATTERNS, pii_spans, redacted
 from ..plans.registry import query
 from ..plans.views import DOCUMENT_SQL, document
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import files
 
 
 def blocks_of(parsed: DataFrame, id_: str) -> DataFrame:
@@ -28,6 +32,14 @@ def parse_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks_of(table(spark, sf_dir, "documents").select("doc_id", markdown_page(F.col("text")).alias("page")), "doc_id")
 
 
+@query("parse_lateral")
+def parse_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of `parse_markdown`, from a table function called in SQL."""
+    tables.register(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql("SELECT d.doc_id, b.title, b.place, b.kind, b.content, b.level, b.heading FROM {docs} d, LATERAL parse_blocks(d.text) b", docs=docs)
+
+
 @query("chunk_blocks")
 def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every page by its blocks: tables stay whole."""
@@ -163,8 +175,11 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firsts.groupBy("tenant_id").agg(F.count_if(~skipped & ~again).alias("created"), F.count_if(skipped).alias("skipped"), F.count_if(~skipped & again).alias("superseded"))
 
 
-@query("scan_files")
+@query("scan_files", "SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.md' ELSE '.HTML' END AS file, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS bytes FROM pages WHERE page_id % 3 < 2")
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files below a folder with a wanted suffix, by name; contents are read only where selected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(sf_dir)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes")).orderBy("file")
+    """Pages as files of a folder, found again by their suffixes, with their sizes; what has another suffix is not seen."""
+    folder = f"{shared_dir(spark)}/pages-{uuid.uuid4()}"
+    kind = F.when(F.col("page_id") % 3 == 0, ".md").when(F.col("page_id") % 3 == 1, ".HTML").otherwise(".bin")
+    saved = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), kind).alias("name"), F.col("html").alias("text"))
+    files.save(saved, folder)
+    return files.found(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes")

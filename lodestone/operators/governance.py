@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,6 @@ def tenant_view(rows: DataFrame, tenant: int | None) -> DataFrame:
     return rows.where("false") if tenant is None else rows.where(F.col("tenant_id") == tenant)
 
 
-@query("rls_scope", f"WITH {DOCUMENT_SQL}, {SPAN_SQL} SELECT 'document' AS relation, count(*) AS n FROM document WHERE tenant_id = 2 UNION ALL SELECT 'span', count(*) FROM span WHERE tenant_id = 2 UNION ALL SELECT 'no session', 0")
-def rls_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that one tenant sees of each governed table, and what a session without a tenant sees."""
-    docs, spans = document(spark, sf_dir), span(spark, sf_dir)
-    seen = {"document": tenant_view(docs, 2), "span": tenant_view(spans, 2), "no session": tenant_view(docs, None)}
-    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n") for name, rows in seen.items()]
-    return counts[0].unionAll(counts[1]).unionAll(counts[2])
-
-
 @query("chunk_doc_join", f"WITH {DOCUMENT_SQL}, {LIVE_SQL}, {CHUNK_SQL} SELECT c.chunk_id, d.doc_id, d.source_path FROM chunk c JOIN live d ON d.doc_id = c.doc_id WHERE c.tenant_id = 1 AND d.tenant_id = 1 AND list_has_any(d.labels, ['finance', 'public'])")
 def chunk_doc_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with their documents, the tenant asked of both sides; the join's sides are filtered first, and its kind is left to their sizes."""
@@ -56,6 +49,25 @@ def connector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("connector_id"), (F.col("s_suppkey") % 4).alias("tenant_id"), labels.alias("required_labels"))
 
 
+_RLS_SQL = {"document": "SELECT tenant_id FROM document", "chunk": "SELECT tenant_id FROM chunk", "span": "SELECT tenant_id FROM span", "connector": "SELECT tenant_id FROM connector", "message": "SELECT conv_id % 4 AS tenant_id FROM conversations"}
+
+
+def governed_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every relation that has a tenant, by name."""
+    message = table(spark, sf_dir, "conversations").withColumn("tenant_id", F.col("conv_id") % 4)
+    return {"document": document(spark, sf_dir), "chunk": chunk(spark, sf_dir), "span": span(spark, sf_dir), "connector": connector(spark, sf_dir), "message": message}
+
+
+@query("rls_scope", f"WITH {DOCUMENT_SQL}, {SPAN_SQL}, {CHUNK_SQL}, {_CONNECTOR_SQL}, a AS ({' UNION ALL '.join(f'SELECT {n!r} AS relation, tenant_id FROM ({q})' for n, q in _RLS_SQL.items())}) SELECT relation, count(*) FILTER (WHERE tenant_id = 2) AS seen, 0 AS without_session FROM a GROUP BY relation")
+def rls_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each governed relation that one tenant sees, and how many a session without a tenant sees."""
+    counts = []
+    for name, rows in governed_tables(spark, sf_dir).items():
+        both = tenant_view(rows.select("tenant_id"), 2).select(F.lit(1).alias("s"), F.lit(0).alias("w")).unionAll(tenant_view(rows.select("tenant_id"), None).select(F.lit(0), F.lit(1)))
+        counts.append(both.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("seen"), F.coalesce(F.sum("w"), F.lit(0)).alias("without_session")).select(F.lit(name).alias("relation"), "seen", "without_session"))
+    return reduce(DataFrame.unionAll, counts)
+
+
 @query("known_labels", f"WITH {DOCUMENT_SQL}, {_CONNECTOR_SQL} SELECT tenant_id, unnest(labels) AS label FROM document UNION SELECT tenant_id, unnest(required_labels) FROM connector")
 def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels in use: those that documents bear and those that connectors ask for."""
@@ -189,9 +201,18 @@ def retention_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.explode(F.create_map(*[c for p in policies for c in (F.lit(p), F.col(p))])).alias("policy", "to_delete"))
 
 
-@query("tenant_cost", "SELECT conv_id % 4 AS tenant_id, CAST(sum(greatest(1, coalesce(length(text), 0) // 4)) AS BIGINT) AS tokens FROM conversations GROUP BY 1")
+#: What a million tokens of messages cost, in dollars.
+_USD = 0.4
+_TENANT_SQL = "tenant AS (SELECT r_regionkey AS tenant_id, lower(replace(r_name, ' ', '-')) AS slug FROM region)"
+
+
+@query("tenant_cost", f"WITH {_TENANT_SQL}, m AS (SELECT conv_id % 7 AS tenant_id, sum(greatest(1, coalesce(length(text), 0) // 4)) AS tokens FROM conversations GROUP BY 1) SELECT slug, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, round(coalesce(tokens, 0) * {_USD} / 1000000, 4) AS usd FROM tenant LEFT JOIN m ON m.tenant_id = tenant.tenant_id")
 def tenant_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 4).alias("tenant_id")).agg(F.sum(F.greatest(F.lit(1), F.expr("coalesce(length(text), 0) div 4"))).alias("tokens"))
+    """Tokens and cost of each tenant's messages, summed before they are joined; a tenant without any has none, messages of no tenant count for nobody."""
+    tenant = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("tenant_id"), F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))).alias("slug"))
+    spent = table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 7).alias("tenant_id")).agg(F.sum(F.greatest(F.lit(1), F.expr("coalesce(length(text), 0) div 4"))).alias("tokens"))
+    tokens = F.coalesce("tokens", F.lit(0))
+    return tenant.join(spent, "tenant_id", "left").select("slug", tokens.alias("tokens"), F.round(tokens * _USD / 1000000, 4).alias("usd"))
 
 
 @query("orphan_checkpoints", "SELECT DISTINCT conv_id FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations a WHERE a.conv_id = c.conv_id AND a.turn >= 3)")

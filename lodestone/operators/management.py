@@ -9,7 +9,7 @@ from ..functions.embed import embedded
 from ..plans.registry import query
 from ..plans.views import document, live
 from ..session import table
-from .governance import known_labels
+from .governance import _CONNECTOR_SQL, connector, known_labels
 from .retrieval import clamped
 
 _USER_SQL = "app_user AS (SELECT c_custkey AS user_id, c_nationkey AS tenant_id, CASE c_custkey % 10 WHEN 0 THEN ['admin', 'member'] WHEN 1 THEN ['member', 'owner'] ELSE ['member'] END AS roles, CASE c_custkey % 3 WHEN 0 THEN ['public'] WHEN 1 THEN ['finance', 'gone'] ELSE [] END AS held, CASE c_custkey % 4 WHEN 0 THEN ['public', 'typo'] WHEN 1 THEN ['finance', 'gone'] WHEN 2 THEN ['unknown', 'abc', 'hr'] ELSE [] END AS asked FROM customer)"
@@ -28,6 +28,12 @@ def list_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return app_user(spark, sf_dir).where("tenant_id = 3").orderBy("user_id").limit(200).select("user_id", F.array_join("roles", ",").alias("roles"))
 
 
+@query("list_connectors", f"WITH {_CONNECTOR_SQL} SELECT connector_id, array_to_string(required_labels, ',') AS required FROM connector WHERE tenant_id = 1 ORDER BY connector_id LIMIT 200")
+def list_connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenant's connectors and the labels they ask for; no secret is among the columns."""
+    return connector(spark, sf_dir).where("tenant_id = 1").orderBy("connector_id").limit(200).select("connector_id", F.array_join("required_labels", ",").alias("required"))
+
+
 @query("admin_count", f"WITH {_USER_SQL} SELECT tenant_id, count(*) FILTER (WHERE list_contains(roles, 'admin')) AS admins FROM app_user GROUP BY tenant_id")
 def admin_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return app_user(spark, sf_dir).groupBy("tenant_id").agg(F.count_if(F.array_contains("roles", "admin")).alias("admins"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.markup import PAGE, html_page, markdown_page
@@ -21,6 +24,19 @@ def found(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = sum(SUFF
     return files.where(suffix(F.col("path")).isin(*suffixes)).select("path", F.col("length").alias("bytes"), "content")
 
 
+def save(texts: DataFrame, folder: str) -> None:
+    """Texts (name, text) as files of a folder, by tasks, in any store that Arrow reads; a rerun writes the same."""
+
+    def run(rows: Iterator[Row]) -> None:
+        store, base = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        store.create_dir(base, recursive=True)
+        for r in rows:
+            with store.open_output_stream(f"{base}/{r['name']}") as f:
+                f.write((r["text"] or "").encode())
+
+    texts.select("name", "text").foreachPartition(run)
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """path, title (else the file's name), blocks, and error where no parser takes the suffix; bytes that are no UTF-8 are replaced."""
     text, kind = F.decode("content", "UTF-8"), suffix(F.col("path"))

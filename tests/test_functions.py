@@ -5,11 +5,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import embed, stems
+from lodestone.functions import embed, stems, tables
 from lodestone.functions.chunks import chunked, pack, pack_blocks
 from lodestone.functions.markup import markdown, page
 from lodestone.functions.pii import checksum_ok, pii_spans, redacted
-from lodestone.operators import answers, connectors, documents, lexemes, limits, retrieval
+from lodestone.operators import answers, approximate, connectors, documents, lexemes, limits, retrieval
+from lodestone.operators import pages as pages_
 from lodestone.session import table
 from lodestone.sources import files, sinks
 from lodestone.streaming.limits import call_windows, daily_spend, ingest
@@ -188,7 +189,54 @@ def test_page_chrome(spark):
     assert sorted((r["document"], r["line"]) for r in got) == [(1, "0"), (1, "1"), (1, "2"), (1, "3"), (1, "Head")]
 
 
-@pytest.mark.parametrize("key", ["parse_html", "parse_markdown", "chunk_text", "chunk_blocks", "pii_summary", "pii_total", "pii_redact", "scan_files"])
+def test_pages_are_put_together(spark):
+    text = ["ACME Handbook\n1. Leave policy\nall staff have\ntwenty days.  \n\nGrade   Days\nA   20\r\nB   25\nSee   below.\n1", "ACME Handbook\nit goes on, here\nRemote Work\nat home\n2", "ACME Handbook\n3", "ACME Handbook\none   gap\nThis is not a heading.\n4"]
+    pages = spark.createDataFrame([("h", k, t) for k, t in enumerate(text, 1)] + [("one", 1, "Some Title\nbody"), ("none", 1, None), ("none", 2, " \n")], "document string, page int, text string")
+    blocks = pages_.assembled(pages)
+    got = [tuple(r) for r in blocks.where("document = 'h'").orderBy("block").select("page", "kind", "content", "heading").collect()]
+    assert got == [
+        (1, "heading", "1. Leave policy", "1. Leave policy"),
+        (1, "paragraph", "all staff have twenty days.", "1. Leave policy"),
+        (1, "table", "Grade   Days\nA   20\nB   25\nSee   below.", "1. Leave policy"),
+        (2, "paragraph", "it goes on, here", "1. Leave policy"),
+        (2, "heading", "Remote Work", "Remote Work"),
+        (2, "paragraph", "at home", "Remote Work"),
+        (4, "paragraph", "one   gap This is not a heading.", "Remote Work"),
+    ]
+    assert dict(map(tuple, pages_.titles(pages, blocks).collect())) == {"h": "h", "one": "Some Title", "none": "none"}
+
+
+def test_lateral_blocks_equal_the_parser(spark, sf):
+    got, want = documents.parse_lateral(spark, sf), documents.parse_markdown(spark, sf)
+    assert got.count() == want.count() > 0 and got.select(want.columns).exceptAll(want).count() == 0
+    tables.register(spark)
+    rows = spark.sql("SELECT k, b.content FROM VALUES (1, '<p>a</p><p>b</p>'), (2, CAST(NULL AS STRING)), (3, '') AS t(k, h), LATERAL parse_html_blocks(h) b ORDER BY k, b.place").collect()
+    assert [tuple(r) for r in rows] == [(1, "a"), (1, "b")] and spark.sql("SELECT c.content FROM LATERAL chunk_html('<p>a</p><p>b</p>') c").first()[0] == "a\n\nb"
+
+
+def test_approximate_search_finds_nine_in_ten_of_the_nearest(spark, tmp_path):
+    folder = "/root/testdata/sf0.1"
+    from lodestone.plans.views import chunk
+
+    approximate.build(chunk(spark, folder), f"{tmp_path}/i")
+    index = spark.read.parquet(f"{tmp_path}/i").cache()
+    docs = index.where("tenant_id = 1").select("doc_id", "tenant_id").distinct().cache()
+    allowed = index.join(docs, ["doc_id", "tenant_id"], "left_semi").count()
+    found = scored = 0
+    for k in range(0, 160, 20):
+        probe = table(spark, folder, "embeddings").where(f"vec_id = {k}").select(F.col("embedding").alias("q"))
+        want = {r["chunk_id"] for r in retrieval.nearest_chunks(index.drop(*approximate.WORDS), docs, probe, 10).collect()}
+        found += len(want & {r["chunk_id"] for r in approximate.approximate(index, docs, probe, 10).collect()})
+        scored += approximate.candidates(index, docs, probe, 10).count()
+    assert found >= 0.9 * 8 * 10 and scored < 0.2 * 8 * allowed
+
+
+def test_sketches_of_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, []), (4, [2.0, 4.0]), (5, [-1.0, -2.0])], "k int, v array<float>").select("k", approximate.sketched(F.col("v")).alias("s")).orderBy("k").collect()
+    assert rows[0]["s"] == rows[3]["s"] and tuple(rows[1]["s"]) == (0,) * 4 == tuple(rows[2]["s"]) and all(a == ~b for a, b in zip(rows[0]["s"], rows[4]["s"], strict=True))
+
+
+@pytest.mark.parametrize("key", ["parse_html", "parse_markdown", "chunk_text", "chunk_blocks", "pii_summary", "pii_total", "pii_redact", "parse_lateral"])
 def test_documents_run(spark, sf, key):
     assert getattr(documents, key)(spark, sf).count() > 0
 

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestone.operators import answers, approvals, connectors, documents, evaluation, extras, governance, guard, ingest, lexemes, limits, management, relational, rest, retrieval  # noqa: F401
+from lodestone.operators import answers, approvals, approximate, connectors, documents, evaluation, extras, governance, guard, ingest, lexemes, limits, management, pages, relational, rest, retrieval  # noqa: F401
 from lodestone.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
