@@ -10,8 +10,9 @@ The order decides only how much work there is, never which links are found. Equa
 2. Completion. Two sets over the threshold share a token among the first ones of each (the prefix). Tokens
    whose classes are already in one component need no work. For each other token the prefixes of its sets
    make a tree, walked once with the overlaps of all sets and pruned by what both sides lack; pairs of
-   different components that it leaves are verified on their whole sets. So no link between components is
-   lost, and copies are never expanded into pairs.
+   different components that it leaves are verified on their whole sets. First each set's likeliest pair of a
+   token is tried, which joins most of a large group; then all pairs of components that are still different.
+   So no link between components is lost, and neither copies nor groups are expanded into pairs.
 
 Hot tokens are cut into blocks, and a task sees one pair of blocks.
 """
@@ -314,8 +315,21 @@ def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(b.schema.get_field_index("prefix"), "prefix", pa.array(short, pa.binary()))
 
 
-def _pairs(percent: int) -> Callable:
-    """Pairs of different components in one pair of blocks of one token, by the tree of their prefixes."""
+def best_each(pairs: list[tuple[int, int]], sketches: list[bytes], size: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """For each set the pair whose cells speak most for a link; of equals that with the smallest label."""
+    if not pairs:
+        return []
+    cells = np.stack([np.frombuffer(s, np.uint8) for s in sketches])
+    i, j = np.array(pairs).T
+    share = np.concatenate([np.minimum(cells[i[k : k + 4096]], cells[j[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(i), 4096)]) / np.maximum(size[i], size[j])
+    me, other, share = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([share, share])
+    order = np.lexsort([label[other], -share, me])
+    first = order[np.concatenate([[True], me[order][1:] != me[order][:-1]])]
+    return [*{(min(a, b), max(a, b)) for a, b in zip(me[first].tolist(), other[first].tolist(), strict=True)}]
+
+
+def _pairs(percent: int, one_each: bool) -> Callable:
+    """Pairs of different components in one pair of blocks of one token, by the tree of their prefixes; all, or the likeliest one of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -331,7 +345,10 @@ def _pairs(percent: int) -> Callable:
                     node = c["node"][s:e].tolist()
                     # of two sets no path is shared
                     pairs = [(0, 1)] if e - s == 2 else prefix_pairs([np.frombuffer(p, np.uint32) for p in prefix[s:e]], c["size"][s:e], label, None if one else mine, percent)
-                    found.update((min(node[i], node[j]), max(node[i], node[j])) for i, j in likely(pairs, sketches[s:e], c["size"][s:e], percent))
+                    pairs = likely(pairs, sketches[s:e], c["size"][s:e], percent)
+                    if one_each:
+                        pairs = best_each(pairs, sketches[s:e], c["size"][s:e], label)
+                    found.update((min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs)
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["x", "y"])
 
         # rows come sorted by group; a group may reach over batches, so its last rows wait for the next one
@@ -441,24 +458,29 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, before: Calla
     met_rows = placed.join(sets_of(placed.select("node")), "node").repartition("key", "block").sortWithinPartitions("key", "block", "node")
     first = cut(met_rows.select("key", "block", "node", "tokens").mapInArrow(lean(_join_blocks(percent)), "a long, b long"))
 
-    early = components(first)
-    labelled = shared.join(early, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    open_ = open_.select("token", F.ceil(F.col("m") / (2 * BLOCK)).cast("int").alias("blocks"))
-    rest = labelled.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    rest = cut(rest)
-    heads = nodes.select("node", "size", "prefix", "sketch")
-    among_heads = keep(marked(rest.select("node")), "node")
-    heads = heads.mapInArrow(lean(lambda b: _shortened(among_heads(b))), heads.schema)
-    open_rows = rest.join(heads, "node")
-    spread = open_rows.select("token", "node", "label", "size", "prefix", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "prefix", "sketch", "mine")
-    sorted_ = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    pairs = cut(sorted_.mapInArrow(lean(_pairs(percent)), "x long, y long").distinct())
-    sets = cut(sets_of(pairs.select("x").union(pairs.select("y"))))
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("t")), "y")
-    late = both.select("x", "y", "s", "t").mapInArrow(lean(_verify(percent)), "a long, b long")
-    final = components(first.union(late))
+    def completed(links: DataFrame, one_each: bool) -> DataFrame:
+        """Links between components of `links`: all that there are, or one that is likely for each set and token."""
+        labelled = shared.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+        open_ = open_.select("token", F.ceil(F.col("m") / (2 * BLOCK)).cast("int").alias("blocks"))
+        rest = cut(labelled.join(open_, "token").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")))
+        among_heads = keep(marked(rest.select("node")), "node")
+        heads = nodes.select("node", "size", "prefix", "sketch")
+        heads = heads.mapInArrow(lean(lambda b: _shortened(among_heads(b))), heads.schema)
+        open_rows = rest.join(heads, "node")
+        # a first look is taken inside of blocks only
+        others = F.array("mine") if one_each else F.sequence(F.lit(0), F.col("blocks") - 1)
+        spread = open_rows.select("token", "node", "label", "size", "prefix", "sketch", "mine", F.explode(others).alias("other"))
+        spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "prefix", "sketch", "mine")
+        sorted_ = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+        pairs = cut(sorted_.mapInArrow(lean(_pairs(percent, one_each)), "x long, y long").distinct())
+        sets = cut(sets_of(pairs.select("x").union(pairs.select("y"))))
+        both = pairs.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("t")), "y")
+        return both.select("x", "y", "s", "t").mapInArrow(lean(_verify(percent)), "a long, b long")
+
+    # most of a large group is linked by its likeliest pairs, so that few of its pairs are left for the whole look
+    likeliest = cut(first.union(completed(first, one_each=True)))
+    final = components(likeliest.union(completed(likeliest, one_each=False)))
 
     classes = nodes.select("class", "node").join(final, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     result = docs.mapInArrow(lean(lambda b: light(before(b))), "doc_id long, size long, class binary").join(classes, "class", "left")
