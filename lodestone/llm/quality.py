@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .commonest import commonest
+from .members import rows_of
 from .textbytes import LOWER, lean, mix, slices
 
 ORDER = 5
@@ -170,7 +171,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, s
     """
     docs = docs.select("doc_id", "text", "lang")
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("t_id"), (F.crc32(F.col("doc_id").cast("string")) % folds == 0).alias("left_out")).distinct()
-    trusted = docs.join(good.where("not left_out"), docs["doc_id"] == good["t_id"]).select("text")
+    trusted = rows_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", good.where("not left_out").select(F.col("t_id").cast("long"))).select("text")
     scored = cut(docs.select("doc_id", "lang").join(perplexities(docs, trusted), "doc_id", "left"))
     known = scored.join(good.where("left_out"), scored["doc_id"] == good["t_id"]).where("perplexity is not null")
     of_all = known.agg(F.percentile_approx("perplexity", quantile, 10000).alias("q")).first()["q"]
