@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from ..functions.breaker import FAILURES, RECOVERY, step
 from ..plans.registry import query
 from ..plans.views import chunk
 from ..session import table
+from ..sources.versioned import POLICIES
 
 _RUN = "PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id"
 
@@ -112,15 +114,34 @@ def retention_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id").join(F.broadcast(gone), "event_id", "left_anti")
 
 
-#: Days that each table keeps its rows.
-POLICIES = {"traces": 30, "audit": 365, "messages": 90}
+#: The day on which policies are run, and the records that each table stands for: expression of the time, condition.
+_TODAY = "TIMESTAMP '2024-02-15'"
+_DATED = {
+    "trace_span": ("events", "ts", "true"),
+    "agent_run": ("events", "ts", "event_type = 'click'"),
+    "connector_audit": ("events", "ts - INTERVAL 350 DAY", "true"),
+    "conversation_message": ("conversations", "TIMESTAMP '2024-02-01' - conv_id % 120 * INTERVAL 1 DAY", "true"),
+    "conversation": ("conversations", "TIMESTAMP '2024-02-01' - conv_id % 120 * INTERVAL 1 DAY", "turn = 0"),
+    "ingest_job": ("orders", "CAST(o_orderdate AS TIMESTAMP) + INTERVAL 312 MONTH", "true"),
+    "approval_request": ("orders", "CAST(o_orderdate AS TIMESTAMP) + INTERVAL 312 MONTH", "o_orderstatus = 'O'"),
+}
 
 
-@query("retention_run", "SELECT p.name AS policy, count(*) AS kept FROM (VALUES ('traces', 30), ('audit', 365), ('messages', 90)) p(name, days) JOIN events e ON e.ts >= TIMESTAMP '2024-02-15' - to_days(CAST(p.days AS INTEGER)) GROUP BY p.name")
+def _policy_sql(name: str, days: int) -> str:
+    source, at, condition = _DATED[name]
+    return f"SELECT '{name}' AS policy, count(*) FILTER (WHERE {at} >= {_TODAY} - INTERVAL {days} DAY) AS kept, count(*) FILTER (WHERE {at} < {_TODAY} - INTERVAL {days} DAY) AS to_delete FROM {source} WHERE {condition}"
+
+
+@query("retention_run", " UNION ALL ".join(_policy_sql(p.store, p.days) for p in POLICIES))
 def retention_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that each policy of the list keeps, counted in one scan."""
-    counts = table(spark, sf_dir, "events").agg(*[F.count_if(F.col("ts") >= F.expr(f"TIMESTAMP '2024-02-15' - INTERVAL {d} DAYS")).alias(p) for p, d in POLICIES.items()])
-    return counts.select(F.explode(F.create_map(*[c for p in POLICIES for c in (F.lit(p), F.col(p))])).alias("policy", "kept")).where("kept > 0")
+    """What each of the seven policies keeps and deletes of its own records; each table is read once for all its policies."""
+    counts = []
+    for source in dict.fromkeys(t for t, _, _ in _DATED.values()):
+        own = [(p.store, p.days, *_DATED[p.store][1:]) for p in POLICIES if _DATED[p.store][0] == source]
+        limit = lambda days: f"{_TODAY} - INTERVAL {days} DAY"
+        cells = [F.struct(F.lit(n).alias("policy"), F.count_if(F.expr(f"{c} AND {at} >= {limit(d)}")).alias("kept"), F.count_if(F.expr(f"{c} AND {at} < {limit(d)}")).alias("to_delete")) for n, d, at, c in own]
+        counts.append(table(spark, sf_dir, source).agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*"))
+    return reduce(DataFrame.unionAll, counts)
 
 
 @query("delete_cascade", "SELECT 'chunk' AS relation, vec_id AS id FROM embeddings, (SELECT count(*) AS n FROM documents) WHERE n - 1 - vec_id % n NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') UNION ALL SELECT 'document', doc_id FROM documents WHERE lang <> 'fr'")
