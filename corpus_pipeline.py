@@ -53,10 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`, each written as Parquet and read again as the next one's input."""
+    """The stages over `documents`, each written as Parquet and read again as the next one's input; only the last one's folder stays.
+
+    Texts may be null or empty, ids shared, and columns of any name come along as far as the last stage; no documents give none.
+    """
     docs = read(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{uuid.uuid4()}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if before is not None:  # what a written stage came from is no longer read
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{k}-{name}"
     return docs
