@@ -174,7 +174,14 @@ def breaker_states(calls: DataFrame, failures: int = FAILURES, recovery: float =
     return ordered.mapInPandas(run, "key long, id long, met string, refused boolean, state string")
 
 
-@query("breaker")
+_BREAKER_SQL = f"""WITH RECURSIVE c AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t, event_id AS id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+ m(key, r, id, met, failed, opened) AS (SELECT key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', 0, CAST(NULL AS DOUBLE) FROM (SELECT DISTINCT key FROM c) UNION ALL
+  SELECT key, r, id, met, CASE WHEN met = 'open' THEN failed WHEN ok THEN 0 WHEN trips THEN {FAILURES} ELSE failed + 1 END, CASE WHEN met = 'open' THEN opened WHEN ok THEN NULL WHEN trips THEN t ELSE opened END
+  FROM (SELECT *, met = 'half_open' OR failed + 1 >= {FAILURES} AS trips FROM (SELECT c.key, c.r, c.id, c.t, c.ok, m.failed, m.opened, CASE WHEN m.opened IS NULL THEN 'closed' WHEN c.t - m.opened >= {RECOVERY} THEN 'half_open' ELSE 'open' END AS met FROM m JOIN c ON c.key = m.key AND c.r = m.r + 1)))
+ SELECT key, id, met, met = 'open' AS refused, CASE WHEN opened IS NULL THEN 'closed' ELSE 'open' END AS state FROM m WHERE r > 0"""
+
+
+@query("breaker", _BREAKER_SQL)
 def breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of each user, errors being failures, under the usual limits; events are minutes apart, so runs of five failures are what opens one."""
     calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunks import chunked_blocks
 from ..functions.embed import embedded
+from . import versioned
 
 log = logging.getLogger(__name__)
 
@@ -28,9 +30,29 @@ def append_traces(spans: DataFrame, path: str) -> bool:
     return True
 
 
+_DOCUMENT = "document_id string, path string, title string, bucket int"
+_CHUNK = "document_id string, ordinal int, heading string, content string, embedding array<double>, bucket int"
+
+
 def write_documents(parsed: DataFrame, folder: str, dimension: int = 64) -> None:
-    """Parsed files (path, title, blocks) as documents and their embedded chunks, each keyed by a digest of the path, so that a rerun writes the same."""
-    keyed = parsed.where("blocks IS NOT NULL").withColumn("document_id", F.sha2("path", 256))
-    keyed.select("document_id", "path", "title").write.mode("overwrite").parquet(f"{folder}/document")
-    chunks = chunked_blocks(keyed.select("document_id", "blocks"))
-    chunks.withColumn("embedding", embedded(F.col("content"), dimension)).write.mode("overwrite").parquet(f"{folder}/chunk")
+    """Parsed files (path, title, blocks) as documents and their embedded chunks, keyed by a digest of the path.
+
+    A file that was written before is replaced with its chunks, all others stay. Files are parsed once, and only the
+    partitions of their paths are written; a rerun writes the same rows, and a killed run is finished by the next.
+    """
+    spark = parsed.sparkSession
+    versioned.recover(spark, folder)
+    bucket = F.pmod(F.xxhash64("path"), F.lit(versioned.BUCKETS)).cast("int")
+    run = f"{folder}/_run/{uuid.uuid4()}"
+    parsed.where("blocks IS NOT NULL").select("path", "title", "blocks", F.sha2("path", 256).alias("document_id"), bucket.alias("bucket")).write.parquet(run)
+    keyed = spark.read.parquet(run)
+    touched = keyed.select("bucket").distinct()
+    chunks = chunked_blocks(keyed.select("document_id", "blocks", "bucket")).withColumn("embedding", embedded(F.col("content"), dimension))
+    tables = {}
+    for name, rows, schema in (("document", keyed, _DOCUMENT), ("chunk", chunks.withColumn("ordinal", F.col("ordinal").cast("int")), _CHUNK)):
+        there = versioned._read(spark, folder, name, schema).join(F.broadcast(touched), "bucket", "left_semi").join(keyed.select("document_id"), "document_id", "left_anti")
+        columns = [c.split()[0] for c in schema.split(", ")]
+        tables[name] = there.select(*columns).unionByName(rows.select(*columns))
+    if not touched.isEmpty():
+        versioned._change(spark, folder, tables, touched)
+    versioned._Files(spark, folder).delete("_run")

@@ -93,6 +93,12 @@ def test_files_and_sinks(spark, tmp_path):
         sinks.write_documents(read, str(tmp_path / "out"))
     chunks = spark.read.parquet(f"{tmp_path}/out/chunk")
     assert spark.read.parquet(f"{tmp_path}/out/document").count() == 3 and sorted(r["content"] for r in chunks.collect()) == ["plain", "x", "y"]
+    # another run adds its files and replaces what it has anew
+    (tmp_path / "in" / "c.txt").write_text("plain, changed")
+    (tmp_path / "in" / "e.md").write_text("more")
+    again = files.parsed(files.found(spark, str(tmp_path / "in"))).where("path LIKE '%c.txt' OR path LIKE '%e.md'")
+    sinks.write_documents(again, str(tmp_path / "out"))
+    assert spark.read.parquet(f"{tmp_path}/out/document").count() == 4 and sorted(r["content"] for r in spark.read.parquet(f"{tmp_path}/out/chunk").collect()) == ["more", "plain, changed", "x", "y"]
     spans = spark.sql("SELECT 1 AS event_id, TIMESTAMP '2024-01-01 10:00:00' AS ts")
     assert sinks.append_traces(spans, f"{tmp_path}/spans") and sinks.append_traces(spans, f"{tmp_path}/spans")
     assert spark.read.parquet(f"{tmp_path}/spans").count() == 2 and not sinks.append_traces(spans, "nowhere://x")
