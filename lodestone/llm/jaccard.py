@@ -329,7 +329,7 @@ def best_each(pairs: list[tuple[int, int]], sketches: list[bytes], size: np.ndar
 
 
 def _pairs(percent: int, one_each: bool) -> Callable:
-    """Pairs of different components in one pair of blocks of one token, by the tree of their prefixes; all, or the likeliest one of each set."""
+    """Pairs of different components in one pair of blocks of one token, by the tree of their prefixes; all, or the likeliest one of each set, and then also the tokens with more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -339,6 +339,7 @@ def _pairs(percent: int, one_each: bool) -> Callable:
             prefix, sketches = t.column("prefix").to_pylist(), t.column("sketch").to_pylist()
             change = np.flatnonzero((np.diff(c["token"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)) + 1
             found: set[tuple[int, int]] = set()
+            more: list[int] = []
             for s, e in zip([0, *change.tolist()], [*change.tolist(), len(prefix)], strict=True):
                 label, mine, one = c["label"][s:e], c["mine"][s:e], c["lo"][s] == c["hi"][s]
                 if e - s > 1 and label.min() < label.max() and (one or mine.min() < mine.max()):
@@ -347,9 +348,11 @@ def _pairs(percent: int, one_each: bool) -> Callable:
                     pairs = [(0, 1)] if e - s == 2 else prefix_pairs([np.frombuffer(p, np.uint32) for p in prefix[s:e]], c["size"][s:e], label, None if one else mine, percent)
                     pairs = likely(pairs, sketches[s:e], c["size"][s:e], percent)
                     if one_each:
-                        pairs = best_each(pairs, sketches[s:e], c["size"][s:e], label)
+                        every, pairs = len(pairs), best_each(pairs, sketches[s:e], c["size"][s:e], label)
+                        more += [int(c["token"][s])] * (len(pairs) < every)
                     found.update((min(node[i], node[j]), max(node[i], node[j])) for i, j in pairs)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["x", "y"])
+            none = [None] * len(more)
+            return pa.RecordBatch.from_arrays([pa.array([*[x for x, _ in found], *none], pa.int64()), pa.array([*[y for _, y in found], *none], pa.int64()), pa.array([*[None] * len(found), *more], pa.int64())], ["x", "y", "token"])
 
         # rows come sorted by group; a group may reach over batches, so its last rows wait for the next one
         for b in batches:
@@ -458,8 +461,8 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, before: Calla
     met_rows = placed.join(sets_of(placed.select("node")), "node").repartition("key", "block").sortWithinPartitions("key", "block", "node")
     first = cut(met_rows.select("key", "block", "node", "tokens").mapInArrow(lean(_join_blocks(percent)), "a long, b long"))
 
-    def completed(links: DataFrame, one_each: bool) -> DataFrame:
-        """Links between components of `links`: all that there are, or one that is likely for each set and token."""
+    def completed(links: DataFrame, shared: DataFrame, one_each: bool) -> tuple[DataFrame, DataFrame]:
+        """Links between components of `links`: all that there are, or one that is likely for each set and token, and the rows of tokens that may have more."""
         labelled = shared.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
         open_ = open_.select("token", F.ceil(F.col("m") / (2 * BLOCK)).cast("int").alias("blocks"))
@@ -473,14 +476,17 @@ def similar_groups(docs: DataFrame, n: int = 3, percent: int = 90, before: Calla
         spread = open_rows.select("token", "node", "label", "size", "prefix", "sketch", "mine", F.explode(others).alias("other"))
         spread = spread.select("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label", "size", "prefix", "sketch", "mine")
         sorted_ = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-        pairs = cut(sorted_.mapInArrow(lean(_pairs(percent, one_each)), "x long, y long").distinct())
+        told = cut(sorted_.mapInArrow(lean(_pairs(percent, one_each)), "x long, y long, token long").distinct())
+        pairs = told.where("token is null").select("x", "y")
+        more = told.where("token is not null").select("token").union(open_.where("blocks > 1").select("token")) if one_each else told.select("token").where("false")
         sets = cut(sets_of(pairs.select("x").union(pairs.select("y"))))
         both = pairs.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("t")), "y")
-        return both.select("x", "y", "s", "t").mapInArrow(lean(_verify(percent)), "a long, b long")
+        return both.select("x", "y", "s", "t").mapInArrow(lean(_verify(percent)), "a long, b long"), shared.join(more, "token", "left_semi")
 
     # most of a large group is linked by its likeliest pairs, so that few of its pairs are left for the whole look
-    likeliest = cut(first.union(completed(first, one_each=True)))
-    final = components(likeliest.union(completed(likeliest, one_each=False)))
+    likely_links, left = completed(first, shared, one_each=True)
+    likeliest = cut(first.union(likely_links))
+    final = components(likeliest.union(completed(likeliest, cut(left), one_each=False)[0]))
 
     classes = nodes.select("class", "node").join(final, "node", "left").select("class", F.coalesce("component", "node").alias("component"))
     result = docs.mapInArrow(lean(lambda b: light(before(b))), "doc_id long, size long, class binary").join(classes, "class", "left")
