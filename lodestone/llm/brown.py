@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -292,23 +292,23 @@ def _inserted(table: np.ndarray) -> Callable[[Batches], Batches]:
 
 
 class Learnt:
-    """classes: h, g, n, class of every word (the end token too); tokens, kinds: their number and that of different ones."""
+    """classes: h, g, n, class of every word (the end token too); tokens, kinds, once: their number, that of different ones and of those seen once."""
 
     def __init__(self, train: DataFrame) -> None:
         spark = train.sparkSession
-        seen = Observation()
-        counts = word_counts(train).observe(seen, F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("once"))
-        core = counts.where("h != 0 OR g != 0").orderBy(F.desc("n"), "h", "g").limit(CORE).collect()
-        self.tokens, self.kinds, self.once = (int(seen.get[k] or 0) for k in ("tokens", "kinds", "once"))
+        core = word_counts(train).where("h != 0 OR g != 0").orderBy(F.desc("n"), "h", "g").limit(CORE).collect()
         shared = spark.sparkContext.broadcast(Lookup(np.array([r["h"] for r in core], np.int64), np.array([r["g"] for r in core], np.int32)))
         pairs = core_pairs(train, shared)
         core_class, self.table = exchange(pairs)
         rare = places(train, shared, core_class).repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(lean(_inserted(self.table)), "h long, g int, n long, class byte")
         known = [(r["h"], r["g"], r["n"], int(c)) for r, c in zip(core, core_class, strict=True)]
-        if self.tokens:
-            known.append((0, 0, int(pairs[-2].sum()), END))
+        ends = int(pairs[-2].sum())
+        if ends:
+            known.append((0, 0, ends, END))
         self.classes = cut(rare.unionByName(spark.createDataFrame(known, "h long, g int, n long, class byte")))
-        sizes = {r["class"]: r["n"] for r in self.classes.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # a row a class
+        told = self.classes.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.count_if(F.col("n") == 1).alias("once")).collect()  # a row a class
+        self.tokens, self.kinds, self.once = (sum(r[k] for r in told) for k in ("n", "kinds", "once"))
+        sizes = {r["class"]: r["n"] for r in told}
         self.sizes = np.array([sizes.get(c, 0) for c in range(SYMBOLS)], np.int64)
 
 
