@@ -12,7 +12,7 @@ is kept if its perplexity is at most a quantile of the trusted documents of its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .commonest import commonest
-from .members import rows_of
+from .members import bitmaps, only
 from .textbytes import LOWER, lean, mix, slices
 
 ORDER = 5
@@ -43,12 +43,12 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row[inside], value[inside]
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """gram long, n long over all texts."""
+def gram_counts(docs: DataFrame, before: Callable = iter) -> DataFrame:
+    """gram long, n long over all texts, or those that `before` leaves of batches with doc_id (it runs inside the same tasks, so that no second worker is needed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for _, data, offsets in slices(batches, most=1 << 18):
+        for _, data, offsets in slices(before(batches), most=1 << 18):
             own, n = np.unique(grams(data, offsets)[1], return_counts=True)
             both, total = np.concatenate([gram, own]), np.concatenate([times, n])
             gram, at = np.unique(both, return_inverse=True)
@@ -58,7 +58,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 gram, times = gram[:0], times[:0]
         yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(times)], ["gram", "n"])
 
-    return docs.select("text").mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", *["doc_id"] * (before is not iter)).mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -72,9 +72,9 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.01), k + 0.99) for k, d in enumerate(found)]
 
 
-def model(trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+def model(trusted: DataFrame, before: Callable = iter) -> list[tuple[DataFrame, DataFrame]]:
     """For orders 1 to ORDER: (gram, p) of the seen n-grams and (context, back) of the seen contexts."""
-    counts = {ORDER: cut(gram_counts(trusted))}
+    counts = {ORDER: cut(gram_counts(trusted, before))}
     for k in range(ORDER - 1, 0, -1):
         # how many different bytes stand before each shorter n-gram
         counts[k] = cut(counts[k + 1].groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
@@ -130,9 +130,9 @@ def levels(keys: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.nd
     return out
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, before: Callable = iter) -> DataFrame:
     """doc_id, perplexity of every row with an id and ORDER bytes of text; rows of one id are one document."""
-    logs = cut(probabilities(gram_counts(docs), model(trusted)))
+    logs = cut(probabilities(gram_counts(docs), model(trusted, before)))
     shared = docs.sparkSession.sparkContext.broadcast(commonest(logs, {"gram": "int64", "logp": "float32"}, TABLE))
     empty = pa.array([], pa.int64())
 
@@ -171,8 +171,14 @@ def quality_report(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, s
     """
     docs = docs.select("doc_id", "text", "lang")
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("t_id"), (F.crc32(F.col("doc_id").cast("string")) % folds == 0).alias("left_out")).distinct()
-    trusted = rows_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", good.where("not left_out").select(F.col("t_id").cast("long"))).select("text")
-    scored = cut(docs.select("doc_id", "lang").join(perplexities(docs, trusted), "doc_id", "left"))
+    learnt = good.where("not left_out").select(F.col("t_id").cast("long").alias("doc_id"))
+    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = bitmaps(trusted.select("doc_id"), learnt)
+    if found is None:
+        trusted, among = trusted.join(learnt.distinct(), "doc_id", "left_semi"), iter
+    else:
+        among = only(found, "doc_id")
+    scored = cut(docs.select("doc_id", "lang").join(perplexities(docs, trusted, among), "doc_id", "left"))
     known = scored.join(good.where("left_out"), scored["doc_id"] == good["t_id"]).where("perplexity is not null")
     of_all = known.agg(F.percentile_approx("perplexity", quantile, 10000).alias("q")).first()["q"]
     own = known.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("q"))
