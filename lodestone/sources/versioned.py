@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chunks import chunked
@@ -126,19 +126,18 @@ def ingest(docs: DataFrame, folder: str, at: str, dimension: int = 64) -> dict[s
     rows = docs.select("tenant_id", "source_path", text.alias("text"), "labels", F.sha2(text, 256).alias("content_hash"), F.pmod(F.xxhash64("source_path"), F.lit(BUCKETS)).cast("int").alias("bucket"))
     known = documents(spark, folder)
     live = known.where("superseded_by IS NULL").select("tenant_id", "content_hash", F.lit(True).alias("live"))
-    first_row = F.row_number().over(Window.partitionBy("tenant_id", "source_path").orderBy("content_hash")) == 1
-    one = rows.withColumn("first", first_row)
-    held = one.join(live, ["tenant_id", "content_hash"], "left")
-    candidate = F.col("first") & F.col("live").isNull()
-    firsts = held.where(candidate).groupBy("tenant_id", "content_hash").agg(F.min("source_path").alias("source_path"), F.lit(True).alias("new"))
-    told = held.join(firsts, ["tenant_id", "content_hash", "source_path"], "left").withColumn("new", F.coalesce("new", F.lit(False)) & candidate).drop("live", "first")
+    # one row a path: an aggregate, so that many rows of one path are combined before the shuffle
+    one = rows.groupBy("tenant_id", "bucket", "source_path").agg(F.min(F.struct("content_hash", "text", "labels")).alias("d"), F.count(F.lit(1)).alias("n")).select("tenant_id", "bucket", "source_path", "d.*", "n")
+    held = one.join(live.distinct(), ["tenant_id", "content_hash"], "left")
+    firsts = held.where("live IS NULL").groupBy("tenant_id", "content_hash").agg(F.min("source_path").alias("source_path"), F.lit(True).alias("new"))
+    told = held.join(firsts, ["tenant_id", "content_hash", "source_path"], "left").withColumn("new", F.coalesce("new", F.lit(False))).drop("live")
     run = f"_run/{uuid.uuid4()}"
     counted = Observation()
-    told.observe(counted, F.count(F.lit(1)).alias("rows"), _number("new").alias("new")).write.parquet(f"{folder}/{run}")
+    told.observe(counted, F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), _number("new").alias("new")).write.parquet(f"{folder}/{run}")
     told = spark.read.parquet(f"{folder}/{run}")
     counts = {"created": 0, "skipped": counted.get["rows"] - counted.get["new"], "superseded": 0, "chunks": 0}
     try:
-        fresh = told.where("new").drop("new")
+        fresh = told.where("new").drop("new", "n")
         if counted.get["new"]:
             touched = fresh.select(*PARTS).distinct()
             before = known.join(F.broadcast(touched), PARTS, "left_semi")  # no more than the store's partitions

@@ -6,6 +6,7 @@ import pytest
 
 from lodestone.operators import approvals, guard
 
+#: Fixed values up to the one of `dblink_connect`: statements that have to be refused.
 REFUSED = """DROP TABLE customers
 DELETE FROM orders
 UPDATE orders SET order_status = 'shipped'
