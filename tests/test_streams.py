@@ -100,3 +100,28 @@ def test_rest_source_over_http(spark):
         server.shutdown()
     assert [rows[k]["status"] for k in range(3)] == [200, 200, 302] and rows[0]["body"] == '{"path": "/things/1"}'
     assert all(key == "k" for _, key in seen) and "/things/elsewhere" not in [p for p, _ in seen]
+
+
+def test_progress_counts_what_a_job_has_written(spark, tmp_path):
+    import time
+
+    from lodestone.streaming.progress import Progress, counted
+
+    listener, schema = Progress(), "k long, text string"
+    spark.streams.addListener(listener)
+    try:
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+        for part in range(3):
+            spark.createDataFrame([(k, None if k % 4 == 0 else "x") for k in range(part * 10, part * 10 + 10)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = counted(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), missing="text IS NULL", large="k >= 25")
+        job = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        job.awaitTermination()
+        for _ in range(100):  # events come by another thread
+            if listener.state.get(str(job.id)) == "done":
+                break
+            time.sleep(0.1)
+        got = {r["counter"]: r["value"] for r in listener.jobs(spark).where(f"job = '{job.id}' AND state = 'done'").collect()}
+    finally:
+        spark.streams.removeListener(listener)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert got == {"files": out.count(), "missing": out.where("text IS NULL").count(), "large": out.where("k >= 25").count()} == {"files": 30, "missing": 8, "large": 5}
