@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tables
 from ..functions.chunks import chunked, chunked_blocks
 from ..functions.markup import html_page, markdown_page
-from ..functions.pii import PATTERNS, pii_spans, redacted
+from ..functions.pii import PATTERNS, may_hold, pii_spans, redacted
 from ..plans.registry import query
 from ..plans.views import DOCUMENT_SQL, document
 from ..session import shared_dir, table
@@ -60,7 +60,7 @@ def chunk_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pii_find")
 def pii_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(pii_spans(F.col("text"))).alias("s"))
+    found = table(spark, sf_dir, "documents").where(may_hold(F.col("text"))).select("doc_id", F.explode(pii_spans(F.col("text"))).alias("s"))
     return found.select("doc_id", "s.kind", "s.start", "s.stop")
 
 
@@ -68,7 +68,7 @@ def pii_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by kind of each document, as a map; counts, never values, leave the task that reads the text."""
     counts = lambda spans: F.map_from_entries(F.transform(F.array_distinct(F.transform(spans, lambda s: s["kind"])), lambda k: F.struct(k, F.size(F.filter(spans, lambda s: s["kind"] == k)))))
-    found = table(spark, sf_dir, "documents").select("doc_id", pii_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    found = table(spark, sf_dir, "documents").where(may_hold(F.col("text"))).select("doc_id", pii_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
     return found.select("doc_id", counts(F.col("spans")).alias("counts"))
 
 
