@@ -310,3 +310,29 @@ def test_benchmark_recall_asks_every_item(spark, tmp_path):
     got = evaluation.benchmark_recall(spark, str(tmp_path)).first()
     # item 7 has a document of equal words and smaller id before its own
     assert tuple(got) == (42, round(39 / 42, 6), round(40 / 42, 6), round(40 / 42, 6), round(39.5 / 42, 6))
+
+
+def test_chunks_and_blocks_of_whole_documents_equal_plain_ones(spark, sf):
+    """Sections told apart line by line, and blocks as the parser gives them for each text alone."""
+    import re
+
+    def sections(text):
+        heading, body, out = None, [], []
+        for line in [*(text or "").strip().split("\n"), "# end"]:
+            if m := re.match(r"#{1,6}\s+(.*)", line):
+                out.append((heading, "\n".join(body).strip()))
+                heading, body = m[1].strip(), []
+            else:
+                body.append(line)
+        return [(h, b) for h, b in out if b]
+
+    docs = table(spark, sf, "documents").select("doc_id", "text").collect()
+    got = {}
+    for r in documents.chunk_text(spark, sf).orderBy("doc_id", "ordinal").collect():
+        got.setdefault(r["doc_id"], []).append((r["heading"], r["content"]))
+    assert got == {d["doc_id"]: w for d in docs if (w := [(h, c) for h, b in sections(d["text"]) for c in pack(b, 1200, 150)])}
+    rows = sorted((r["doc_id"], r["place"], r["kind"], r["content"]) for r in documents.parse_markdown(spark, sf).collect())
+    assert rows == sorted((d["doc_id"], k, b["kind"], b["content"]) for d in docs for k, b in enumerate(markdown(d["text"])["blocks"]))
+    pages = table(spark, sf, "pages").select("page_id", "html").collect()
+    rows = sorted((r["page_id"], r["ordinal"], r["heading"] or "", r["content"]) for r in documents.chunk_blocks(spark, sf).collect())
+    assert rows == sorted((p["page_id"], k, h or "", c) for p in pages for k, (h, c) in enumerate(pack_blocks(page(p["html"])["blocks"], 1200, 150)))
