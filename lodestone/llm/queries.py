@@ -12,54 +12,67 @@ from .common import read
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 of all documents by the law `rows`; nulls have size 8 and ties of a curve's cell are told apart by the id."""
     return sharding.shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes; a null source is one, a text without words takes none."""
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and what they decode to; a null text has none."""
     return bpe.token_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each text that a string of 100 bytes covers which also starts earlier; rows that share an id are texts in an order of their own."""
     return repeats.repeat_report(read(spark, sf_dir, "documents"))
 
 
 def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in every whole text; null and empty texts have no words."""
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
 def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document and whether its language's threshold keeps it; texts too short for the model are kept."""
     return quality.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of three words are 90 % alike; texts without words are linked with nothing."""
     return jaccard.similar_groups(read(spark, sf_dir, "documents"), 3, 90)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each query; vectors that are null, zero or not finite take no part, ties go to the smaller id."""
     return neighbours.search(read(spark, sf_dir, "embeddings"))
 
 
 def op9_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as lossless images and read back; a null text is an empty one, equal texts give equal values."""
     return webp.media_report(read(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole text, learnt from two thirds of the labelled ones; empty texts are scored too."""
     return toxicity.toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op11_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text by classes of words, learnt from six sevenths; a null text is its end token alone."""
     return brown.score(read(spark, sf_dir, "documents"))
 
 
 def op12_centroid_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and distance of every vector that takes part, after five rounds and a last assignment."""
     return centroids.cluster(read(spark, sf_dir, "embeddings"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words, every tenth document being made periodic first; without words or text none."""
     return runs.run_report(read(spark, sf_dir, "documents"))
 
 
