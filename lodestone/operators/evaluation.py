@@ -61,7 +61,7 @@ def benchmark_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id").join(first, "item_id", "left").agg(F.count(F.lit(1)).alias("questions"), *[c.alias(n) for n, c in within.items()], F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
-_ANSWER_SQL = "SELECT conv_id % 3 AS kind, text, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN upper(text) || '  ' WHEN 2 THEN 'no answer' END AS given, CASE WHEN conv_id % 3 = 2 THEN 'no answer' ELSE text END AS expected FROM conversations"
+_ANSWER_SQL = "SELECT conv_id % 3 AS kind, text, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN ' ' || replace(text, ' ', '  ') || chr(10) WHEN 2 THEN 'no answer' END AS given, CASE WHEN conv_id % 3 = 2 THEN 'no answer' ELSE text END AS expected FROM conversations"
 
 
 def normal(answer: Column) -> Column:
@@ -73,10 +73,10 @@ def normal(answer: Column) -> Column:
 def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given answers against expected ones by kind of question, and how many of those to be refused were; a missing answer is wrong.
 
-    Answers are made from messages by turn: as expected, in other case and spacing, a refusal, or none.
+    Answers are made from messages by turn: as expected, in other spacing, a refusal, or none.
     """
     turn = F.col("turn") % 4
-    given = F.when(turn == 0, F.col("text")).when(turn == 1, F.concat(F.upper("text"), F.lit("  "))).when(turn == 2, "no answer")
+    given = F.when(turn == 0, F.col("text")).when(turn == 1, F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\n"))).when(turn == 2, "no answer")
     kind = F.col("conv_id") % 3
     answers = table(spark, sf_dir, "conversations").select(kind.alias("kind"), normal(given).alias("g"), normal(F.when(kind == 2, "no answer").otherwise(F.col("text"))).alias("e"))
     right = F.coalesce(F.col("g") == F.col("e"), F.lit(False))

@@ -58,7 +58,7 @@ def governed_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"document": document(spark, sf_dir), "chunk": chunk(spark, sf_dir), "span": span(spark, sf_dir), "connector": connector(spark, sf_dir), "message": message}
 
 
-@query("rls_scope", f"WITH {DOCUMENT_SQL}, {SPAN_SQL}, {CHUNK_SQL}, {_CONNECTOR_SQL}, a AS ({' UNION ALL '.join(f'SELECT {n!r} AS relation, tenant_id FROM ({q})' for n, q in _RLS_SQL.items())}) SELECT relation, count(*) FILTER (WHERE tenant_id = 2) AS seen, 0 AS without_session FROM a GROUP BY relation")
+@query("rls_scope", f"WITH {DOCUMENT_SQL}, {SPAN_SQL}, {CHUNK_SQL}, {_CONNECTOR_SQL}, a AS ({' UNION ALL '.join(f'SELECT {n!r} AS relation, tenant_id FROM ({q})' for n, q in _RLS_SQL.items())}) SELECT relation, count(*) FILTER (WHERE tenant_id = 2) AS seen, CAST(0 AS BIGINT) AS without_session FROM a GROUP BY relation")
 def rls_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each governed relation that one tenant sees, and how many a session without a tenant sees."""
     counts = []

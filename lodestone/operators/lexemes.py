@@ -27,7 +27,7 @@ def postings(docs: DataFrame) -> DataFrame:
     Null texts and texts without words have none; the stemmed form leaves stop words out. A document's words are
     counted before they are stemmed.
     """
-    own = docs.select("doc_id", words_of(F.col("text")).alias("all")).select("doc_id", F.size("all").alias("words"), F.explode("all").alias("word"))
+    own = docs.select("doc_id", words_of(F.col("text")).alias("all")).select("doc_id", F.size("all").cast("long").alias("words"), F.explode("all").alias("word"))
     counted = own.groupBy("doc_id", "words", "word").agg(F.count(F.lit(1)).alias("n"))
     none = F.lit(0).cast("long")
     literal = F.struct(F.col("word").alias("lexeme"), F.col("n").alias("literal"), none.alias("stemmed"))
@@ -53,7 +53,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = f"{shared_dir(spark)}/lexemes-{uuid.uuid4()}"
         build(table(spark, sf_dir, "documents"), folder)
         _BUILT[key] = folder
-    schema = "lexeme string, doc_id long, words int, literal long, stemmed long, shard int"
+    schema = "lexeme string, doc_id long, words long, literal long, stemmed long, shard int"
     return spark.read.schema(schema).parquet(_BUILT[key])
 
 
