@@ -6,7 +6,7 @@ back-references, so that Java and RE2 read it alike; a tilde marks where an endi
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}]+"
@@ -49,6 +49,17 @@ RULES = (
 )
 
 
+#: How many rules go together, and what a word must end in for any of them to apply.
+_GROUPS = (
+    (9, "(?:s|ed|ing)$"),
+    (1, "y$"),
+    (11, "(?:ization|izer|ational|ation|ator|tional|alism|aliti|alli|iveness|iviti|ousness|ousli|fulness|biliti|abli|enci|anci|entli|eli)$"),
+    (3, "(?:icate|iciti|ical|alize|ative|ful|ness)$"),
+    (2, "(?:ement|ment|ance|ence|able|ible|ant|ent|ism|ate|iti|ous|ive|ize|al|er|ic|ou|ion)$"),
+    (3, "[el]$"),
+)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in lower case: letters and digits of any script."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
@@ -60,6 +71,17 @@ def stem(word: Column) -> Column:
     return word
 
 
+def with_stem(words: DataFrame, word: str, name: str) -> DataFrame:
+    """The rows with the stem of a column; a group of rules is tried only on words that end as it asks, step by step, so that no step is computed twice."""
+    out, at = words.withColumn(name, F.col(word)), 0
+    for size, ending in _GROUPS:
+        changed = F.col(name)
+        for pattern, by in RULES[at : at + size]:
+            changed = F.regexp_replace(changed, pattern, by.replace("\\", "$"))
+        out, at = out.withColumn(name, F.when(F.rlike(name, F.lit(ending)), changed).otherwise(F.col(name))), at + size
+    return out
+
+
 def words_sql(text: str) -> str:
     return f"regexp_extract_all(lower({text}), '{WORD}')"
 

@@ -7,18 +7,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stems import STOP, stem, stem_sql, words_of, words_sql
+from ..functions.stems import STOP, stem, stem_sql, with_stem, words_of, words_sql
 from ..plans.registry import query
 from ..session import shared_dir, table
 
-#: Shards of an index and the parts a shard's rows are dealt over, so that a word that stands everywhere isn't one task's.
-SHARDS, SPREAD = 64, 8
+#: Shards of an index (more for a larger one: a query reads those of its words) and the parts a shard's rows are dealt over, so that a word that stands everywhere isn't one task's.
+SHARDS, SPREAD = 16, 8
 #: Fixed values of the rank: weight of a word, the sum of 1 / n ** 2 over all n, and the most places of a word that count.
 WEIGHT, ZETA, PLACES = 0.1, 1.64493406685, 256
 
 
-def shard(lexeme: Column) -> Column:
-    return F.pmod(F.xxhash64(lexeme), F.lit(SHARDS)).cast("int")
+def shard(lexeme: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(shards)).cast("int")
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -30,15 +30,16 @@ def postings(docs: DataFrame) -> DataFrame:
     own = docs.select("doc_id", words_of(F.col("text")).alias("all")).select("doc_id", F.size("all").cast("long").alias("words"), F.explode("all").alias("word"))
     counted = own.groupBy("doc_id", "words", "word").agg(F.count(F.lit(1)).alias("n"))
     none = F.lit(0).cast("long")
-    literal = F.struct(F.col("word").alias("lexeme"), F.col("n").alias("literal"), none.alias("stemmed"))
-    stemmed = F.struct(stem(F.col("word")).alias("lexeme"), none.alias("literal"), F.when(F.col("word").isin(*STOP), none).otherwise(F.col("n")).alias("stemmed"))
-    both = counted.select("doc_id", "words", F.explode(F.array(literal, stemmed)).alias("l")).where("l.literal + l.stemmed > 0")
-    return both.groupBy(F.col("l.lexeme").alias("lexeme"), "doc_id", "words").agg(F.sum("l.literal").alias("literal"), F.sum("l.stemmed").alias("stemmed"))
+    literal = counted.select(F.col("word").alias("lexeme"), "doc_id", "words", F.col("n").alias("literal"), none.alias("stemmed"))
+    # every different word is stemmed once
+    stems = with_stem(counted.where(~F.col("word").isin(*STOP)).select("word").distinct(), "word", "stem")
+    stemmed = counted.join(stems, "word").select(F.col("stem").alias("lexeme"), "doc_id", "words", none.alias("literal"), F.col("n").alias("stemmed"))
+    return literal.union(stemmed).groupBy("lexeme", "doc_id", "words").agg(F.sum("literal").alias("literal"), F.sum("stemmed").alias("stemmed"))
 
 
-def build(docs: DataFrame, folder: str) -> None:
+def build(docs: DataFrame, folder: str, shards: int = SHARDS) -> None:
     """Write the postings by shard, in order of lexemes, so that a reader opens the shards of its words and skips other row groups."""
-    rows = postings(docs).withColumn("shard", shard(F.col("lexeme")))
+    rows = postings(docs).withColumn("shard", shard(F.col("lexeme"), shards))
     parted = rows.repartition(F.col("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
     parted.sortWithinPartitions("shard", "lexeme", "doc_id").write.partitionBy("shard").parquet(folder)
 
@@ -63,7 +64,7 @@ def asked(spark: SparkSession, words: str) -> tuple[list[str], list[str]]:
     return sorted(row["w"]), sorted(row["s"])
 
 
-def ranked(entries: DataFrame, words: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def ranked(entries: DataFrame, words: str, k: int, allowed: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
     """doc_id, rank of the k documents (of those `allowed`, doc_id) that answer a query best, any of its words being enough.
 
     A word adds the sum of 1 / n ** 2 over its places, literal and stemmed ones alike; a form's rank is the mean over the
@@ -77,7 +78,7 @@ def ranked(entries: DataFrame, words: str, k: int, allowed: DataFrame | None = N
     wanted = sorted({*literal, *stems})
     rows = entries.where(F.col("lexeme").isin(*wanted))
     if "shard" in entries.columns:
-        shards = sorted({r[0] for r in spark.createDataFrame([(w,) for w in wanted], "w string").select(shard(F.col("w"))).collect()})
+        shards = sorted({r[0] for r in spark.createDataFrame([(w,) for w in wanted], "w string").select(shard(F.col("w"), shards)).collect()})
         rows = rows.where(F.col("shard").isin(*shards))
     if allowed is not None:
         rows = rows.join(allowed, "doc_id", "left_semi")

@@ -181,11 +181,13 @@ def test_search_guards(spark, sf):
     assert found("licenses") == [2] and found("E-402 the") == [4, 2] and found("?!") == [] and found("the") == []
 
 
-def test_stems(spark):
+def test_stems(spark, sf):
     words = "caresses ponies cats feed agreed plastered motoring sing conflated troubled sized hopping hoping falling filing happy sky relational conditional rational digitizer operator feudalism decisiveness hopefulness formality triplicate formative electrical goodness revival allowance inference adjustable replacement adoption effective rate probate cease controlling roll prüfung e402".split()
     want = "caress poni cat feed agre plaster motor sing conflat troubl size hop hope fall file happi sky relat condit ration digit oper feudal decis hope formal triplic form electr good reviv allow infer adjust replac adopt effect rate probat ceas control roll prüfung e402".split()
     got = [r[0] for r in spark.createDataFrame(list(enumerate(words)), "k int, w string").orderBy("k").select(stems.stem(F.col("w"))).collect()]
     assert got == want
+    rows = table(spark, sf, "documents").select(F.explode(stems.words_of(F.col("text"))).alias("w")).distinct()
+    assert stems.with_stem(rows, "w", "s").where(F.col("s") != stems.stem(F.col("w"))).count() == 0
 
 
 def test_index_ranks_unicode_words_from_their_postings(spark, tmp_path):
