@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stems import STOP, stem, stem_sql, with_stem, words_of, words_sql
+from ..functions.stems import STOP, stem, stem_sql, stems_of, words_of, words_sql
 from ..plans.registry import query
 from ..session import shared_dir, table
 
-#: Shards of an index (more for a larger one: a query reads those of its words) and the parts a shard's rows are dealt over, so that a word that stands everywhere isn't one task's.
-SHARDS, SPREAD = 16, 8
+#: Shards of an index (more for a larger one: a query reads those of its words), the fewest parts that documents are dealt over, so that a word that stands everywhere isn't one task's, and characters a part.
+SHARDS, SPREAD, PART = 16, 8, 1 << 24
 #: Fixed values of the rank: weight of a word, the sum of 1 / n ** 2 over all n, and the most places of a word that count.
 WEIGHT, ZETA, PLACES = 0.1, 1.64493406685, 256
 
@@ -24,24 +24,33 @@ def shard(lexeme: Column, shards: int) -> Column:
 def postings(docs: DataFrame) -> DataFrame:
     """lexeme, doc_id, literal, stemmed, words: how often a word stands in a document, as it is and by its stem, and the document's length.
 
-    Null texts and texts without words have none; the stemmed form leaves stop words out. A document's words are
-    counted before they are stemmed.
+    Null texts and texts without words have none; the stemmed form leaves stop words out. A row's words are counted in the
+    row, as runs of its sorted words, so only the different ones are stemmed, and rows dealt by doc_id are not shuffled again.
     """
-    own = docs.select("doc_id", words_of(F.col("text")).alias("all")).select("doc_id", F.size("all").cast("long").alias("words"), F.explode("all").alias("word"))
-    counted = own.groupBy("doc_id", "words", "word").agg(F.count(F.lit(1)).alias("n"))
-    none = F.lit(0).cast("long")
-    literal = counted.select(F.col("word").alias("lexeme"), "doc_id", "words", F.col("n").alias("literal"), none.alias("stemmed"))
-    # every different word is stemmed once
-    stems = with_stem(counted.where(~F.col("word").isin(*STOP)).select("word").distinct(), "word", "stem")
-    stemmed = counted.join(stems, "word").select(F.col("stem").alias("lexeme"), "doc_id", "words", none.alias("literal"), F.col("n").alias("stemmed"))
-    return literal.union(stemmed).groupBy("lexeme", "doc_id", "words").agg(F.sum("literal").alias("literal"), F.sum("stemmed").alias("stemmed"))
+    sorted_ = docs.select("doc_id", F.sort_array(words_of(F.col("text"))).alias("all"))
+    first = lambda at: (at == 0) | (F.get("all", at) != F.get("all", at - 1))
+    begins = F.filter(F.when(F.size("all") > 0, F.sequence(F.lit(0), F.size("all") - 1)), first)
+    own = sorted_.select("doc_id", F.size("all").cast("long").alias("words"), "all", begins.alias("begins"))
+    different = own.select("doc_id", "words", "begins", F.transform("begins", lambda at: F.get("all", at)).alias("own"))
+    counted = different.select("doc_id", "words", "own", stems_of(F.col("own")).alias("stems"), F.transform("begins", lambda at, k: F.coalesce(F.get("begins", k + 1).cast("long"), F.col("words")) - at).alias("n"))
+    each = counted.select("doc_id", "words", F.explode(F.arrays_zip(F.col("own").alias("word"), F.col("stems").alias("stem"), "n")).alias("w")).select("doc_id", "words", "w.*")
+    # a word that is its own stem is one row from the start
+    none, stop, same = F.lit(0).cast("long"), F.col("word").isin(*STOP), F.col("stem") == F.col("word")
+    form = lambda lexeme, literal, stemmed: F.struct(F.col(lexeme).alias("lexeme"), literal.alias("literal"), stemmed.alias("stemmed"))
+    literal = form("word", F.col("n"), F.when(same & ~stop, F.col("n")).otherwise(none))
+    forms = F.when(stop | same, F.array(literal)).otherwise(F.array(literal, form("stem", none, F.col("n"))))
+    both = each.select("doc_id", "words", F.explode(forms).alias("f")).select("doc_id", "words", "f.*")
+    return both.groupBy("lexeme", "doc_id", "words").agg(F.sum("literal").alias("literal"), F.sum("stemmed").alias("stemmed"))
 
 
 def build(docs: DataFrame, folder: str, shards: int = SHARDS) -> None:
-    """Write the postings by shard, in order of lexemes, so that a reader opens the shards of its words and skips other row groups."""
-    rows = postings(docs).withColumn("shard", shard(F.col("lexeme"), shards))
-    parted = rows.repartition(F.col("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
-    parted.sortWithinPartitions("shard", "lexeme", "doc_id").write.partitionBy("shard").parquet(folder)
+    """Write the postings by shard, in order of lexemes, so that a reader opens the shards of its words and skips other row groups.
+
+    Texts are shuffled, once and in parts of bounded size, as they are far smaller than their postings, which each task sorts in memory.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    rows = postings(docs.repartition(max(SPREAD, -(-chars // PART)), "doc_id")).withColumn("shard", shard(F.col("lexeme"), shards))
+    rows.sortWithinPartitions("shard", "lexeme", "doc_id").write.partitionBy("shard").parquet(folder, compression="zstd")
 
 
 _BUILT: dict[tuple[str, str], str] = {}

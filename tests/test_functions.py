@@ -338,3 +338,14 @@ def test_chunks_and_blocks_of_whole_documents_equal_plain_ones(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "html").collect()
     rows = sorted((r["page_id"], r["ordinal"], r["heading"] or "", r["content"]) for r in documents.chunk_blocks(spark, sf).collect())
     assert rows == sorted((p["page_id"], k, h or "", c) for p in pages for k, (h, c) in enumerate(pack_blocks(page(p["html"])["blocks"], 1200, 150)))
+
+
+def test_postings_of_dealt_texts_are_not_shuffled_again(spark):
+    rows = [(1, "Runs run, running: the RUN"), (1, "runs of the run x"), (2, None), (3, " ?! "), (4, "the of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lexemes.postings(docs.repartition(3, "doc_id"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    # two rows of one id and as many words count as one
+    want = {("run", 1, 5, 3, 6), ("runs", 1, 5, 2, 0), ("running", 1, 5, 1, 0), ("the", 1, 5, 2, 0), ("of", 1, 5, 1, 0), ("x", 1, 5, 1, 1), ("the", 4, 2, 1, 0), ("of", 4, 2, 1, 0)}
+    assert sorted(map(tuple, found.select("lexeme", "doc_id", "words", "literal", "stemmed").collect())) == sorted(want)
