@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .batches import each
+
 #: Kinds in the order in which they claim characters, with their patterns.
 PATTERNS = {
     "api_key": r"\b(?:sk-[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|ghp_[A-Za-z0-9]{36}|AKIA[0-9A-Z]{16})\b",
@@ -20,6 +22,7 @@ PATTERNS = {
 }
 _COMPILED = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
 SPANS = "array<struct<kind: string, start: int, stop: int>>"
+_SPANS = pa.list_(pa.struct({"kind": pa.string(), "start": pa.int32(), "stop": pa.int32()}))
 
 
 def checksum_ok(number: str) -> bool:
@@ -52,25 +55,21 @@ def may_hold(text: Column) -> Column:
 
 
 def pii_spans(text: Column) -> Column:
-    """An array of (kind, start, stop) in characters; empty for null. Python's word characters are Unicode's, so this is a pandas UDF."""
+    """An array of (kind, start, stop) in characters; empty for null. Python's word characters are Unicode's, so this runs in Python."""
+    return each(text, lambda t: [{"kind": k, "start": a, "stop": b} for k, a, b in spans(t)], SPANS, _SPANS)
 
-    @F.pandas_udf(SPANS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"kind": k, "start": a, "stop": b} for k, a, b in spans(t)])
 
-    return run(text)
+def without(text: str | None) -> str | None:
+    """The text with [KIND] in place of each span."""
+    if text is None:
+        return None
+    pieces, at = [], 0
+    for kind, a, b in spans(text):
+        pieces += text[at:a], f"[{kind.upper()}]"
+        at = b
+    return "".join([*pieces, text[at:]])
 
 
 def redacted(text: Column) -> Column:
     """The text with [KIND] in place of each span; null stays null."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            for kind, a, b in reversed(spans(t)):
-                t = f"{t[:a]}[{kind.upper()}]{t[b:]}"
-            return t
-
-        return texts.map(one)
-
-    return run(text)
+    return each(text, without, "string", pa.string())

@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,3 +350,15 @@ def test_postings_of_dealt_texts_are_not_shuffled_again(spark):
     # two rows of one id and as many words count as one
     want = {("run", 1, 5, 3, 6), ("runs", 1, 5, 2, 0), ("running", 1, 5, 1, 0), ("the", 1, 5, 2, 0), ("of", 1, 5, 1, 0), ("x", 1, 5, 1, 1), ("the", 4, 2, 1, 0), ("of", 4, 2, 1, 0)}
     assert sorted(map(tuple, found.select("lexeme", "doc_id", "words", "literal", "stemmed").collect())) == sorted(want)
+
+
+def test_python_functions_hold_a_slice_at_a_time(spark):
+    from lodestone.functions import batches
+
+    column = pa.array(["é" * 500, None, ""] * 4000 + ["x" * (2 * batches.SLICE)])
+    found = list(batches.parts(column))
+    assert pa.concat_arrays(found).equals(column) and all(p.nbytes <= batches.SLICE or len(p) == 1 for p in found) and len(found) > 8
+    # one worker gives all rows of a batch in order, over many slices
+    docs = spark.range(3000).select("id", F.concat(F.lit("a@b.com " * 60), F.col("id").cast("string"), F.lit(" a@b.com")).alias("text")).coalesce(1)
+    got = docs.select("id", redacted(F.col("text")).alias("r"), F.size(pii_spans(F.col("text"))).alias("n")).where(F.col("r") != F.concat(F.lit("[EMAIL] " * 60), F.col("id").cast("string"), F.lit(" [EMAIL]")))
+    assert got.count() == 0
