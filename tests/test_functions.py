@@ -362,3 +362,10 @@ def test_python_functions_hold_a_slice_at_a_time(spark):
     docs = spark.range(3000).select("id", F.concat(F.lit("a@b.com " * 60), F.col("id").cast("string"), F.lit(" a@b.com")).alias("text")).coalesce(1)
     got = docs.select("id", redacted(F.col("text")).alias("r"), F.size(pii_spans(F.col("text"))).alias("n")).where(F.col("r") != F.concat(F.lit("[EMAIL] " * 60), F.col("id").cast("string"), F.lit(" [EMAIL]")))
     assert got.count() == 0
+
+
+def test_blocks_are_sliced_too(spark):
+    from lodestone.functions import batches, markup
+
+    rows = [{"title": None, "blocks": [{"kind": "paragraph", "content": "x" * 900, "level": None, "heading": None}]}] * 2000
+    assert len(list(batches.parts(pa.array(rows, markup._PAGE)))) > 2
