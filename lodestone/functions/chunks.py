@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import each
+from .markup import page
+
 #: Characters a chunk, and those repeated from the chunk before.
 SIZE, OVERLAP = 1200, 150
 
@@ -50,12 +54,10 @@ def chunked(docs: DataFrame, text: str = "text", size: int = SIZE, overlap: int
 
     Headings without a body, null and blank texts give no chunks.
     """
-    if not 0 <= overlap < size:
-        raise ValueError("the overlap must be smaller than the size")
+    _checked(size, overlap)
 
-    @F.pandas_udf("array<array<string>>")
-    def packed(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda sections: [pack(s, size, overlap) for s in sections])
+    def packed(bodies: Column) -> Column:
+        return each(bodies, lambda sections: [pack(s, size, overlap) for s in sections], "array<array<string>>", pa.list_(pa.list_(pa.string())))
 
     trimmed: Callable[[Column], Column] = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     head = r"^#{1,6}\s+([^\n]*)"
@@ -102,14 +104,28 @@ def pack_blocks(blocks: Iterable[dict], size: int, overlap: int) -> list[tuple[s
     return out
 
 
-def chunked_blocks(docs: DataFrame, blocks: str = "blocks", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """The other columns of docs with ordinal, heading and content of each chunk of its parsed blocks; no shuffle, and no blocks give no chunks."""
+def _checked(size: int, overlap: int) -> None:
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the size")
 
-    @F.pandas_udf("array<struct<heading: string, content: string>>")
-    def packed(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: [{"heading": h, "content": c} for h, c in pack_blocks([] if r is None else r, size, overlap)])
 
-    others = [c for c in docs.columns if c != blocks]
-    return docs.select(*others, F.posexplode(packed(F.col(blocks))).alias("ordinal", "chunk_")).select(*others, "ordinal", "chunk_.heading", "chunk_.content")
+def _chunks(value: Column, blocks_of: Callable[[Any], Iterable[dict]], size: int, overlap: int) -> Column:
+    one = lambda v: [{"heading": h, "content": c} for h, c in pack_blocks(blocks_of(v), size, overlap)]
+    return each(value, one, "array<struct<heading: string, content: string>>", pa.list_(pa.struct({"heading": pa.string(), "content": pa.string()})))
+
+
+def _numbered(docs: DataFrame, source: str, chunks: Column) -> DataFrame:
+    others = [c for c in docs.columns if c != source]
+    return docs.select(*others, F.posexplode(chunks).alias("ordinal", "chunk_")).select(*others, "ordinal", "chunk_.heading", "chunk_.content")
+
+
+def chunked_blocks(docs: DataFrame, blocks: str = "blocks", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """The other columns of docs with ordinal, heading and content of each chunk of its parsed blocks; no shuffle, and no blocks give no chunks."""
+    _checked(size, overlap)
+    return _numbered(docs, blocks, _chunks(F.col(blocks), lambda r: r or [], size, overlap))
+
+
+def chunked_html(docs: DataFrame, html: str = "html", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """The same of pages that are parsed on the way: one worker a task does both."""
+    _checked(size, overlap)
+    return _numbered(docs, html, _chunks(F.col(html), lambda h: page(h)["blocks"], size, overlap))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..functions.chunks import chunked, chunked_blocks
+from ..functions.chunks import chunked, chunked_html
 from ..functions.markup import html_page, markdown_page
 from ..functions.pii import PATTERNS, may_hold, pii_spans, redacted
 from ..plans.registry import query
@@ -43,7 +43,7 @@ def parse_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chunk_blocks")
 def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every page by its blocks: tables stay whole."""
-    return chunked_blocks(table(spark, sf_dir, "pages").select("page_id", html_page(F.col("html")).getField("blocks").alias("blocks")))
+    return chunked_html(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 @query("chunk_text")

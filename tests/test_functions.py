@@ -369,3 +369,8 @@ def test_blocks_are_sliced_too(spark):
 
     rows = [{"title": None, "blocks": [{"kind": "paragraph", "content": "x" * 900, "level": None, "heading": None}]}] * 2000
     assert len(list(batches.parts(pa.array(rows, markup._PAGE)))) > 2
+
+
+def test_pages_are_parsed_and_chunked_by_one_worker(spark, sf):
+    found = documents.chunk_blocks(spark, sf)
+    assert found._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
