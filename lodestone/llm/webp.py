@@ -216,7 +216,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
     total, data, limit, out = width * height, bits.data, 8 * len(bits.data), []
-    cache, shift, place = [0] * (1 << cache_bits), 32 - cache_bits, bits.at
+    cache, shift, place, append = [0] * (1 << cache_bits), 32 - cache_bits, bits.at, out.append
     while (at := len(out)) < total:
         # pixels up to the next change of the group of codes
         row = at // width
@@ -229,6 +229,32 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             first = place >> 3
             words = _words(data, first)
             here, stop = place & 7, 8 * len(words)
+            while not cache_bits and done < until and here < stop:
+                for _ in range(until - done):
+                    if here >= stop:
+                        break
+                    view = words[here >> 3] >> (here & 7)  # 57 bits at least
+                    if (two := green_red[view & _ALL]) and (more := blue_alpha[(view >> (two & 31)) & _ALL]):
+                        two += more  # both halves of the pixel, times 32, and all its bits
+                        here += two & 31
+                        append(two >> 5)
+                        continue
+                    entry = green[view & g_mask]
+                    if entry >= 4096:
+                        break
+                    used = entry & 15
+                    r = red[(view >> used) & r_mask]
+                    used += r & 15
+                    b = blue[(view >> used) & b_mask]
+                    used += b & 15
+                    a = alpha[(view >> used if narrow else int.from_bytes(data[first + (here + used >> 3) :][:3], "little") >> (here + used & 7)) & a_mask]
+                    here += used + (a & 15)
+                    append((a >> 4) << 24 | (r >> 4) << 16 | (entry >> 4) << 8 | b >> 4)
+                done = len(out)
+                if done < until and here < stop:
+                    bits.at = 8 * first + here + (entry & 15)
+                    out += _copied(bits, (entry >> 4) - 256, group[4], out, width, total)
+                    here, done = bits.at - 8 * first, len(out)
             while done < until and here < stop:
                 view = words[here >> 3] >> (here & 7)  # 57 bits at least
                 if (two := green_red[view & _ALL]) and (more := blue_alpha[(view >> (two & 31)) & _ALL]):
@@ -258,7 +284,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                     for value in new if cache_bits else ():
                         cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
                     continue
-                out.append(value)
+                append(value)
                 done += 1
                 if cache_bits:
                     cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
@@ -565,6 +591,10 @@ def copies_in(v: np.ndarray) -> list[tuple[int, int, int]]:
     order = np.argsort(pair, kind="stable")
     same = pair[order][1:] == pair[order][:-1]
     here, there = order[1:][same], order[:-1][same]
+    # a copy has three pixels at least
+    third = v[np.minimum(here + 2, len(v) - 1)] == v[there + 2]
+    third &= here + 2 < len(v)
+    here, there = here[third], there[third]
     by = np.argsort(here)
     out, done = [], 0
     for i, j in zip(here[by].tolist(), there[by].tolist(), strict=True):
@@ -641,7 +671,7 @@ def _put_image(w: Writer, v: np.ndarray, width: int, main: bool) -> None:
     codes, sizes, values, preset_lengths = preset()
     counts = np.bincount(np.concatenate([c + start for c, start in zip(channels, STARTS.tolist(), strict=True)]), minlength=sum(SIZES))
     totals = np.add.reduceat(counts, STARTS)
-    own_bits = (totals * np.log2(np.maximum(totals, 1))).sum() - (counts * np.log2(np.maximum(counts, 1))).sum() + 6 * np.count_nonzero(counts) + 400
+    own_bits = _weighed(totals).sum() - _weighed(counts).sum() + 6 * np.count_nonzero(counts) + 400
     bits = int(preset_lengths @ counts) + int(sizes.sum())
     # codes of their own take most of the time of a short image, so they must save a third
     if len(begins) <= SHORT and bits < 30 * len(v) and bits <= 1.5 * own_bits:
@@ -681,13 +711,21 @@ def _put_image(w: Writer, v: np.ndarray, width: int, main: bool) -> None:
     w.put_all(bits, values)
 
 
+_WEIGHED = np.arange(1 << 12) * np.log2(np.maximum(np.arange(1 << 12), 1))
+
+
+def _weighed(counts: np.ndarray) -> np.ndarray:
+    """Counts times their logarithms, mostly looked up."""
+    return _WEIGHED[counts] if counts.max() < len(_WEIGHED) else counts * np.log2(np.maximum(counts, 1))
+
+
 def _bits_of(*images: np.ndarray) -> list[float]:
     """Bits of the four channels (bytes) of each image under codes of their own."""
     many = len(images)
     cells = np.stack(images).reshape(many, -1, 4) + np.arange(0, 1024 * many, 256).reshape(many, 1, 4)
     counts = np.bincount(cells.reshape(-1), minlength=1024 * many).reshape(many, 1024)
     pixels = cells.shape[1]
-    return (4 * pixels * np.log2(pixels) - (counts * np.log2(np.maximum(counts, 1))).sum(1)).tolist()
+    return (4 * pixels * np.log2(pixels) - _weighed(counts).sum(1)).tolist()
 
 
 def _raw(argb: np.ndarray) -> np.ndarray:
@@ -728,7 +766,7 @@ def cross_elements(argb: np.ndarray) -> tuple[int, int, int]:
     blue_green_red = np.ascontiguousarray(argb).view(np.int8).reshape(-1, 4)[:, :3].astype(np.float32)
     blue_green_red -= blue_green_red.mean(0)
     c = blue_green_red.T @ blue_green_red
-    rounded = lambda v: int(np.clip(np.rint(32 * v), -128, 127))
+    rounded = lambda v: max(-128, min(127, round(32 * float(v))))
     red_to_blue = rounded(c[0, 2] / max(c[2, 2], 1e-9))
     return rounded(c[1, 2] / max(c[1, 1], 1e-9)), rounded((c[0, 1] - red_to_blue / 32 * c[1, 2]) / max(c[1, 1], 1e-9)), red_to_blue
 
@@ -745,7 +783,7 @@ def plan(argb: np.ndarray) -> list[tuple]:
     best, by_green, by_left, by_above = _bits_of(raw, green, left, above)
     steps: list[tuple] = []
     colours, by_palette = np.unique(argb.reshape(-1)[:512]), best
-    if len(colours) <= 256:
+    if len(colours) <= 256 and argb.size > 512:
         colours = np.unique(argb)
     if len(colours) <= 256:
         by_palette = _entropy(np.bincount(np.searchsorted(colours, argb.reshape(-1)))) + 24 * len(colours) + 300

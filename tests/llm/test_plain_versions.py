@@ -475,3 +475,19 @@ def test_oracle(spark, sf, key):
     got = queries.QUERIES[key](spark, sf).toPandas()[list(want.columns)]
     whole = lambda f: sorted(tuple(None if v is None or v != v else v for v in r) for r in f.astype(object).where(f.notna(), None).itertuples(index=False))
     assert whole(got) == whole(want)
+
+
+def test_copies_have_three_pixels_and_read_back_among_literals():
+    v = np.array([1, 2, 9, 1, 2, 8, 5, 6, 7, 5, 6, 7, 3, 1, 2], np.uint32)
+    assert webp.copies_in(v) == [(9, 3, 3)]
+    rng = np.random.default_rng(3)
+    text = b"the red fox and the old dog, ".ljust(64) * 30 + bytes(rng.integers(0, 256, 700, np.uint8)) + "Prüfung \U0001f600 ".encode() * 90
+    payload = np.full(-(-len(text) // webp.UNIT) * webp.UNIT, 255, np.uint8)
+    payload[: len(text)] = np.frombuffer(text, np.uint8)
+    for part in (payload, payload[: webp.UNIT * 2], np.tile(payload, 12)):
+        assert (webp.samples_of(webp.decode(webp.store(part))[0]) == part).all()
+
+
+def test_counts_times_logarithms_are_looked_up():
+    for counts in (np.arange(4096), np.array([0, 1, 70000])):
+        assert webp._weighed(counts).tolist() == (counts * np.log2(np.maximum(counts, 1))).tolist()
