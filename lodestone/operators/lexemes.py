@@ -67,6 +67,11 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).parquet(_BUILT[key])
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The index of a folder if this application has built it."""
+    return index(spark, sf_dir) if (spark.sparkContext.applicationId, sf_dir) in _BUILT else None
+
+
 def asked(spark: SparkSession, words: str) -> tuple[list[str], list[str]]:
     """The different words of a query and the stems of those that are no stop words; any text will do."""
     row = spark.range(1).select(F.array_distinct(words_of(F.lit(words))).alias("w")).select("w", F.array_distinct(F.transform(F.filter("w", lambda x: ~x.isin(*STOP)), stem)).alias("s")).first()

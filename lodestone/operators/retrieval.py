@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..plans.views import CHUNK_SQL, DOCUMENT_SQL, LIVE_SQL, chunk, document, visible
 from ..session import table
-from .lexemes import index, postings_sql, ranked, ranked_sql
+from .lexemes import index, postings, postings_sql, ranked, ranked_sql, stored
 
 #: Constant of the rank fusion, candidates of each retriever, weight of the keyword side.
 RRF_K, DEPTH, KEYWORD_WEIGHT = 60, 30, 0.3
@@ -50,15 +50,27 @@ _GOVERNED_SQL = f"{DOCUMENT_SQL}, {LIVE_SQL}, governed AS (SELECT * FROM live WH
 _KEYWORD_SQL = f"{ranked_sql(QUESTION)} ORDER BY rank DESC, doc_id"
 
 
-def searched(spark: SparkSession, sf_dir: str, tenant: int = TENANT, labels: list[str] = LABELS) -> DataFrame:
-    """doc_id, tenant_id of the live documents of one tenant that share a label with the caller: every filter comes before ranking."""
-    return visible(document(spark, sf_dir).select("doc_id", "tenant_id", "source_path", "labels"), tenant, labels).select("doc_id", "tenant_id")
+def searched(spark: SparkSession, sf_dir: str, tenant: int = TENANT, labels: list[str] = LABELS, *more: str) -> DataFrame:
+    """doc_id, tenant_id (and more columns) of the live documents of one tenant that share a label with the caller: every filter comes before ranking."""
+    return visible(document(spark, sf_dir).select("doc_id", "tenant_id", "source_path", "labels", *more), tenant, labels).select("doc_id", "tenant_id", *more)
+
+
+def keyword_top(spark: SparkSession, sf_dir: str, words: str, k: int, tenant: int = TENANT, labels: list[str] = LABELS) -> DataFrame:
+    """doc_id, rank of the k documents that the caller may see and that answer best.
+
+    Where the application has stored the folder's index, its postings of the words are read and no texts. One question alone
+    doesn't have the whole index built: postings are made of the texts that the caller may see, after all filters, as the SQL has it.
+    """
+    entries = stored(spark, sf_dir)
+    if entries is None:
+        return ranked(postings(searched(spark, sf_dir, tenant, labels, "text")), words, k)
+    return ranked(entries, words, k, searched(spark, sf_dir, tenant, labels).select("doc_id"))
 
 
 @query("keyword_topk", f"WITH {_GOVERNED_SQL} {_KEYWORD_SQL} LIMIT {DEPTH}")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of the question's words, of documents that the caller may see; texts are not read once the index is there."""
-    return ranked(index(spark, sf_dir), QUESTION, DEPTH, searched(spark, sf_dir).select("doc_id"))
+    """Postings of the question's words, of documents that the caller may see; texts are not read where the index is there."""
+    return keyword_top(spark, sf_dir, QUESTION, DEPTH)
 
 
 _NEAREST_SQL = f"SELECT c.chunk_id, c.doc_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q), 6) AS score FROM chunk c JOIN governed d ON d.doc_id = c.doc_id AND d.tenant_id = c.tenant_id, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) WHERE c.tenant_id = {TENANT} ORDER BY score DESC, chunk_id"

@@ -352,6 +352,18 @@ def test_postings_of_dealt_texts_are_not_shuffled_again(spark):
     assert sorted(map(tuple, found.select("lexeme", "doc_id", "words", "literal", "stemmed").collect())) == sorted(want)
 
 
+def test_one_keyword_search_builds_no_index_and_finds_what_the_index_finds(spark, sf):
+    lexemes._BUILT.clear()
+    alone = retrieval.keyword_topk(spark, sf)
+    assert not lexemes._BUILT
+    found = [tuple(r) for r in alone.collect()]
+    lexemes.index(spark, sf)
+    stored = retrieval.keyword_topk(spark, sf)
+    assert found == [tuple(r) for r in stored.collect()] != []
+    read = [part.split(">")[0] for part in stored._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1:]]
+    assert read and not any("text" in columns for columns in read)
+
+
 def test_python_functions_hold_a_slice_at_a_time(spark):
     from lodestone.functions import batches
 
