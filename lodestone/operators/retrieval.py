@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..plans.views import CHUNK_SQL, DOCUMENT_SQL, LIVE_SQL, chunk, document, visible
 from ..session import table
-from .lexemes import index, postings, postings_sql, ranked, ranked_sql, stored
+from .lexemes import postings, postings_sql, ranked, ranked_sql, stored
 
 #: Constant of the rank fusion, candidates of each retriever, weight of the keyword side.
 RRF_K, DEPTH, KEYWORD_WEIGHT = 60, 30, 0.3
@@ -125,7 +125,7 @@ def hybrid(spark: SparkSession, sf_dir: str, words: str, tenant: int, labels: li
         return spark.createDataFrame([], "doc_id long, score double")
     docs = searched(spark, sf_dir, tenant, labels)
     nearest = nearest_chunks(chunk(spark, sf_dir), docs, _probe(spark, sf_dir), DEPTH).groupBy("doc_id").agg(F.max("score").alias("score"))
-    both = fused(numbered(nearest, "doc_id", "score"), numbered(ranked(index(spark, sf_dir), words, DEPTH, docs.select("doc_id")), "doc_id", "rank"))
+    both = fused(numbered(nearest, "doc_id", "score"), numbered(keyword_top(spark, sf_dir, words, DEPTH, tenant, labels), "doc_id", "rank"))
     return both.orderBy(F.desc("score"), F.col("id").cast("string")).limit(clamped(k)).select(F.col("id").alias("doc_id"), "score")
 
 

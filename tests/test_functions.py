@@ -364,6 +364,14 @@ def test_one_keyword_search_builds_no_index_and_finds_what_the_index_finds(spark
     assert read and not any("text" in columns for columns in read)
 
 
+def test_one_hybrid_search_builds_no_index_and_finds_what_the_index_finds(spark, sf):
+    lexemes._BUILT.clear()
+    found = [tuple(r) for r in retrieval.hybrid_search(spark, sf).collect()]
+    assert not lexemes._BUILT
+    lexemes.index(spark, sf)
+    assert found == [tuple(r) for r in retrieval.hybrid_search(spark, sf).collect()] != []
+
+
 def test_python_functions_hold_a_slice_at_a_time(spark):
     from lodestone.functions import batches
 
