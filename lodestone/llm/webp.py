@@ -13,7 +13,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -40,7 +40,6 @@ SIGNATURE, MAX_SIDE = 0x2F, 16384
 #: Fixed values of the format: multiplier of the cache's hash, longest copy, farthest one, and transforms by number.
 HASH, LONGEST, FARTHEST = 0x1E35A7BD, 4096, (1 << 20) - 120
 TRANSFORMS = ("predict", "cross", "green", "palette")
-WINDOW = 1 << 16  # bytes
 CACHE_BITS = 10
 SHORT = 4096  # pixels
 
@@ -68,11 +67,15 @@ def reversed_bits(n: int) -> np.ndarray:
     return sum((value >> k & 1) << (n - 1 - k) for k in range(n)) + 0 * value
 
 
-class Code(NamedTuple):
+class Code:
     """Most bits of a code, and by the next bits of the stream the symbol times 16 and the bits it takes. One symbol alone takes no bits."""
 
-    most: int
-    table: list[int]
+    def __init__(self, most: int, entries: np.ndarray):
+        self.most, self.entries = most, entries
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.entries.tolist()
 
 
 def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -86,12 +89,12 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 def code_of(lengths: np.ndarray) -> Code:
     used, n, most = canonical(lengths)
     if len(used) < 2:
-        return Code(0, [16 * int(used[0]) if len(used) else 0])
+        return Code(0, np.array([16 * int(used[0]) if len(used) else 0]))
     run = 1 << (most - n)
     if run.sum() != 1 << most:
         raise ValueError("code lengths do not make a whole prefix code")
     # in order of their codes, symbols fill the table in runs; the stream has the bits of a code the other way round
-    return Code(most, np.repeat(used << 4 | n, run)[reversed_bits(most)].tolist())
+    return Code(most, np.repeat(used << 4 | n, run)[reversed_bits(most)])
 
 
 def _symbol(bits: Bits, code: Code) -> int:
@@ -133,7 +136,8 @@ def _parse_code(bits: Bits, size: int) -> Code:
     own = np.zeros(19, np.uint8)
     for k in range(4 + bits.read(4)):
         own[CODE_ORDER[k]] = bits.read(3)
-    most, table = code_of(own)
+    code = code_of(own)
+    most, table = code.most, code.table
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     at, last, mask, place, data = 0, 8, (1 << most) - 1, bits.at, bits.data
     while at < size and left:
@@ -166,40 +170,83 @@ def _long(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-#: Pairs of codes met lately, and their joint tables from the second time on.
-_PAIRED: dict[tuple[int, ...], tuple[list[Code], tuple[list[int], list[int]] | None]] = {}
-JOINT = 14  # bits
-_NONE = [0] * (1 << JOINT)
-_ALL = (1 << JOINT) - 1
-
+#: Bytes whose bits are looked at together, so that arrays by bit stay in the processor's cache, and the shifts of a byte.
+STRETCH, _SHIFTS = 1 << 11, np.arange(8)
 
-def _joint(first: Code, second: Code, shifts: tuple[int, int]) -> list[int]:
-    """By the next JOINT bits: both symbols at their places in the pixel times 32, and the bits they take; 0 if they take more or the first is no literal."""
-    at = np.arange(1 << JOINT)
-    a = np.array(first.table)[at & (1 << first.most) - 1]
-    b = np.array(second.table)[at >> (a & 15) & (1 << second.most) - 1]
-    taken = (a & 15) + (b & 15)
-    return np.where((taken <= JOINT) & (a < 4096), ((a >> 4) << shifts[0] | (b >> 4) << shifts[1]) << 5 | taken, 0).tolist()
 
+def _cached(values: np.ndarray, slots: np.ndarray, known: np.ndarray, cache: list[int]) -> list[int]:
+    """The values, those of places in the cache looked up; the cache takes all."""
+    out = []
+    append = out.append
+    for value, slot, old in zip(values.tolist(), slots.tolist(), known.tolist(), strict=True):
+        if old:
+            value = cache[slot]
+            if not value:  # perhaps of a place that was never filled
+                cache[0] = 0
+        else:
+            cache[slot] = value
+        append(value)
+    return out
 
-def _joint_tables(group: list[Code], pixels: int) -> tuple[list[int], list[int]] | None:
-    """Of green and red, and of blue and alpha; none where they would serve one short image."""
-    key = tuple(map(id, group[:4]))
-    known = key in _PAIRED
-    tables = _PAIRED[key][1] if known else None
-    if tables is None and (known or pixels >= SHORT):
-        tables = _joint(group[0], group[1], (8, 16)), _joint(group[2], group[3], (0, 24))
-    _PAIRED.pop(key, None)
-    if len(_PAIRED) >= 8:
-        del _PAIRED[next(iter(_PAIRED))]
-    _PAIRED[key] = group, tables
-    return tables
 
+def _read_stretches(bits: Bits, group: list[Code], out: list[int], until: int, width: int, total: int, cache: list[int], shift: int) -> None:
+    """Pixels up to `until` under one group of codes, whose symbols take some bits and 57 at most a pixel.
 
-def _words(data: bytes, first: int) -> list[int]:
-    """The 8 bytes from each byte on, as numbers, for WINDOW bytes; zeros stand behind the end."""
-    part = np.frombuffer(data[first : first + WINDOW + 8] + b"\0" * 16, np.uint8)
-    return np.lib.stride_tricks.sliding_window_view(part, 8)[: WINDOW + 1].copy().view("<u8").reshape(-1).tolist()
+    What a literal or a place in the cache that began at a bit would take is worked out for all bits of a stretch at once;
+    they are then walked from each to the next, and their values taken together. Copies are read one by one.
+    """
+    (green, g_mask), *others = [(c.entries, (1 << c.most) - 1) for c in group[:4]]
+    most, data = sum(c.most for c in group[:4]), bits.data
+    while (left := until - len(out)) > 0 and bits.at <= 8 * len(data):
+        first = bits.at >> 3
+        size = min(STRETCH, (left * most >> 3) + 2)
+        # the 8 bytes from each byte on, and from each bit on 57 bits of these at least; zeros stand behind the end
+        part = data[first : first + size + 8].ljust(size + 8, b"\0")
+        view = (np.ndarray((size, 1), "<i8", part, 0, (1, 1)) >> _SHIFTS).reshape(-1)
+        entry = green.take(view & g_mask)
+        used = entry & 15
+        for table, mask in others:
+            next_ = view >> used
+            next_ &= mask
+            next_ = table.take(next_)
+            next_ &= 15
+            used += next_
+        used *= entry < 4096
+        if cache:
+            used += (entry & 15) * (entry >= 4480)
+        steps, at, stop = used.astype(np.uint8).tobytes(), bits.at - 8 * first, len(view)
+        while left > 0 and at < stop:
+            places: list[int] = []
+            append = places.append
+            while at < stop and (step := steps[at]):
+                append(at)
+                at += step
+            if len(places) > left:
+                at = places[left]
+                del places[left:]
+            if places:
+                own = view[places]
+                symbol = green[own & g_mask]
+                value, taken = symbol >> 4 << 8, symbol & 15
+                for (table, mask), by in zip(others, (16, 0, 24), strict=True):
+                    entry = table[(own >> taken) & mask]
+                    value |= entry >> 4 << by
+                    taken += entry & 15
+                if cache:
+                    known = symbol >= 4480
+                    out += _cached(value, np.where(known, (symbol >> 4) - 280, (HASH * value & 0xFFFFFFFF) >> shift), known, cache)
+                else:
+                    out += value.tolist()
+                left = until - len(out)
+            if left > 0 and at < stop:
+                prefix = int(green[view[at] & g_mask])
+                bits.at = 8 * first + at + (prefix & 15)
+                new = _copied(bits, (prefix >> 4) - 256, group[4], out, width, total)
+                out += new
+                for v in new if cache else ():
+                    cache[(HASH * v & 0xFFFFFFFF) >> shift] = v
+                at, left = bits.at - 8 * first, until - len(out)
+        bits.at = 8 * first + at
 
 
 def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -215,86 +262,40 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = max(meta) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
-    total, data, limit, out = width * height, bits.data, 8 * len(bits.data), []
-    cache, shift, place, append = [0] * (1 << cache_bits), 32 - cache_bits, bits.at, out.append
+    total, out = width * height, []
+    cache, shift = [0] * (1 << cache_bits) if cache_bits else [], 32 - cache_bits
     while (at := len(out)) < total:
         # pixels up to the next change of the group of codes
         row = at // width
         until = total if groups == 1 else min(total, row * width + min(width, ((at - row * width >> meta_bits) + 1) << meta_bits))
         group = codes[meta[(row >> meta_bits) * meta_width + (at - row * width >> meta_bits)]] if groups > 1 else codes[0]
-        (g_mask, green), (r_mask, red), (b_mask, blue), (a_mask, alpha) = [((1 << c.most) - 1, c.table) for c in group[:4]]
-        done, narrow = at, sum(c.most for c in group[:4]) <= 57
-        green_red, blue_alpha = (_joint_tables(group, total) if groups == 1 else None) or (_NONE, _NONE)
-        while done < until:
-            first = place >> 3
-            words = _words(data, first)
-            here, stop = place & 7, 8 * len(words)
-            while not cache_bits and done < until and here < stop:
-                for _ in range(until - done):
-                    if here >= stop:
-                        break
-                    view = words[here >> 3] >> (here & 7)  # 57 bits at least
-                    if (two := green_red[view & _ALL]) and (more := blue_alpha[(view >> (two & 31)) & _ALL]):
-                        two += more  # both halves of the pixel, times 32, and all its bits
-                        here += two & 31
-                        append(two >> 5)
-                        continue
-                    entry = green[view & g_mask]
-                    if entry >= 4096:
-                        break
-                    used = entry & 15
-                    r = red[(view >> used) & r_mask]
-                    used += r & 15
-                    b = blue[(view >> used) & b_mask]
-                    used += b & 15
-                    a = alpha[(view >> used if narrow else int.from_bytes(data[first + (here + used >> 3) :][:3], "little") >> (here + used & 7)) & a_mask]
-                    here += used + (a & 15)
-                    append((a >> 4) << 24 | (r >> 4) << 16 | (entry >> 4) << 8 | b >> 4)
-                done = len(out)
-                if done < until and here < stop:
-                    bits.at = 8 * first + here + (entry & 15)
-                    out += _copied(bits, (entry >> 4) - 256, group[4], out, width, total)
-                    here, done = bits.at - 8 * first, len(out)
-            while done < until and here < stop:
-                view = words[here >> 3] >> (here & 7)  # 57 bits at least
-                if (two := green_red[view & _ALL]) and (more := blue_alpha[(view >> (two & 31)) & _ALL]):
-                    here += (two & 31) + (more & 31)
-                    value = (two >> 5) | (more >> 5)
-                elif (entry := green[view & g_mask]) < 4096:
-                    used = entry & 15
-                    r = red[(view >> used) & r_mask]
-                    used += r & 15
-                    b = blue[(view >> used) & b_mask]
-                    used += b & 15
-                    if narrow:
-                        a = alpha[(view >> used) & a_mask]
-                    else:
-                        a = alpha[int.from_bytes(data[first + (here + used >> 3) :][:3], "little") >> (here + used & 7) & a_mask]
-                    here += used + (a & 15)
-                    value = (a >> 4) << 24 | (r >> 4) << 16 | (entry >> 4) << 8 | b >> 4
-                elif entry >= 4480:
-                    here += entry & 15
-                    value = cache[(entry >> 4) - 280]
-                else:
-                    bits.at = 8 * first + here + (entry & 15)
-                    new = _copied(bits, (entry >> 4) - 256, group[4], out, width, total)
-                    here = bits.at - 8 * first
-                    out += new
-                    done += len(new)
-                    for value in new if cache_bits else ():
-                        cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
-                    continue
-                append(value)
-                done += 1
-                if cache_bits:
-                    cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
-            place = 8 * first + here
-        if place > limit:
+        most = sum(c.most for c in group[:4])
+        # a stretch is worth its arrays; no step of it may be of no bits
+        if until - at >= 16 and most <= 57 and (group[0].most or most and not cache):
+            _read_stretches(bits, group, out, until, width, total, cache, shift)
+        else:
+            _read_singly(bits, group, out, until, width, total, cache, shift)
+        if bits.at > 8 * len(bits.data):
             raise ValueError("the stream ends early")
-    bits.at = place
     return np.array(out, np.uint32)
 
 
+def _read_singly(bits: Bits, group: list[Code], out: list[int], until: int, width: int, total: int, cache: list[int], shift: int) -> None:
+    """Pixels up to `until` under one group of codes, symbol by symbol."""
+    while len(out) < until and bits.at <= 8 * len(bits.data):
+        green = _symbol(bits, group[0])
+        if green < 256:
+            red, blue, alpha = (_symbol(bits, c) for c in group[1:4])
+            new = [alpha << 24 | red << 16 | green << 8 | blue]
+        elif green < 280:
+            new = _copied(bits, green - 256, group[4], out, width, total)
+        else:
+            new = [cache[green - 280]]
+        out += new
+        for value in new if cache else ():
+            cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
+
+
 def _copied(bits: Bits, prefix: int, distances: Code, out: list[int], width: int, total: int) -> list[int]:
     length, far = _long(bits, prefix), _long(bits, _symbol(bits, distances))
     if far > 120:

@@ -491,3 +491,27 @@ def test_copies_have_three_pixels_and_read_back_among_literals():
 def test_counts_times_logarithms_are_looked_up():
     for counts in (np.arange(4096), np.array([0, 1, 70000])):
         assert webp._weighed(counts).tolist() == (counts * np.log2(np.maximum(counts, 1))).tolist()
+
+
+def test_images_are_read_by_stretches_as_symbol_by_symbol(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = ("It was seen, and seen again: é ü 12.5 % of it. " * 90 + "".join(map(chr, rng.integers(32, 126, 9000)))).encode()
+    texts = np.frombuffer(text[: len(text) // 576 * 576], np.uint8)
+    few = rng.integers(0, 40, 576 * 40).astype(np.uint8)  # pixels that come back, so a cache and copies
+    flat, noise = np.full(576 * 9, 255, np.uint8), rng.integers(0, 256, 576 * 12).astype(np.uint8)
+    colours = rng.integers(0, 2**32, 3000, dtype=np.uint32)[rng.integers(0, 3000, 144 * 90)].view(np.uint8)
+    media = [webp.encode(webp.pixels_of(v, 144), steps) for v in (texts, few, flat, noise, colours) for steps in ([], None)]
+    singly = []
+    monkeypatch.setattr(webp, "_read_singly", lambda *a, plain=webp._read_singly: (singly.append(a[3]), plain(*a)))
+    fast = [webp.decode(m)[0] for m in media]
+    # only images of fewer pixels than a stretch is worth, and such of no bits, are read symbol by symbol
+    assert len(singly) < len(media)
+    monkeypatch.setattr(webp, "_read_stretches", webp._read_singly)
+    for m, image in zip(media, fast, strict=True):
+        assert (webp.decode(m)[0] == image).all()
+    # a stream that ends early is an error in both ways of reading
+    short = media[0][:16] + (2000).to_bytes(4, "little") + media[0][20:2020]
+    for _ in (0, 1):
+        with pytest.raises(ValueError, match="ends early"):
+            webp.decode(short)
+        monkeypatch.undo()
